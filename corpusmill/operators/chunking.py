@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.constants import MARKDOWN_SEPARATORS
+from corpusmill.session import spread
 
 _MARK = "﷐"  # a Unicode noncharacter, reserved for use inside a program
 
@@ -33,7 +34,8 @@ def chunk_documents(df: DataFrame, keys: list[str], text: str, size: int) -> Dat
     A piece longer than ``size`` stays whole. The running length and the gathering share one
     shuffle by document; a document's pieces are no more than the document.
     """
-    long = df.select(*keys, F.posexplode(pieces(F.col(text), size)).alias("pos", "piece"))
+    rows = spread(df.select(*keys, F.col(text).alias("_text")), *keys)
+    long = rows.select(*keys, F.posexplode(pieces(F.col("_text"), size)).alias("pos", "piece"))
     earlier = (
         Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import letter_trigrams
 from corpusmill.operators.skew import MAX_BROADCAST_ROWS, lookup_join
-from corpusmill.session import stage
+from corpusmill.session import spread, stage
 
 SCALE = 1_000_000
 
@@ -69,7 +69,8 @@ def train(
     if languages is None:
         found = df.where(F.col(lang).isNotNull()).select(lang).distinct().collect()
         languages = sorted(r[0] for r in found)
-    grams = df.select(F.col(lang).alias("lang"), F.explode(letter_trigrams(F.col(text))).alias("gram"))
+    texts = spread(df.select(F.col(lang).alias("lang"), F.col(text).alias("text")))
+    grams = texts.select("lang", F.explode(letter_trigrams(F.col("text"))).alias("gram"))
     counts = stage(
         grams.groupBy("gram").agg(
             F.count(F.lit(1)).alias("n"),
@@ -97,7 +98,8 @@ def detect(
     Trigrams meet the weights in a broadcast join and are summed where they lie, so what is
     shuffled is one row of sums per text. Ties go to the language that sorts first.
     """
-    grams = df.select(*keys, F.explode_outer(letter_trigrams(F.col(text))).alias("gram"))
+    texts = spread(df.select(*keys, F.col(text).alias("_text")), *keys)
+    grams = texts.select(*keys, F.explode_outer(letter_trigrams(F.col("_text"))).alias("gram"))
     weighed = lookup_join(grams, model.weights(), ["gram"], "n", "left", max_broadcast_rows)
     indexes = range(len(model.languages))
     floors = [model.log_probability(i, F.lit(0)) for i in indexes]

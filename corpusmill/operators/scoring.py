@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from corpusmill.functions.text import adjacent_pairs, tokens
 from corpusmill.operators.langid import SCALE, log_share
 from corpusmill.operators.skew import MAX_BROADCAST_ROWS, lookup_join
-from corpusmill.session import stage
+from corpusmill.session import spread, stage
 
 ITEM = ["item", "dataset", "target"]
 
@@ -65,7 +65,8 @@ class BigramModel:
 
 
 def train_bigrams(df: DataFrame, text: str = "text") -> BigramModel:
-    found = df.select(F.inline(adjacent_pairs(tokens(F.col(text)))))
+    texts = spread(df.select(F.col(text).alias("text")))
+    found = texts.select(F.inline(adjacent_pairs(tokens(F.col("text")))))
     pairs = stage(found.groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("n")), "pairs")
     contexts = stage(
         pairs.groupBy("prev").agg(
@@ -93,7 +94,8 @@ def score_options(
     A few pairs (the prompt's header) occur in every item. Needed pairs are counted first, looked
     up once each, and that small result is joined back by ``lookup_join``.
     """
-    segments = items.select(*keys, F.inline(_segments(F.col("prompt"), F.col("options"))))
+    rows = spread(items.select(*keys, "prompt", "options"), *keys)
+    segments = rows.select(*keys, F.inline(_segments(F.col("prompt"), F.col("options"))))
     long = segments.select(*keys, "option_idx", "n_tokens", F.explode_outer("pairs").alias("pair"))
     long = long.select(*keys, "option_idx", "n_tokens", "pair.prev", "pair.cur")
 

@@ -9,6 +9,7 @@ from corpusmill.functions.text import token_count, tokens
 from corpusmill.functions.hashing import hex_prefix
 from corpusmill.operators.ordering import position_in_order, running_total
 from corpusmill.operators.skew import MAX_BROADCAST_ROWS, lookup_join
+from corpusmill.session import spread
 
 PAD, UNKNOWN, EOS = 0, 1, 2
 FIRST_ID = 3
@@ -23,7 +24,8 @@ def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
     order whatever the size of the corpus.
     """
     counts = (
-        df.select(F.explode(tokens(F.col(text))).alias("token"))
+        spread(df.select(F.col(text).alias("text")))
+        .select(F.explode(tokens(F.col("text"))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -59,7 +61,8 @@ def encode(
             for i, c in enumerate(texts.values())
         ]
     )
-    long = df.select(*keys, F.inline(fields)).select(
+    rows = spread(df.select(*keys, *dict.fromkeys(texts.values())), *keys)
+    long = rows.select(*keys, F.inline(fields)).select(
         *keys, "field", F.posexplode_outer("tokens").alias("pos", "token")
     )
     found = lookup_join(long, vocab, ["token"], "n", "left", max_broadcast_rows)
