@@ -17,7 +17,9 @@ SHARD_ROWS = 1 << 20  # rows per bucket of a dense position
 MAX_GROUP_ROWS = 5_000_000  # rows of one group that a single window task may sort
 
 
-def _bucket_offsets(totals: DataFrame, bucket: str, value: str) -> DataFrame:
+def _bucket_offsets(
+    totals: DataFrame, bucket: str, value: str, keep: bool = False
+) -> DataFrame:
     """Total of the earlier buckets; one row per bucket, so the window is small."""
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(bucket).rowsBetween(
@@ -27,6 +29,7 @@ def _bucket_offsets(totals: DataFrame, bucket: str, value: str) -> DataFrame:
         bucket,
         F.coalesce(F.sum(value).over(before), F.lit(0)).cast("bigint").alias("_before"),
         F.sum(value).over(whole).cast("bigint").alias("_total"),
+        *([value] if keep else []),
     )
 
 
@@ -72,6 +75,39 @@ def hash_position(
     return position_in_order(hashed, bucket, order, name, total, below).drop("_hash")
 
 
+def first_in_hash_order(
+    df: DataFrame, seed: int | str, keys: list[str], size: Column
+) -> Column:
+    """Condition that holds for exactly the first ``size`` rows in seeded hash order.
+
+    ``size`` may use ``_total``, the number of rows. Two jobs over the key columns find the last
+    such row: bucket counts say which bucket it lies in, and only that bucket is ordered. The
+    condition itself is row-local, so wide rows are filtered or labelled where they lie.
+    """
+    columns = [F.col(k) for k in keys]
+    hashed = df.select(*keys, seeded_md5(seed, *columns).alias("_hash"))
+    hashed = hashed.withColumn("_bucket", hex_prefix(F.col("_hash"), HASH_DIGITS))
+    totals = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _bucket_offsets(totals, "_bucket", "_n", keep=True)
+    edge = (
+        offsets.withColumn("_size", F.least(size.cast("bigint"), F.col("_total")))
+        .where((F.col("_before") < F.col("_size")) & (F.col("_size") <= F.col("_before") + F.col("_n")))
+        .first()
+    )
+    if edge is None:
+        return F.lit(False)
+    last = (
+        hashed.where(F.col("_bucket") == edge["_bucket"])
+        .orderBy("_hash", *keys)
+        .offset(edge["_size"] - edge["_before"] - 1)
+        .limit(1)
+        .first()
+    )
+    types = {f.name: f.dataType for f in hashed.schema.fields}
+    bound = [F.lit(last[n]).cast(types[n]).alias(n) for n in ["_hash", *keys]]
+    return F.struct(seeded_md5(seed, *columns).alias("_hash"), *columns) <= F.struct(*bound)
+
+
 def running_total(
     df: DataFrame, position: str, value: str, name: str, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.constants import SEED, TEST_FRACTION
 from corpusmill.functions.hashing import chosen, seeded_md5
-from corpusmill.operators.ordering import hash_position
+from corpusmill.operators.ordering import first_in_hash_order, hash_position
 
 
 def shuffle(df: DataFrame, keys: list[str], seed: int = SEED) -> DataFrame:
@@ -46,7 +46,6 @@ def exact_split(
     df: DataFrame, keys: list[str], test_fraction: float = TEST_FRACTION, seed: int = SEED
 ) -> DataFrame:
     """As ``split_label`` with exactly ``ceil(n * test_fraction)`` test rows."""
-    placed = hash_position(df, seed, keys, "_position", "_rows")
-    size = F.ceil(F.col("_rows") * F.lit(test_fraction))
-    label = F.when(F.col("_position") < size, F.lit("test")).otherwise(F.lit("train"))
-    return placed.withColumn("split", label).drop("_position", "_rows")
+    size = F.ceil(F.col("_total") * F.lit(test_fraction))
+    test = first_in_hash_order(df, seed, keys, size)
+    return df.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))

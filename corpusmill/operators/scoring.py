@@ -65,8 +65,8 @@ class BigramModel:
 
 
 def train_bigrams(df: DataFrame, text: str = "text") -> BigramModel:
-    texts = spread(df.select(F.col(text).alias("text")))
-    found = texts.select(F.inline(adjacent_pairs(tokens(F.col("text")))))
+    split = spread(df.select(F.col(text).alias("text"))).select(tokens(F.col("text")).alias("t"))
+    found = split.select(F.inline(adjacent_pairs(F.col("t"))))
     pairs = stage(found.groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("n")), "pairs")
     contexts = stage(
         pairs.groupBy("prev").agg(
@@ -94,18 +94,19 @@ def score_options(
     A few pairs (the prompt's header) occur in every item. Needed pairs are counted first, looked
     up once each, and that small result is joined back by ``lookup_join``.
     """
-    rows = spread(items.select(*keys, "prompt", "options"), *keys)
-    segments = rows.select(*keys, F.inline(_segments(F.col("prompt"), F.col("options"))))
+    rows = spread(items.select(*keys, "prompt", "options"), *keys).select(
+        *keys, tokens(F.col("prompt")).alias("_said"), F.transform("options", tokens).alias("_more")
+    )
+    segments = rows.select(*keys, F.inline(_segments(F.col("_said"), F.col("_more"))))
     long = segments.select(*keys, "option_idx", "n_tokens", F.explode_outer("pairs").alias("pair"))
     long = long.select(*keys, "option_idx", "n_tokens", "pair.prev", "pair.cur")
 
-    needed = (
-        long.where("prev is not null")
-        .groupBy("prev", "cur")
-        .agg(F.count(F.lit(1)).alias("heat"))
-        .join(model.pairs, ["prev", "cur"], "left")
-    )
-    with_context = lookup_join(needed, model.contexts, ["prev"], "n_pairs")
+    counted = long.where("prev is not null").groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("heat"))
+    needed = stage(counted, "needed-pairs")
+    known = model.pairs.join(needed, ["prev", "cur"], "left_semi")
+    found = needed.join(known, ["prev", "cur"], "left")
+    contexts = model.contexts.join(needed, "prev", "left_semi")
+    with_context = lookup_join(found, contexts, ["prev"], "n_pairs")
     logp = model.log_probability(F.col("n"), F.col("n_prev"))
     priced = stage(with_context.select("prev", "cur", "heat", logp.alias("logp")), "priced-pairs")
 
@@ -130,20 +131,19 @@ def score_options(
 
 
 def _segments(prompt: Column, options: Column) -> Column:
-    """The prompt as option -1, then each option with the prompt's last token in front."""
-    spoken = tokens(prompt)
-    last = F.slice(spoken, F.greatest(F.size(spoken), F.lit(1)), F.lit(1))
+    """The prompt's tokens as option -1, then each option's with the prompt's last in front."""
+    last = F.slice(prompt, F.greatest(F.size(prompt), F.lit(1)), F.lit(1))
     whole = F.struct(
         F.lit(-1).alias("option_idx"),
-        F.size(spoken).alias("n_tokens"),
-        adjacent_pairs(spoken).alias("pairs"),
+        F.size(prompt).alias("n_tokens"),
+        adjacent_pairs(prompt).alias("pairs"),
     )
     parts = F.transform(
         options,
         lambda o, i: F.struct(
             i.alias("option_idx"),
-            F.size(tokens(o)).alias("n_tokens"),
-            adjacent_pairs(F.concat(last, tokens(o))).alias("pairs"),
+            F.size(o).alias("n_tokens"),
+            adjacent_pairs(F.concat(last, o)).alias("pairs"),
         ),
     )
     return F.concat(F.array(whole), parts)

@@ -13,6 +13,7 @@ from corpusmill.session import spread
 
 PAD, UNKNOWN, EOS = 0, 1, 2
 FIRST_ID = 3
+ID_BITS = 36  # room for 68 billion ids, and for 134 million tokens in one text
 RARE = 256  # counts below this get buckets of their own, cut further by hash
 
 
@@ -67,7 +68,8 @@ def encode(
     )
     found = lookup_join(long, vocab, ["token"], "n", "left", max_broadcast_rows)
     token_id = F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).cast("bigint")
-    placed = F.struct("pos", token_id.alias("token_id"))
+    # Place and id in one number: a list of numbers is smaller to gather and sort than of structs.
+    placed = F.shiftleft(F.col("pos").cast("bigint"), ID_BITS).bitwiseOR(token_id)
     gathered = found.groupBy(*keys).agg(
         *[
             F.collect_list(F.when((F.col("field") == i) & F.col("pos").isNotNull(), placed)).alias(
@@ -78,7 +80,10 @@ def encode(
     )
     return gathered.select(
         *keys,
-        *[F.transform(F.sort_array(n), lambda t: t["token_id"]).alias(n) for n in texts],
+        *[
+            F.transform(F.sort_array(n), lambda t: t.bitwiseAND(F.lit((1 << ID_BITS) - 1))).alias(n)
+            for n in texts
+        ],
     )
 
 
