@@ -183,7 +183,7 @@ def batches(df: DataFrame, position: str, columns: list[str], size: int) -> Data
     grouped = (
         df.withColumn("batch", F.floor(F.col(position) / F.lit(size)))
         .groupBy("batch")
-        .agg(F.sort_array(F.collect_list(F.struct(position, *columns))).alias("_rows"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("_place"), *columns))).alias("_rows"))
     )
     return grouped.select("batch", *[_field("_rows", c).alias(c) for c in columns])
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators.langid import LanguageModel, only_language
+from corpusmill.operators.langid import LanguageModel, only_language, train
 from corpusmill.operators.mixture import (
     concat,
     exclude_sources,
@@ -13,6 +15,7 @@ from corpusmill.operators.mixture import (
     map_sources,
     not_excluded,
 )
+from corpusmill.plans.recipe import open_entry
 
 
 def build_mixture(
@@ -28,15 +31,41 @@ def build_mixture(
     Language is judged only for what the cheap filters leave. Rows of unmapped sources, and of a
     null source, are dropped by the mapping.
     """
-    kept = exclude_sources(mixture, exclude).where(has_two_messages(F.col("messages")))
+    chats = mixture.select("id", "messages", "source")
+    kept = exclude_sources(chats, exclude).where(has_two_messages(F.col("messages")))
     if english is not None:
         kept = only_language(kept, ["id"], english)
-    mapped = map_sources(kept, source_map).select("id", "messages", "source", "config")
+    mapped = map_sources(kept, source_map)
     if local is None:
         return mapped
     return concat([mapped, local.withColumn("config", F.lit(local_subset))])
 
 
+def build_mixture_from(
+    spark: SparkSession, recipe: dict[str, Any], labelled: DataFrame | None = None
+) -> DataFrame:
+    """The mixture a recipe describes, with ``split``.
+
+    The first entry is the mixture; a second, if given, is the local table. ``only_english`` needs
+    ``labelled``, a table (lang, text) to learn the languages from.
+    """
+    mixture, *others = recipe["datasets"]
+    english = None
+    if recipe.get("only_english", False):
+        if labelled is None:
+            raise ValueError("only_english needs a table of labelled text")
+        english = train(labelled)
+    built = build_mixture(
+        open_entry(spark, mixture),
+        mixture["source_map"],
+        mixture.get("exclude", []),
+        open_entry(spark, others[0]).select("id", "messages", "source") if others else None,
+        others[0].get("subset", others[0]["name"]) if others else "local",
+        english,
+    )
+    return built.withColumn("split", F.lit(mixture.get("split", "train")))
+
+
 def funnel_stages(exclude: list[str]):
     """The filter stages over per-conversation rows with ``source`` and ``n_messages``."""
     return [

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat
 from corpusmill.functions.constants import SEED, TEST_FRACTION
 from corpusmill.operators.columns import clean_preferences
+from corpusmill.operators.mixture import concat
 from corpusmill.operators.sampling import exact_split, sample_n, split_label
+from corpusmill.plans.recipe import open_entry
 
 
 def build_training_text(
@@ -32,6 +36,21 @@ def build_training_text(
     return rendered.withColumn("split", split_label(keys, test_fraction, split_seed))
 
 
+def build_training_text_from(
+    spark: SparkSession, recipe: dict[str, Any], keys: list[str], eos: str
+) -> DataFrame:
+    """Training text of every dataset entry, each shuffled and cut to its own ``samples``."""
+    seed = recipe.get("seed", SEED)
+    fraction = recipe.get("test_fraction", TEST_FRACTION)
+    parts = [
+        build_training_text(
+            open_entry(spark, entry), keys, eos, entry.get("samples"), fraction, seed
+        ).withColumn("config", F.lit(entry.get("subset", entry["name"])))
+        for entry in recipe["datasets"]
+    ]
+    return concat(parts)
+
+
 def questions_to_chat(raw: DataFrame, source: str) -> DataFrame:
     """Dirty question/answer rows -> chat rows with an id built from course and question."""
     clean = clean_preferences(raw)
