@@ -45,15 +45,17 @@ def sft_text(messages: Column, eos: str, skip_other_roles: bool = False) -> Colu
     return strip(F.array_join(pieces, ""))
 
 
-def instruction_text(messages: Column) -> Column:
+def instruction(question: Column, answer: Column) -> Column:
     return F.concat(
-        F.lit("### Instruction:\n"),
-        first_content(messages, "user"),
-        F.lit("\n\n### Response:\n"),
-        first_content(messages, "assistant"),
+        F.lit("### Instruction:\n"), question, F.lit("\n\n### Response:\n"), answer
     )
 
 
+def instruction_text(messages: Column) -> Column:
+    """First user message and first assistant message under their headings."""
+    return instruction(first_content(messages, "user"), first_content(messages, "assistant"))
+
+
 def role_piece(role: Column, content: Column, start: str, eos: str) -> Column:
     """``start role newline content eos newline``; roles outside the template add nothing."""
     known = role.isin("user", "system", "assistant")

@@ -36,6 +36,23 @@ def two_message(turns: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def first_contents(turns: DataFrame, keys: list[str], roles: dict[str, str | None]) -> DataFrame:
+    """The first content per conversation of each role, '' when there is none.
+
+    ``roles`` maps output column to role; ``None`` takes the first turn whatever its role, and
+    leaves it null when it has no content. One aggregate, nothing is collected.
+    """
+    columns = []
+    for name, role in roles.items():
+        if role is None:
+            columns.append(F.min_by("content", "turn").alias(name))
+        else:
+            of_role = F.col("role") == role
+            first = F.min_by(F.when(of_role, F.col("content")), F.when(of_role, F.col("turn")))
+            columns.append(F.coalesce(first, F.lit("")).alias(name))
+    return turns.groupBy(*keys).agg(*columns)
+
+
 def assemble(turns: DataFrame, keys: list[str]) -> DataFrame:
     """One row per conversation with its messages in turn order."""
     collected = turns.groupBy(*keys).agg(

@@ -159,17 +159,17 @@ def argmax_option(scores: DataFrame, keys: list[str] | None = None) -> DataFrame
 
 
 def accuracy_by_dataset(predictions: DataFrame) -> DataFrame:
-    return predictions.groupBy("dataset").agg(
-        F.count_if("is_correct").alias("correct"),
-        F.count(F.lit(1)).alias("total"),
-        F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
+    counts = predictions.groupBy("dataset").agg(
+        F.count_if("is_correct").alias("correct"), F.count(F.lit(1)).alias("total")
     )
+    return counts.withColumn("accuracy", F.col("correct") / F.col("total"))
 
 
 def accuracy_with_total(predictions: DataFrame) -> DataFrame:
     """Per dataset and, with a null dataset, over all; 0.0 over all when nothing was evaluated.
 
-    The total adds up the per-dataset counts, so the predictions are read once.
+    The total adds up the per-dataset counts, whose exchange both branches share, so the predictions
+    are computed once.
     """
     per_dataset = accuracy_by_dataset(predictions)
     overall = per_dataset.agg(

@@ -132,7 +132,7 @@ def encode_pairs(
 
 def truncation_audit(df: DataFrame, text: str, source: str, length: int) -> DataFrame:
     """Per source: rows, rows whose end marker would be cut off, and the token counts."""
-    counted = df.select(F.col(source), token_count(F.col(text)).alias("n_tokens"))
+    counted = spread(df.select(source, text)).select(source, token_count(F.col(text)).alias("n_tokens"))
     return counted.groupBy(source).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("n_tokens") + 1 > length).alias("n_truncated"),

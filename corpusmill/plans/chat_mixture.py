@@ -1,4 +1,4 @@
-"""Building a chat mixture: cheap filters, then language, then one-pass mapping to subsets."""
+"""Building a chat mixture: cheap filters, one-pass mapping to subsets, language last."""
 
 from __future__ import annotations
 
@@ -28,14 +28,14 @@ def build_mixture(
 ) -> DataFrame:
     """(id, messages, source, config): filtered and mapped, plus an unfiltered local table.
 
-    Language is judged only for what the cheap filters leave. Rows of unmapped sources, and of a
-    null source, are dropped by the mapping.
+    Rows of unmapped sources, and of a null source, are dropped by the mapping. Language is judged
+    last, only for what the cheap steps leave.
     """
     chats = mixture.select("id", "messages", "source")
     kept = exclude_sources(chats, exclude).where(has_two_messages(F.col("messages")))
+    mapped = map_sources(kept, source_map).select("id", "messages", "source", "config")
     if english is not None:
-        kept = only_language(kept, ["id"], english)
-    mapped = map_sources(kept, source_map)
+        mapped = only_language(mapped, ["id"], english)
     if local is None:
         return mapped
     return concat([mapped, local.withColumn("config", F.lit(local_subset))])

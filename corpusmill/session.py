@@ -66,7 +66,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
+    """A new folder of this application's own."""
+    application = spark.sparkContext.applicationId
+    return f"{staging_root(spark)}/corpusmill/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -137,6 +137,24 @@ def test_two_message_conversations(spark, plan_of):
     assert "partial_min_by" in plan_of(pairs)
 
 
+def test_first_contents_equal_those_of_arrays(spark):
+    from corpusmill.functions import chat
+
+    turns = spark.createDataFrame(
+        [(1, 0, "system", "s"), (1, 1, "assistant", "a1"), (1, 2, "user", "u1"), (1, 3, "assistant", "a2"),
+         (2, 0, "user", None), (2, 1, "user", "u2"), (3, 5, "tool", "t")],
+        "conv long, turn long, role string, content string",
+    )
+    firsts = conversations.first_contents(turns, ["conv"], {"u": "user", "a": "assistant", "f": None})
+    m = F.col("messages")
+    arrays = conversations.assemble(turns, ["conv"]).select(
+        "conv", chat.first_content(m, "user"), chat.first_content(m, "assistant"), chat.nth_content(m, 0)
+    )
+    assert [tuple(r) for r in firsts.orderBy("conv").collect()] == [
+        tuple(r) for r in arrays.orderBy("conv").collect()
+    ]
+
+
 def test_sft_text_of_turns_equals_that_of_arrays(spark):
     from corpusmill.functions import chat
 

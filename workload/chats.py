@@ -10,6 +10,7 @@ from corpusmill.functions.hashing import chosen
 from corpusmill.operators import conversations, langid, mixture, profile
 from corpusmill.plans.chat_mixture import build_mixture, funnel_stages
 from corpusmill.plans.training_text import build_training_text
+from corpusmill.session import stage
 from workload.inputs import (
     EOS,
     EXCLUDED,
@@ -54,8 +55,10 @@ FIRST = """coalesce(arg_min(content, turn) filter (role = '{}'), '')"""
     from turns group by conv_id"""
 )
 def render_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rendered = chat.instruction_text(F.col("messages")).alias("text")
-    return _assembled(spark, sf_dir).select("conv_id", rendered)
+    firsts = conversations.first_contents(
+        turns(spark, sf_dir), ["conv_id"], {"asked": "user", "said": "assistant"}
+    )
+    return firsts.select("conv_id", chat.instruction(F.col("asked"), F.col("said")).alias("text"))
 
 
 @case(
@@ -72,8 +75,7 @@ def render_role_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @case(f"with {TURNS} select conv_id, arg_min(content, turn) as content from turns group by conv_id")
 def first_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = chat.nth_content(F.col("messages"), 0).alias("content")
-    return _assembled(spark, sf_dir).select("conv_id", first)
+    return conversations.first_contents(turns(spark, sf_dir), ["conv_id"], {"content": None})
 
 
 @case(
@@ -224,6 +226,8 @@ LOCAL = """select 'local_' || item_id as id, 'local' as source, 'local' as confi
 def _mixture(spark: SparkSession, sf_dir: str, english=None) -> DataFrame:
     pairs = conversations.two_message(turns(spark, sf_dir), ["conv_id", "source"])
     chats = pairs.select(F.col("conv_id").cast("string").alias("id"), "messages", "source")
+    if english is not None:
+        chats = stage(chats, "chats")  # read twice: to judge the language and to filter by it
     built = build_mixture(
         chats, SOURCE_MAP, EXCLUDED, _local(spark, sf_dir), "local", english
     )

@@ -13,7 +13,7 @@ from corpusmill.operators.tokens import batches, pack_plan
 from corpusmill.functions.text import token_count
 from corpusmill.plans.training_text import questions_to_chat
 from corpusmill.schemas import PREFERENCES_RAW
-from corpusmill.session import staging_path
+from corpusmill.session import spread, stage, staging_path
 from corpusmill.sources import sinks, tables
 from corpusmill.streaming.sample import save_percent_sample
 from workload.inputs import TOKEN, chosen_sql, draw_sql, joined, micros, read
@@ -355,10 +355,12 @@ def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     from s"""
 )
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = tables.with_row_position(read(spark, sf_dir, "documents")).select(
+    placed = spread(tables.with_row_position(read(spark, sf_dir, "documents"))).select(
         "row_position", "doc_id", token_count(F.col("text")).alias("n_tokens")
     )
-    return pack_plan(placed, "row_position", "n_tokens", 2048).drop("row_position")
+    # The plan reads its input twice; staged, the texts are read and cut into tokens once.
+    counted = stage(placed, "token-counts")
+    return pack_plan(counted, "row_position", "n_tokens", 2048).drop("row_position")
 
 
 MARKDOWN = [r"\n#{1,6} ", r"```\n", r"\n\*\*\*+\n", r"\n---+\n", r"\n___+\n", r"\n\n", r"\n", " "]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import chat
 from corpusmill.operators import conversations, tokens
 from corpusmill.session import stage
 from corpusmill.sources.tables import with_row_position
@@ -93,11 +92,8 @@ PADDED = "array_to_string(list_concat(list_transform(range(100 - len({0})), lamb
     from both_sides"""
 )
 def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chats = conversations.assemble(turns(spark, sf_dir), ["conv_id"])
-    pairs = chats.select(
-        "conv_id",
-        chat.first_content(F.col("messages"), "user").alias("input"),
-        chat.first_content(F.col("messages"), "assistant").alias("output"),
+    pairs = conversations.first_contents(
+        turns(spark, sf_dir), ["conv_id"], {"input": "user", "output": "assistant"}
     )
     encoded = tokens.encode_pairs(pairs, ["conv_id"], _vocab(spark, sf_dir), 100)
     attended = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
