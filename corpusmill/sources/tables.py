@@ -29,8 +29,12 @@ def scan_split(
     return df.select(*columns) if columns else df
 
 
-def scan_saved(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def scan_saved(
+    spark: SparkSession, path: str, schema: T.StructType | None = None
+) -> DataFrame:
+    """A saved table; with ``schema`` it may be empty."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
 
 
 def scan_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

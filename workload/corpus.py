@@ -277,10 +277,12 @@ def percent_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_percent_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch sample again, through a file stream and a table."""
     schema = read(spark, sf_dir, "documents").schema
-    stream = tables.scan_stream(spark, sf_dir, schema, "documents.parquet")
+    # A pattern, since a stream cannot start from the bare path of one file.
+    stream = tables.scan_stream(spark, f"{sf_dir}/documents.parquet*", schema)
+    texts = stream.select("doc_id", "text")
     out, checkpoint = staging_path(spark, "sampled"), staging_path(spark, "progress")
-    save_percent_sample(stream.select("doc_id", "text"), 1, ["doc_id"], out, checkpoint)
-    return tables.scan_saved(spark, out)
+    save_percent_sample(texts, 1, ["doc_id"], out, checkpoint)
+    return tables.scan_saved(spark, out, texts.schema)
 
 
 @case(
