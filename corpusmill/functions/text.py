@@ -33,14 +33,32 @@ def adjacent_pairs(items: Column) -> Column:
     return zipped.cast("array<struct<prev:string,cur:string>>")
 
 
-def letter_trigrams(text: Column) -> Column:
-    """Overlapping three-character windows over lower-cased letters, runs of others as one space.
+def letters_only(text: Column) -> Column:
+    """Lower-cased letters, with every run of anything else as one space."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\P{L}+", " "))
+
+
+def trigrams(letters: Column) -> Column:
+    """Overlapping three-character windows.
 
     The lookahead yields all windows in one linear pass; ``substring`` per position would walk
     the string from its start each time.
     """
-    plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\P{L}+", " "))
-    return F.regexp_extract_all(plain, F.lit(r"(?=([ \p{L}]{3}))"), F.lit(1))
+    return F.regexp_extract_all(letters, F.lit(r"(?=([ \p{L}]{3}))"), F.lit(1))
+
+
+def overlapping_slices(text: Column, size: int, overlap: int) -> Column:
+    """The text in slices of ``size`` characters, each with the first ``overlap`` of the next.
+
+    Every window of ``overlap + 1`` characters lies in exactly one slice, so windows of a very long
+    text can be taken slice by slice instead of as one huge array.
+    """
+    last = F.floor((F.char_length(text) - 1) / F.lit(size)).cast("int")
+    cut = F.transform(
+        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+        lambda k: F.substring(text, k * size + 1, F.lit(size + overlap)),
+    )
+    return F.when(F.char_length(text) <= size, F.array(text)).otherwise(cut)
 
 
 def strip_newlines(text: Column) -> Column:

@@ -11,17 +11,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import letter_trigrams
+from corpusmill.functions.text import letters_only, overlapping_slices, trigrams
 from corpusmill.operators.skew import MAX_BROADCAST_ROWS, lookup_join
 from corpusmill.session import spread, stage
 
 SCALE = 1_000_000
+SLICE = 1 << 16  # characters whose trigrams are held as one array
 
 
 def log_share(part: Column, whole: Column) -> Column:
     return F.round(F.ln(part.cast("double") / whole.cast("double")) * F.lit(SCALE)).cast("bigint")
 
 
+def _exploded(df: DataFrame, text: str) -> DataFrame:
+    """One row per trigram in ``gram`` in place of ``text``; a text without any keeps a null row."""
+    others = [c for c in df.columns if c != text]
+    plain = df.select(*others, letters_only(F.col(text)).alias("_letters"))
+    cut = plain.select(*others, F.explode(overlapping_slices(F.col("_letters"), SLICE, 2)).alias("_slice"))
+    return cut.select(*others, F.explode_outer(trigrams(F.col("_slice"))).alias("gram"))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Trigram counts, staged: one row per trigram with its total ``n`` and ``n0, n1, ...``, its
@@ -70,7 +79,7 @@ def train(
         found = df.where(F.col(lang).isNotNull()).select(lang).distinct().collect()
         languages = sorted(r[0] for r in found)
     texts = spread(df.select(F.col(lang).alias("lang"), F.col(text).alias("text")))
-    grams = texts.select("lang", F.explode(letter_trigrams(F.col("text"))).alias("gram"))
+    grams = _exploded(texts, "text").where("gram is not null")
     counts = stage(
         grams.groupBy("gram").agg(
             F.count(F.lit(1)).alias("n"),
@@ -98,8 +107,7 @@ def detect(
     Trigrams meet the weights in a broadcast join and are summed where they lie, so what is
     shuffled is one row of sums per text. Ties go to the language that sorts first.
     """
-    texts = spread(df.select(*keys, F.col(text).alias("_text")), *keys)
-    grams = texts.select(*keys, F.explode_outer(letter_trigrams(F.col("_text"))).alias("gram"))
+    grams = _exploded(spread(df.select(*keys, F.col(text).alias("_text")), *keys), "_text")
     weighed = lookup_join(grams, model.weights(), ["gram"], "n", "left", max_broadcast_rows)
     indexes = range(len(model.languages))
     floors = [model.log_probability(i, F.lit(0)) for i in indexes]

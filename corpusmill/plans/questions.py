@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions import mcqa
 from corpusmill.functions.constants import SEED, STEM_SUBJECTS
 from corpusmill.operators.adapters import POSITION, Origin, adapt_all
+from corpusmill.operators.ordering import hash_position
+from corpusmill.operators.tokens import batches
 from corpusmill.plans.recipe import open_entry
 from corpusmill.sources.tables import with_row_position
 
@@ -30,6 +32,15 @@ def build_questions(spark: SparkSession, recipe: dict[str, Any]) -> DataFrame:
     return adapt_all(inputs)
 
 
+def prompt_batches(
+    questions: DataFrame, size: int, keys: tuple[str, ...] = ("id",), seed: int = SEED
+) -> DataFrame:
+    """Questions shuffled, turned into prompts and collated: one row of parallel lists per batch."""
+    placed = hash_position(questions, seed, list(keys), "_place")
+    columns = ["prompt", "options", "correct_idx", "dataset"]
+    return batches(prompts(placed, "_place"), "_place", columns, size)
+
+
 def prompts(questions: DataFrame, *carry: str) -> DataFrame:
     """Prompt rows; ``valid`` says whether the answer points at one of the choices."""
     index = mcqa.answer_index(F.col("answer"))

@@ -183,13 +183,21 @@ def test_tokens_and_their_count(spark):
     [("AbC", ["abc"]), ("ab 12!cd", ["ab ", "b c", " cd"]), ("ab", []), ("", []), (None, []),
      ("a𝔘b c", None)],
 )
-def test_letter_trigrams(spark, value, want):
-    found = one(spark, text.letter_trigrams(F.col("t")), t=(value, "string"))
+def test_trigrams_of_letters(spark, value, want):
+    found = one(spark, text.trigrams(text.letters_only(F.col("t"))), t=(value, "string"))
     if want is not None:
         assert found == want
     assert all(len(g) == 3 for g in found)
 
 
+@pytest.mark.parametrize("size", [1, 3, 4, 50])
+@pytest.mark.parametrize("value", ["", "ab", "abc", "abcdefg", "abcdefgh"])
+def test_slices_hold_each_window_once(spark, value, size):
+    cut = text.overlapping_slices(F.col("t"), size, 2)
+    windows = F.flatten(F.transform(cut, text.trigrams))
+    assert one(spark, windows, t=(value, "string")) == [value[i : i + 3] for i in range(len(value) - 2)]
+
+
 def test_adjacent_pairs(spark):
     pairs = one(spark, text.adjacent_pairs(F.col("a")), a=(["x", "y", "z"], "array<string>"))
     assert [(p["prev"], p["cur"]) for p in pairs] == [("x", "y"), ("y", "z")]

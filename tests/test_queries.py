@@ -7,8 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from tools.check import compare, database
 
-# Queries whose plan is allowed a Python worker: the one that runs a caller's model.
-PYTHON = {"model_scored_options"}
+# Queries whose plan is allowed a Python worker: those that run a caller's code.
+PYTHON = {"model_scored_options", "map_batches"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))

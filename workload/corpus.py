@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.chat import nth_content
-from corpusmill.operators import columns, distribution, mixture, profile, sampling
+from corpusmill.operators import columns, custom, distribution, mixture, profile, sampling
 from corpusmill.operators.chunking import chunk_documents as chunks
 from corpusmill.operators.ordering import hash_position
 from corpusmill.operators.tokens import batches, pack_plan
@@ -220,6 +220,21 @@ def weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.weighted_mix(documents, WEIGHTS, ["doc_id"], 42)
 
 
+def _measure(batch):
+    """Stands in for a caller's code."""
+    return batch.assign(n=batch["text"].str.len(), lines=batch["text"].str.count("\n") + 1)[["n", "lines"]]
+
+
+@case(
+    """select doc_id, length(text) as n,
+           (length(text) - length(replace(text, chr(10), '')) + 1)::bigint as lines
+    from documents"""
+)
+def map_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return custom.map_batches(documents, ["text"], _measure, "n bigint, lines bigint", ["text"])
+
+
 @case("select distinct source from documents")
 def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.distinct_values(read(spark, sf_dir, "documents"), "source")

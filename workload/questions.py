@@ -9,7 +9,7 @@ from corpusmill.functions import mcqa
 from corpusmill.functions.constants import MCQA_HEADER
 from corpusmill.operators import adapters, mixture
 from corpusmill.operators.scoring import option_candidates as candidates
-from corpusmill.plans.questions import prompts
+from corpusmill.plans.questions import prompt_batches, prompts
 from workload import inputs
 from workload.inputs import ARC_KEY, MATH_CHOICES, PARTS, joined, origin
 from workload.registry import case
@@ -233,6 +233,26 @@ def mcqa_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@case(
+    f"""with {PARTS}, placed as (
+      select *, row_number() over (order by md5('42:book_' || pos), 'book_' || pos) - 1 as place,
+             letters[(p_partkey % 4) + 1] as answer
+      from parts)
+    select (place // 8)::bigint as batch, string_agg({PROMPT}, '~' order by place) as prompts,
+           string_agg((ascii(answer) - 65)::varchar, '|' order by place) as correct,
+           string_agg(' A B C D', '|' order by place) as options
+    from placed group by 1"""
+)
+def mcqa_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = prompt_batches(_adapted(spark, sf_dir, "mcqa_openbook"), 8)
+    return built.select(
+        "batch",
+        F.array_join("prompt", "~").alias("prompts"),
+        joined(F.col("correct_idx")).alias("correct"),
+        joined(F.transform("options", lambda o: F.array_join(o, ""))).alias("options"),
+    )
+
+
 @case(
     f"""with {PARTS} select 'arc_' || p_partkey as id, i::integer as option_idx,
     {PROMPT} || ' ' || chr((65 + i)::integer) as candidate from parts, range(4) r(i)"""
