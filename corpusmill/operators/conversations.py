@@ -1,17 +1,22 @@
 """Conversations stored as one row per turn: (conversation, turn, role, content).
 
 Counting, filtering and two-message assembly use aggregates that combine map-side, so a
-conversation with very many turns never gathers in one task. Only ``assemble`` builds the array,
-because there the row of one whole conversation is the result itself.
+conversation with very many turns never gathers in one task. Only ``assemble`` and ``sft_text``
+build one value per conversation, and they gather a very long one by stretches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.chat import sft_piece
 from corpusmill.functions.text import strip
+from corpusmill.operators.ordering import largest_group
+
+MAX_TURNS = 100_000  # turns that one task may gather for one conversation
 
 
 def lengths(turns: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,25 +58,61 @@ def first_contents(turns: DataFrame, keys: list[str], roles: dict[str, str | Non
     return turns.groupBy(*keys).agg(*columns)
 
 
-def assemble(turns: DataFrame, keys: list[str]) -> DataFrame:
+def assemble(turns: DataFrame, keys: list[str], max_turns: int = MAX_TURNS) -> DataFrame:
     """One row per conversation with its messages in turn order."""
-    collected = turns.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("_turns")
-    )
-    messages = F.transform(
-        "_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
-    )
-    return collected.select(*keys, messages.alias("messages"))
+
+    def messages(ordered: Column) -> Column:
+        return F.transform(
+            ordered, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
+        )
+
+    rows = turns.select(*keys, "turn", "role", "content")
+    return _in_order(rows, keys, "messages", messages, F.flatten, max_turns)
 
 
 def sft_text(
-    turns: DataFrame, keys: list[str], eos: str, skip_other_roles: bool = False
+    turns: DataFrame,
+    keys: list[str],
+    eos: str,
+    skip_other_roles: bool = False,
+    max_turns: int = MAX_TURNS,
 ) -> DataFrame:
     """Training text per conversation: turns are rendered where they lie, then joined in order."""
+
+    def joined(pieces: Column) -> Column:
+        return F.array_join(pieces, "")
+
     piece = sft_piece(F.col("role"), F.col("content"), eos, skip_other_roles)
     pieces = turns.select(*keys, "turn", piece.alias("piece"))
-    joined = pieces.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "piece"))).alias("_pieces")
+    texts = _in_order(
+        pieces, keys, "text", lambda t: joined(F.transform(t, lambda p: p["piece"])), joined, max_turns
+    )
+    return texts.select(*keys, strip(F.col("text")).alias("text"))
+
+
+def _in_order(
+    rows: DataFrame,
+    keys: list[str],
+    name: str,
+    build: Callable[[Column], Column],
+    combine: Callable[[Column], Column],
+    max_turns: int,
+) -> DataFrame:
+    """``build`` applied to each conversation's turns in order.
+
+    If some conversation outgrows a task's list, stretches of turns are built first, in different
+    tasks, and ``combine`` puts the few results of a conversation together.
+    """
+    turn = F.struct("turn", *[c for c in rows.columns if c not in keys and c != "turn"])
+    whole = build(F.sort_array(F.collect_list(turn)))
+    if largest_group(rows, *keys) <= max_turns:
+        return rows.groupBy(*keys).agg(whole.alias(name))
+    stretches = (
+        rows.withColumn("_stretch", F.floor(F.col("turn") / F.lit(max_turns)))
+        .groupBy(*keys, "_stretch")
+        .agg(whole.alias("_built"))
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("_stretch", "_built")))
+    return stretches.groupBy(*keys).agg(
+        combine(F.transform(ordered, lambda s: s["_built"])).alias(name)
     )
-    text = strip(F.array_join(F.transform("_pieces", lambda p: p["piece"]), ""))
-    return joined.select(*keys, text.alias("text"))

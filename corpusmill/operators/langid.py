@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import letters_only, overlapping_slices, trigrams
-from corpusmill.operators.skew import MAX_BROADCAST_ROWS, lookup_join
+from corpusmill.operators.skew import MAX_BROADCAST_BYTES, lookup_join
 from corpusmill.session import spread, stage
 
 SCALE = 1_000_000
@@ -100,7 +100,7 @@ def detect(
     keys: list[str],
     text: str,
     model: LanguageModel,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """(keys, n_grams, score, lang) per text; ``lang`` is null for a text without trigrams.
 
@@ -108,7 +108,7 @@ def detect(
     shuffled is one row of sums per text. Ties go to the language that sorts first.
     """
     grams = _exploded(spread(df.select(*keys, F.col(text).alias("_text")), *keys), "_text")
-    weighed = lookup_join(grams, model.weights(), ["gram"], "n", "left", max_broadcast_rows)
+    weighed = lookup_join(grams, model.weights(), ["gram"], "n", "left", max_broadcast_bytes)
     indexes = range(len(model.languages))
     floors = [model.log_probability(i, F.lit(0)) for i in indexes]
     sums = weighed.groupBy(*keys).agg(

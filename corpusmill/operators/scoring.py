@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.text import adjacent_pairs, tokens
 from corpusmill.operators.langid import SCALE, log_share
-from corpusmill.operators.skew import MAX_BROADCAST_ROWS, lookup_join
+from corpusmill.operators.skew import MAX_BROADCAST_BYTES, lookup_join
 from corpusmill.session import spread, stage
 
 ITEM = ["item", "dataset", "target"]
@@ -83,7 +83,7 @@ def score_options(
     keys: list[str],
     model: BigramModel,
     length_scale: str = "reference",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """(keys, option_idx, score) for every option of every item under the bigram model.
 
@@ -111,7 +111,7 @@ def score_options(
     priced = stage(with_context.select("prev", "cur", "heat", logp.alias("logp")), "priced-pairs")
 
     summed = (
-        lookup_join(long, priced, ["prev", "cur"], "heat", "left", max_broadcast_rows)
+        lookup_join(long, priced, ["prev", "cur"], "heat", "left", max_broadcast_bytes)
         .groupBy(*keys, "option_idx", "n_tokens")
         .agg(F.coalesce(F.sum("logp"), F.lit(0)).alias("logp"), F.count("prev").alias("n_pairs"))
     )

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 1_000_000  # narrow rows of some 100 bytes: 100 MB per executor
+MAX_BROADCAST_BYTES = 128 << 20  # data of a broadcast table; its hash table takes a few times that
+ROW_OVERHEAD = 32
 
 
 def lookup_join(
@@ -17,18 +18,20 @@ def lookup_join(
     keys: list[str],
     heat: str,
     how: str = "left",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``facts`` to ``table``, which has one row per key and should be staged.
 
-    ``heat`` is how often a key occurs. A table within the limit is broadcast whole. Beyond it,
-    the keys above a heat threshold are broadcast, as many as fit, and only facts with a colder
-    key are shuffled; every key is still looked up.
+    ``heat`` is how often a key occurs. The table's data is measured first, text lengths included.
+    Within the limit it is broadcast whole. Beyond it, the keys above a heat threshold are
+    broadcast, as many as fit, and only facts with a colder key are shuffled; every key is still
+    looked up. A key that many facts have and the table lacks is left to adaptive skew handling.
     """
-    if table.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+    size = table.agg(F.sum(_row_bytes(table)).alias("bytes")).first()["bytes"] or 0
+    if size <= max_broadcast_bytes:
         return facts.join(F.broadcast(table.drop(heat)), keys, how)
 
-    level = hot_level(table, heat, max_broadcast_rows)
+    level = hot_level(table, heat, max_broadcast_bytes)
     hot = table.where(_bits(heat) >= level).drop(heat).withColumn("_hot", F.lit(True))
     cold = table.where(_bits(heat) < level).drop(heat)
     marked = facts.join(F.broadcast(hot), keys, "left")
@@ -42,20 +45,31 @@ def lookup_join(
     return found.unionByName(rest.where(~keyed), allowMissingColumns=True)
 
 
-def hot_level(table: DataFrame, heat: str, max_rows: int) -> int:
-    """Smallest bit length of ``heat`` from which on at most ``max_rows`` keys remain.
+def hot_level(table: DataFrame, heat: str, max_bytes: int) -> int:
+    """Smallest bit length of ``heat`` from which on the rows fit into ``max_bytes``.
 
     The histogram has one row per bit length, 64 at most.
     """
-    counts = table.groupBy(_bits(heat).alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()
+    histogram = table.groupBy(_bits(heat).alias("bits")).agg(
+        F.sum(_row_bytes(table)).alias("bytes")
+    )
     level, kept = 65, 0
-    for row in sorted(counts, key=lambda r: -r["bits"]):
-        kept += row["n"]
-        if kept > max_rows:
+    for row in sorted(histogram.collect(), key=lambda r: -r["bits"]):
+        kept += row["bytes"]
+        if kept > max_bytes:
             break
         level = row["bits"]
     return level
 
 
-def _bits(heat: str):
+def _bits(heat: str) -> Column:
     return F.length(F.bin(F.col(heat).cast("bigint")))
+
+
+def _row_bytes(table: DataFrame) -> Column:
+    """Text by its length, everything else as eight bytes."""
+    sizes = [
+        F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(8)
+        for name, kind in table.dtypes
+    ]
+    return reduce(add, sizes, F.lit(ROW_OVERHEAD)).cast("bigint")

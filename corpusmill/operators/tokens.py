@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import token_count, tokens
 from corpusmill.functions.hashing import hex_prefix
 from corpusmill.operators.ordering import position_in_order, running_total
-from corpusmill.operators.skew import MAX_BROADCAST_ROWS, lookup_join
+from corpusmill.operators.skew import MAX_BROADCAST_BYTES, lookup_join
 from corpusmill.session import spread
 
 PAD, UNKNOWN, EOS = 0, 1, 2
@@ -50,7 +50,7 @@ def encode(
     keys: list[str],
     texts: dict[str, str],
     vocab: DataFrame,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Token ids of one or more text columns: ``texts`` maps output column to input column.
 
@@ -67,7 +67,7 @@ def encode(
     long = rows.select(*keys, F.inline(fields)).select(
         *keys, "field", F.posexplode_outer("tokens").alias("pos", "token")
     )
-    found = lookup_join(long, vocab, ["token"], "n", "left", max_broadcast_rows)
+    found = lookup_join(long, vocab, ["token"], "n", "left", max_broadcast_bytes)
     token_id = F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).cast("bigint")
     # Place and id in one number: a list of numbers is smaller to gather and sort than of structs.
     placed = F.shiftleft(F.col("pos").cast("bigint"), ID_BITS).bitwiseOR(token_id)

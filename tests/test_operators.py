@@ -159,11 +159,15 @@ def test_sft_text_of_turns_equals_that_of_arrays(spark):
     from corpusmill.functions import chat
 
     turns = hot_turns(spark)
-    long = conversations.sft_text(turns, ["conv"], "<e>")
-    arrays = conversations.assemble(turns, ["conv"]).select(
-        "conv", chat.sft_text(F.col("messages"), "<e>").alias("text")
-    )
-    assert rows(long) == rows(arrays)
+    results = []
+    for limit in (100, 100_000):
+        results.append(rows(conversations.sft_text(turns, ["conv"], "<e>", max_turns=limit)))
+        arrays = conversations.assemble(turns, ["conv"], limit).select(
+            "conv", chat.sft_text(F.col("messages"), "<e>").alias("text")
+        )
+        results.append(rows(arrays))
+    assert results[0] == results[1] == results[2] == results[3]
+    assert results[0][0][1].startswith("t0\n\n<e>t1\n\n<e>t2") and len(results[0]) == 51
 
 
 # --- order ---------------------------------------------------------------------------------
@@ -277,7 +281,7 @@ def test_weighted_draw_follows_the_weights(spark):
 # --- lookups -------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [0, 3, 10, 1000])
+@pytest.mark.parametrize("limit", [0, 200, 600, 1 << 20])
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_join_beyond_the_broadcast_limit(spark, limit, how):
     table = spark.createDataFrame(
@@ -295,11 +299,20 @@ def test_lookup_join_beyond_the_broadcast_limit(spark, limit, how):
 
 def test_hot_level_keeps_within_the_limit(spark):
     table = spark.range(1, 1000).select(F.col("id").alias("heat"))
-    for limit in (0, 1, 500, 900, 5000):
+    row = skew.ROW_OVERHEAD + 8
+    for limit in (0, row, 500 * row, 900 * row, 5000 * row):
         level = skew.hot_level(table, "heat", limit)
         hot = table.where(F.length(F.bin("heat")) >= level).count()
-        assert hot <= limit
-    assert skew.hot_level(table, "heat", 5000) == 1
+        assert hot * row <= limit
+    assert skew.hot_level(table, "heat", 5000 * row) == 1
+
+
+def test_long_texts_count_towards_the_broadcast_limit(spark, plan_of):
+    table = spark.createDataFrame([("a", 1, 9), ("b" * 5000, 2, 1)], "key string, v int, heat long")
+    facts = spark.createDataFrame([("a",), ("b" * 5000,), ("c",)], "key string")
+    got = skew.lookup_join(facts, table, ["key"], "heat", "left", 1000)
+    assert sorted((len(r["key"]), r["v"]) for r in got.collect() if r["v"]) == [(1, 1), (5000, 2)]
+    assert "Union" in plan_of(got)
 
 
 # --- adapters ------------------------------------------------------------------------------
@@ -375,7 +388,7 @@ def test_language_detection_and_texts_without_letters(spark):
     model = language_model(spark)
     texts = [(0, "the dog is the thing"), (1, "le chien est la"), (2, "ab"), (3, ""), (4, None), (5, "12 34")]
     df = spark.createDataFrame(texts, "k long, t string")
-    for limit in (0, 5, 10_000):
+    for limit in (0, 800, 1 << 20):
         got = {r["k"]: r["lang"] for r in langid.detect(df, ["k"], "t", model, limit).collect()}
         assert got == {0: "en", 1: "fr", 2: None, 3: None, 4: None, 5: None}
 
@@ -383,7 +396,7 @@ def test_language_detection_and_texts_without_letters(spark):
 def test_scores_do_not_depend_on_the_join_path(spark):
     model = language_model(spark)
     df = spark.createDataFrame([(i, "the chat " * (i + 1)) for i in range(20)], "k long, t string")
-    paths = [rows(langid.detect(df, ["k"], "t", model, n)) for n in (0, 3, 10_000)]
+    paths = [rows(langid.detect(df, ["k"], "t", model, n)) for n in (0, 800, 1 << 20)]
     assert paths[0] == paths[1] == paths[2]
 
 
@@ -415,7 +428,7 @@ def test_vocabulary_ranks_by_frequency(spark):
     assert sorted(i for _, i in vocab.values()) == list(range(3, 3 + 54))
 
 
-@pytest.mark.parametrize("limit", [0, 2, 1000])
+@pytest.mark.parametrize("limit", [0, 120, 1 << 20])
 def test_encoding_keeps_order_unknowns_and_empty_texts(spark, limit):
     vocab = stage(tokens.build_vocab(spark.createDataFrame([("x x x y y z",)], "text string")), "v")
     df = spark.createDataFrame(
@@ -525,7 +538,7 @@ def bigram_reference(corpus, prompt, option, scale):
 
 
 @pytest.mark.parametrize("scale", ["reference", "sum"])
-@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_bigram_scores_against_brute_force(spark, scale, limit):
     corpus = ["the answer is a b", "the answer is b", "a question : b b", "one"]
     model = scoring.train_bigrams(spark.createDataFrame([(c,) for c in corpus], "text string"))
