@@ -16,6 +16,7 @@ from corpusmill.operators.skew import MAX_BROADCAST_BYTES, lookup_join
 from corpusmill.session import spread, stage
 
 SCALE = 1_000_000
+MAX_LANGUAGES = 1000  # each becomes a column
 SLICE = 1 << 16  # characters whose trigrams are held as one array
 
 
@@ -76,8 +77,10 @@ def train(
 ) -> LanguageModel:
     """Count trigrams per language in one aggregate; languages are few, so each gets a column."""
     if languages is None:
-        found = df.where(F.col(lang).isNotNull()).select(lang).distinct().collect()
-        languages = sorted(r[0] for r in found)
+        found = df.where(F.col(lang).isNotNull()).select(lang).distinct()
+        languages = sorted(r[0] for r in found.limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"column {lang} holds more than {MAX_LANGUAGES} languages")
     texts = spread(df.select(F.col(lang).alias("lang"), F.col(text).alias("text")))
     grams = _exploded(texts, "text").where("gram is not null")
     counts = stage(

@@ -13,6 +13,7 @@ from corpusmill.functions.hashing import hex_prefix, seeded_md5
 from corpusmill.session import stage
 
 HASH_DIGITS = 4  # 65,536 buckets: the largest table of offsets that hash order can have
+CUT_DIGITS = 5  # a million buckets where the offsets are not broadcast and one bucket is ordered
 SHARD_ROWS = 1 << 20  # rows per bucket of a dense position
 MAX_GROUP_ROWS = 5_000_000  # rows of one group that a single window task may sort
 
@@ -86,7 +87,7 @@ def first_in_hash_order(
     """
     columns = [F.col(k) for k in keys]
     hashed = df.select(*keys, seeded_md5(seed, *columns).alias("_hash"))
-    hashed = hashed.withColumn("_bucket", hex_prefix(F.col("_hash"), HASH_DIGITS))
+    hashed = hashed.withColumn("_bucket", hex_prefix(F.col("_hash"), CUT_DIGITS))
     totals = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _bucket_offsets(totals, "_bucket", "_n", keep=True)
     edge = (

@@ -21,6 +21,7 @@ RECOMMENDED = {
 }
 
 SMALL_BYTES = 16 << 20
+PIECE_BYTES = 64 << 10
 
 _local_root: str | None = None
 
@@ -53,7 +54,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     A table under ``SMALL_BYTES`` per core fills only some of the cores when scanned, a single row
     group only one. Larger inputs already fill them and are left alone, so nothing big is moved.
-    With ``keys`` the rows are placed for a later grouping by them.
+    With ``keys`` the rows are placed for a later grouping by them. A tiny table gets no more
+    partitions than it has pieces of ``PIECE_BYTES``.
     """
     plan = getattr(df, "_jdf", None)
     if plan is None or df.isStreaming:
@@ -62,7 +64,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= cores * SMALL_BYTES:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(min(cores, size // PIECE_BYTES + 1), *keys)
 
 
 def staging_path(spark: SparkSession, label: str) -> str:

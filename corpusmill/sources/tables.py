@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A broadcast offset is a path and a number per file, some 250 bytes: 250 MB at this many files.
-MAX_BROADCAST_FILES = 1_000_000
+MAX_BROADCAST_PATHS = 128 << 20  # characters of all paths, whose offsets may be broadcast
 
 
 def scan_split(
@@ -82,12 +81,12 @@ def with_row_position(scan: DataFrame, name: str = "row_position", total: str |
     moved. It must be applied to the scan itself: positions are unknown after a shuffle or union.
     """
     row = F.col("_metadata.row_index")
-    n_files = len(scan.inputFiles())
-    if n_files == 1 and total is None:
+    files = scan.inputFiles()
+    if len(files) == 1 and total is None:
         return scan.select("*", row.alias(name))
     tagged = scan.select("*", row.alias("_row"), F.col("_metadata.file_path").alias("_file"))
     offsets = _file_offsets(scan)
-    if n_files <= MAX_BROADCAST_FILES:
+    if sum(map(len, files)) <= MAX_BROADCAST_PATHS:
         offsets = F.broadcast(offsets)
     placed = tagged.join(offsets, "_file").withColumn(name, F.col("_row") + F.col("_offset"))
     if total is not None:

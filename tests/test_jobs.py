@@ -51,7 +51,7 @@ def test_row_positions_over_several_files(spark, tmp_path):
 def test_row_positions_beyond_the_broadcast_limit(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     spark.range(0, 100, 1, 5).write.parquet(path)
-    monkeypatch.setattr(tables, "MAX_BROADCAST_FILES", 1)
+    monkeypatch.setattr(tables, "MAX_BROADCAST_PATHS", 1)
     assert rows(tables.with_row_position(spark.read.parquet(path))) == [(i, i) for i in range(100)]
 
 
@@ -214,6 +214,20 @@ def test_mixture_job(spark, tmp_path):
     assert rows(strict.groupBy("config").count()) == [("mine", 7)]
 
 
+def test_jobs_run_from_the_command_line(spark, tmp_path):
+    from corpusmill.__main__ import run
+
+    source, out, recipe = (str(tmp_path / n) for n in ("chats", "out", "recipe.json"))
+    chats(spark, 30).write.parquet(source)
+    entry = {"name": "a", "path": source, "layout": "plain", "samples": 20}
+    Path(recipe).write_text(json.dumps({"datasets": [entry], "test_fraction": 0.2}))
+    run(spark, ["training-text", "--recipe", recipe, "--output", out, "--eos", "<e>"])
+    back = spark.read.parquet(out)
+    assert back.count() == 20 and set(back.columns) == {"id", "text", "split", "config"}
+    with pytest.raises(SystemExit):
+        run(spark, ["unknown", "--recipe", recipe])
+
+
 def test_question_job(spark, tmp_path):
     root = str(tmp_path / "raw")
     df = spark.createDataFrame(
