@@ -82,4 +82,6 @@ def weighted_mix(
 
 
 def _literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, names)
+    """A table from the recipe, made in the JVM."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
