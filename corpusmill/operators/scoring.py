@@ -105,7 +105,7 @@ def score_options(
     needed = stage(counted, "needed-pairs")
     known = model.pairs.join(needed, ["prev", "cur"], "left_semi")
     found = needed.join(known, ["prev", "cur"], "left")
-    contexts = model.contexts.join(needed, "prev", "left_semi")
+    contexts = model.contexts.join(needed.select("prev").distinct(), "prev", "left_semi")
     with_context = lookup_join(found, contexts, ["prev"], "n_pairs")
     logp = model.log_probability(F.col("n"), F.col("n_prev"))
     priced = stage(with_context.select("prev", "cur", "heat", logp.alias("logp")), "priced-pairs")

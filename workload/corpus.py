@@ -220,19 +220,20 @@ def weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.weighted_mix(documents, WEIGHTS, ["doc_id"], 42)
 
 
-def _measure(batch):
-    """Stands in for a caller's code."""
-    return batch.assign(n=batch["text"].str.len(), lines=batch["text"].str.count("\n") + 1)[["n", "lines"]]
-
-
 @case(
     """select doc_id, length(text) as n,
            (length(text) - length(replace(text, chr(10), '')) + 1)::bigint as lines
     from documents"""
 )
 def map_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's code over batches; defined in here so that it travels to the workers by value."""
+
+    def measure(batch):
+        n, lines = batch["text"].str.len(), batch["text"].str.count("\n") + 1
+        return batch.assign(n=n, lines=lines)[["n", "lines"]]
+
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return custom.map_batches(documents, ["text"], _measure, "n bigint, lines bigint", ["text"])
+    return custom.map_batches(documents, ["text"], measure, "n bigint, lines bigint", ["text"])
 
 
 @case("select distinct source from documents")

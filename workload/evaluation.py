@@ -134,22 +134,21 @@ def evaluate_mcqa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.select("metric", micros(F.col("value")).alias("value_micro"))
 
 
-def _last_letter_model():
-    """Stands in for a model: the score of a text is the code of its last character."""
-    import numpy as np
-
-    def predict(texts: np.ndarray) -> np.ndarray:
-        return np.array([float(ord(t[-1])) for t in texts])
-
-    return predict
-
-
 @case(
     f"""with {PARTS} select 'book_' || pos as item, i::integer as option_idx,
     (65 + i)::double as score from parts, range(4) r(i)"""
 )
 def model_scored_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A caller's model in the place of the built-in one."""
+    """A caller's model in the place of the built-in one: the code of the last character.
+
+    It is defined in here so that it travels to the workers by value.
+    """
+
+    def make_model():
+        import numpy as np
+
+        return lambda texts: np.array([float(ord(t[-1])) for t in texts])
+
     candidates = scoring.option_candidates(book_items(spark, sf_dir))
-    scored = scoring.score_with_model(candidates, _last_letter_model)
+    scored = scoring.score_with_model(candidates, make_model)
     return scored.select("item", "option_idx", "score")
