@@ -16,6 +16,7 @@ from workload.inputs import (
     EXCLUDED,
     LENGTHS,
     SOURCE_MAP,
+    START,
     TURNS,
     chosen_sql,
     draw_sql,
@@ -24,7 +25,6 @@ from workload.inputs import (
 )
 from workload.registry import case
 
-START = "<|start|>"
 MAP_ROWS = ", ".join(f"('{s}', '{c}')" for s, c in SOURCE_MAP.items())
 TRIM = r"'^\s+|\s+$', '', 'g'"
 PIECE = f"""case when lower(coalesce(role, '')) in ('user', 'assistant')

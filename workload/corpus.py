@@ -10,6 +10,7 @@ from corpusmill.operators import columns, custom, distribution, mixture, profile
 from corpusmill.operators.chunking import chunk_documents as chunks
 from corpusmill.operators.ordering import hash_position
 from corpusmill.operators.tokens import batches, pack_plan
+from corpusmill.functions.constants import MAX_TOKENS
 from corpusmill.functions.text import token_count
 from corpusmill.plans.training_text import questions_to_chat
 from corpusmill.schemas import PREFERENCES_RAW
@@ -367,9 +368,9 @@ def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
       select *, coalesce(sum(n_tokens + 1) over (order by doc_id
                 rows between unbounded preceding and 1 preceding), 0)::bigint as start
       from t)
-    select doc_id, n_tokens::bigint as n_tokens, start, (start // 2048)::bigint as first_block,
-           ((start + n_tokens) // 2048)::bigint as last_block,
-           (start + n_tokens) // 2048 > start // 2048 as crosses
+    select doc_id, n_tokens::bigint as n_tokens, start, (start // {MAX_TOKENS})::bigint as first_block,
+           ((start + n_tokens) // {MAX_TOKENS})::bigint as last_block,
+           (start + n_tokens) // {MAX_TOKENS} > start // {MAX_TOKENS} as crosses
     from s"""
 )
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +379,7 @@ def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # The plan reads its input twice; staged, the texts are read and cut into tokens once.
     counted = stage(placed, "token-counts")
-    return pack_plan(counted, "row_position", "n_tokens", 2048).drop("row_position")
+    return pack_plan(counted, "row_position", "n_tokens", MAX_TOKENS).drop("row_position")
 
 
 MARKDOWN = [r"\n#{1,6} ", r"```\n", r"\n\*\*\*+\n", r"\n---+\n", r"\n___+\n", r"\n\n", r"\n", " "]

@@ -10,6 +10,7 @@ from corpusmill.operators.adapters import POSITION, Origin
 from corpusmill.sources.tables import with_row_position
 
 EOS = "<|end|>"
+START = "<|start|>"
 SOURCE_MAP = {"src0": "chat", "src1": "math", "src2": "code", "src3": "safety"}
 EXCLUDED = ["src3"]
 SUBJECTS = ["economy", "small"]

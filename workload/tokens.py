@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import chat
+from corpusmill.functions.constants import MAX_TOKENS, PAIR_MAX_TOKENS
 from corpusmill.operators import conversations, tokens
 from corpusmill.session import stage
 from corpusmill.sources.tables import with_row_position
-from workload.inputs import TOKEN, TURNS, joined, read, turns
+from workload.inputs import EOS, START, TOKEN, TURNS, joined, read, turns
 from workload.registry import case
 
 VOCAB = f"""words as (
@@ -49,22 +51,22 @@ def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @case(
     f"""with {VOCAB}, {ENCODED}, cut as (
-      select doc_id, ids[1:256] as head,
-             ids[greatest(len(ids) - 255, 1):len(ids)] as tail, len(ids) as n from all_ids)
+      select doc_id, ids[1:{MAX_TOKENS}] as head,
+             ids[greatest(len(ids) - {MAX_TOKENS} + 1, 1):len(ids)] as tail, len(ids) as n from all_ids)
     select doc_id,
-           array_to_string(list_concat(list_transform(range(greatest(256 - n, 0)), lambda i: 0), head), '|') as left_padded,
-           array_to_string(list_concat(tail, list_transform(range(greatest(256 - n, 0)), lambda i: 0)), '|') as right_padded,
-           array_to_string(list_transform(range(256), lambda i: case when i < 256 - n then 0 else 1 end), '|') as mask
+           array_to_string(list_concat(list_transform(range(greatest({MAX_TOKENS} - n, 0)), lambda i: 0), head), '|') as left_padded,
+           array_to_string(list_concat(tail, list_transform(range(greatest({MAX_TOKENS} - n, 0)), lambda i: 0)), '|') as right_padded,
+           array_to_string(list_transform(range({MAX_TOKENS}), lambda i: case when i < {MAX_TOKENS} - n then 0 else 1 end), '|') as mask
     from cut"""
 )
 def truncate_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.col("ids")
-    head, tail = tokens.truncate(ids, 256), tokens.truncate(ids, 256, "left")
+    head, tail = tokens.truncate(ids, MAX_TOKENS), tokens.truncate(ids, MAX_TOKENS, "left")
     return _encoded(spark, sf_dir).select(
         "doc_id",
-        joined(tokens.pad(head, 256, "left")).alias("left_padded"),
-        joined(tokens.pad(tail, 256, "right")).alias("right_padded"),
-        joined(tokens.attention_mask(head, 256, "left")).alias("mask"),
+        joined(tokens.pad(head, MAX_TOKENS, "left")).alias("left_padded"),
+        joined(tokens.pad(tail, MAX_TOKENS, "right")).alias("right_padded"),
+        joined(tokens.attention_mask(head, MAX_TOKENS, "left")).alias("mask"),
     )
 
 
@@ -75,11 +77,14 @@ PAIR_SIDES = ", ".join(
           arg_min(content, turn) filter (role = '{role}'), ''), '{TOKEN}') as t
         from turns group by conv_id)),
     ids_{role} as (
-      select conv_id, list(coalesce(token_id, 1) order by pos)[1:100] as ids
+      select conv_id, list(coalesce(token_id, 1) order by pos)[1:{PAIR_MAX_TOKENS}] as ids
       from long_{role} left join vocab using (token) group by conv_id)"""
     for role in ("user", "assistant")
 )
-PADDED = "array_to_string(list_concat(list_transform(range(100 - len({0})), lambda i: 0), {0}), '|')"
+PADDED = (
+    f"array_to_string(list_concat(list_transform(range({PAIR_MAX_TOKENS} - len({{0}})), "
+    "lambda i: 0), {0}), '|')"
+)
 
 
 @case(
@@ -95,7 +100,7 @@ def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = conversations.first_contents(
         turns(spark, sf_dir), ["conv_id"], {"input": "user", "output": "assistant"}
     )
-    encoded = tokens.encode_pairs(pairs, ["conv_id"], _vocab(spark, sf_dir), 100)
+    encoded = tokens.encode_pairs(pairs, ["conv_id"], _vocab(spark, sf_dir), PAIR_MAX_TOKENS)
     attended = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return encoded.select(
         "conv_id",
@@ -108,12 +113,12 @@ def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @case(
     f"""with t as (
       select source, len(regexp_extract_all(text, '{TOKEN}')) as n_tokens from documents)
-    select source, count(*) as n, count(*) filter (n_tokens + 1 > 512) as n_truncated,
+    select source, count(*) as n, count(*) filter (n_tokens + 1 > {MAX_TOKENS}) as n_truncated,
            quantile_cont(n_tokens::double, 0.5) as median_tokens, max(n_tokens)::bigint as max_tokens
     from t group by source"""
 )
 def truncation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.truncation_audit(read(spark, sf_dir, "documents"), "text", "source", 512)
+    return tokens.truncation_audit(read(spark, sf_dir, "documents"), "text", "source", MAX_TOKENS)
 
 
 @case(
@@ -122,18 +127,41 @@ def truncation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
              generate_subscripts(list_append(ids, 2), 1) as pos from all_ids),
     placed as (
       select id, row_number() over (order by doc_id, pos) - 1 as place from flat)
-    select (place // 1024)::bigint as block, count(*) as n,
+    select (place // {MAX_TOKENS})::bigint as block, count(*) as n,
            string_agg(id::varchar, '|' order by place) as ids
     from placed group by 1"""
 )
 def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents encoded, ended and packed into blocks of 1024 ids."""
+    """Documents encoded, ended and packed into blocks of the maximum length."""
     positions = with_row_position(read(spark, sf_dir, "documents").select("doc_id", "text"))
     vocab = _vocab(spark, sf_dir)
     encoded = tokens.encode(positions, ["row_position"], {"ids": "text"}, vocab)
-    blocks = tokens.pack(stage(encoded, "encoded"), "row_position", "ids", 1024)
+    blocks = tokens.pack(stage(encoded, "encoded"), "row_position", "ids", MAX_TOKENS)
     return blocks.select(
         "block",
         F.size("input_ids").cast("bigint").alias("n"),
         joined(F.col("input_ids")).alias("ids"),
     )
+
+
+@case(
+    f"""with {TURNS}, {VOCAB}, rendered as (
+      select conv_id, regexp_extract_all(string_agg(
+        case when role in ('user', 'system', 'assistant')
+             then '{START}' || role || chr(10) || content || '{EOS}' || chr(10) else '' end,
+        '' order by turn), '{TOKEN}') as t
+      from turns group by conv_id),
+    long_chat as (
+      select conv_id, unnest(t) as token, generate_subscripts(t, 1) as pos from rendered)
+    select conv_id,
+           array_to_string(list(coalesce(token_id, 1) order by pos)[1:{MAX_TOKENS}], '|') as input_ids
+    from long_chat left join vocab using (token) group by conv_id"""
+)
+def encode_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations through the role template, encoded and truncated."""
+    rendered = conversations.assemble(turns(spark, sf_dir), ["conv_id"]).select(
+        "conv_id", chat.role_template(F.col("messages"), START, EOS).alias("text")
+    )
+    encoded = tokens.encode(rendered, ["conv_id"], {"ids": "text"}, _vocab(spark, sf_dir))
+    cut = tokens.truncate(F.col("ids"), MAX_TOKENS)
+    return encoded.select("conv_id", joined(cut).alias("input_ids"))
