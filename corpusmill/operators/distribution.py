@@ -47,17 +47,22 @@ def softmax(
         whole = Window.partitionBy(group)
         top = df.withColumn("_max", F.max(score).over(whole)).withColumn("_e", raised)
         return top.withColumn(name, F.col("_e") / F.sum("_e").over(whole)).drop("_max", "_e")
+    # A null group is a group as well, but null keys match nothing in a join.
+    key = ["_group", "_null"]
+    keyed = df.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit(""))).withColumn(
+        "_null", F.col(group).isNull()
+    )
     peaks = stage(
-        df.groupBy(group).agg(F.max(score).alias("_max"), F.count(F.lit(1)).alias("_n")), "peaks"
+        keyed.groupBy(*key).agg(F.max(score).alias("_max"), F.count(F.lit(1)).alias("_n")), "peaks"
     )
-    top = lookup_join(df, peaks, [group], "_n").withColumn("_e", raised)
+    top = lookup_join(keyed, peaks, key, "_n").withColumn("_e", raised)
     sums = stage(
-        top.groupBy(group).agg(F.sum("_e").alias("_sum"), F.count(F.lit(1)).alias("_n")), "sums"
+        top.groupBy(*key).agg(F.sum("_e").alias("_sum"), F.count(F.lit(1)).alias("_n")), "sums"
     )
     return (
-        lookup_join(top, sums, [group], "_n")
+        lookup_join(top, sums, key, "_n")
         .withColumn(name, F.col("_e") / F.col("_sum"))
-        .drop("_max", "_e", "_sum")
+        .drop("_max", "_e", "_sum", *key)
     )
 
 

@@ -149,8 +149,8 @@ def grouped_running_total(
     ``order`` must identify a row within its group. When no group outgrows a window task, that is
     one window. Otherwise the table is range-partitioned on (group, order), which cuts even a group
     that holds a third of it, and staged; each shard then adds what its group has in earlier
-    shards. At most one group per shard comes from an earlier one, so there are fewer carries than
-    shards.
+    shards. A shard shares at most its first group and its last with others, so there are at most
+    two carries per shard.
     """
     if largest_group(df, group) <= max_group_rows:
         whole = Window.partitionBy(group)
@@ -167,8 +167,8 @@ def grouped_running_total(
     by_shard = Window.partitionBy(group).orderBy("_shard")
     per_group = Window.partitionBy(group)
     carries = sums.select(
-        group,
-        "_shard",
+        F.col(group).alias("_group"),
+        F.col("_shard").alias("_part"),
         F.sum("_sum").over(by_shard.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
         F.sum("_sum").over(per_group).alias(total),
         F.count(F.lit(1)).over(per_group).alias("_spans"),
@@ -180,8 +180,12 @@ def grouped_running_total(
         "_inside", F.coalesce(F.sum(value).over(earlier), F.lit(0))
     ).withColumn("_own", F.sum(value).over(shard))
     return (
-        inside.join(F.broadcast(carries.drop("_spans")), [group, "_shard"], "left")
+        inside.join(
+            F.broadcast(carries.drop("_spans")),
+            F.col(group).eqNullSafe(F.col("_group")) & (F.col("_shard") == F.col("_part")),
+            "left",
+        )
         .withColumn(before, F.col("_inside") + F.coalesce("_carry", F.lit(0)))
         .withColumn(total, F.coalesce(total, "_own"))
-        .drop("_shard", "_inside", "_own", "_carry")
+        .drop("_shard", "_inside", "_own", "_carry", "_group", "_part")
     )

@@ -225,6 +225,7 @@ def grouped(spark):
     rng = random.Random(3)
     data = [("hot", i, 5 if i % 3 else rng.randrange(1, 50)) for i in range(400)]
     data += [(f"g{i % 20}", 1000 + i, rng.randrange(1, 50)) for i in range(100)]
+    data += [(None, 2000 + i, rng.randrange(1, 50)) for i in range(200)]
     return spark.createDataFrame(data, "g string, k long, w long").repartition(5), data
 
 
