@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import mixing
+from corpusmill.llm import language, mixing
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
+    "op10_language": language.op10_language,
 }
 
 ORACLES = {
