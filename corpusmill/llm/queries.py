@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import language, mixing
+from corpusmill.llm import language, mixing, near
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
+    "op9_near": near.op9_near,
     "op10_language": language.op10_language,
 }
 
