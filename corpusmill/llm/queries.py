@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import language, mixing, near
+from corpusmill.llm import language, leaks, mixing, near
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
+    "op8_leaks": leaks.op8_leaks,
     "op9_near": near.op9_near,
     "op10_language": language.op10_language,
 }
