@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import language, leaks, mixing, near
+import corpus_pipeline
+from corpusmill.llm import language, leaks, mixing, near, token_file, topk
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
+    "op5_topk": topk.op5_topk,
+    "op6_tokens": token_file.op6_tokens,
     "op8_leaks": leaks.op8_leaks,
     "op9_near": near.op9_near,
     "op10_language": language.op10_language,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op2_mix": mixing.SQL,
+    "op5_topk": topk.SQL,
 }
