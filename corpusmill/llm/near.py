@@ -8,8 +8,9 @@ the Jaccard of their shingle sets where nothing repeats. Pairs that meet in a ba
 exactly, on their shingle sets.
 
 Equal texts are one node from the start. In each band bucket every node is compared with the
-bucket's smallest; buckets whose nodes are still in several components afterwards are compared
-across components, block by block, most similar signatures first, until no candidate is left.
+bucket's smallest. In buckets whose nodes are still in several components afterwards, finer
+signatures are compared across components, block by block; what may be similar by them is compared
+exactly, each node's most similar partners first, until every candidate is joined or compared.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import table, unused
@@ -31,23 +32,27 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4  # a pair at 0.8 is missed by all bands with probability 3e-5
 REGISTERS = BANDS * ROWS
-#: Signatures agree in a share of registers; five standard deviations below the similarity no pair
-#: needs to be compared.
-LEAST_AGREEMENT = SIMILARITY - 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / REGISTERS)
-BLOCK = 512  # nodes of a bucket that are compared with as many others in one task
-TRIES = 8  # partners of a node in another component that one round compares
+FINE = 256  # registers of the signatures that are compared as wholes
+#: Fine signatures agree in a share of registers that is the Jaccard on average; pairs so many
+#: standard deviations below the similarity don't need an exact comparison.
+LEAST_AGREEMENT = SIMILARITY - 4.5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / FINE)
+BLOCK = 512  # nodes of a bucket that are compared with as many others in one group
+PARTNERS = 256  # candidates that a node gets in one pass over a group; a further pass brings more
+TRIES = 4  # of a node's candidates are compared first, then four times as many, and so on
 TEXTS = 256  # compared with one centre in a group
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def signatures(texts, size: int = WORDS, registers: int = REGISTERS) -> tuple[np.ndarray, np.ndarray]:
+def signatures(
+    texts, size: int = WORDS, registers: int = REGISTERS, weighted: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
     """One row of 32-bit registers for each text, and whether the text has words at all."""
     owner, shingle, count = shingles(texts, size)
     n = len(texts)
     least = np.full(n * registers, np.inf)
     kept = np.zeros(n * registers, np.uint32)
-    weight = 1.0 + np.log(count)
+    weight = 1.0 + np.log(count) if weighted else np.ones(len(count))
     time = np.zeros(len(shingle))
     state = mixed(shingle)
     while len(shingle):
@@ -86,7 +91,6 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 {
                     "id": part["id"].to_numpy(),
                     "digest": part["digest"].to_numpy(),
-                    "signature": [s.tobytes() for s in signature],
                     "keys": list(band_keys(signature)),
                 }
             )
@@ -146,38 +150,77 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def _best_partners(skip: int):
-    """Of two blocks of a bucket's nodes, each node's most similar ones in other components: those
-    from place ``skip`` on, ``TRIES`` of them."""
+def _fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = list(batch["text"])
+        for start, end in groups(texts):
+            signature, _ = signatures(texts[start:end], registers=FINE, weighted=False)
+            yield pd.DataFrame(
+                {
+                    "node": batch["node"].iloc[start:end].to_numpy(),
+                    "signature": [x.tobytes() for x in signature.astype(np.uint16)],
+                }
+            )
+
 
-    def find(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["side", "node"])
-        node = block["node"].to_numpy()
-        component = block["component"].to_numpy()
-        sides = block["side"].to_numpy()
-        signature = np.frombuffer(b"".join(block["signature"]), np.uint32).reshape(len(block), -1)
-        left = np.flatnonzero(sides == sides[0])
-        right = np.flatnonzero(sides == sides[-1])
+def _partners(skip: int):
+    """Rows sorted by group (key, low, high) to the pairs that may be similar (a, b, agreement,
+    more): for each node of the low block those in other components from place ``skip`` on."""
+
+    def of_group(rows: pd.DataFrame) -> list[tuple]:
+        node, component = rows["node"].to_numpy(), rows["component"].to_numpy()
+        side = rows["side"].to_numpy()
+        signature = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), -1)
+        left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
         pairs = []
         for i in left:
-            agree = (signature[right] == signature[i]).mean(axis=1)
-            able = (agree >= LEAST_AGREEMENT) & (component[right] != component[i])
-            partner = right[able]
-            order = np.lexsort((node[partner], -agree[able]))[skip : skip + TRIES]
-            more = int(able.sum()) > skip + TRIES
-            pairs += [(*sorted((node[i], node[p])), more) for p in partner[order]]
-        return pd.DataFrame(pairs, columns=["a", "b", "more"])
+            other = right[component[right] != component[i]]
+            agree = (signature[other] == signature[i]).mean(axis=1)
+            able = np.flatnonzero(agree >= LEAST_AGREEMENT)
+            order = able[np.lexsort((node[other[able]], -agree[able]))]
+            more = len(order) > skip + PARTNERS
+            for p in order[skip : skip + PARTNERS]:
+                pairs.append((*sorted((node[i], node[other[p]])), agree[p], more))
+        return pairs
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        names = ["key", "low", "high"]
+
+        def found(rows: pd.DataFrame) -> pd.DataFrame:
+            ids = rows[names].to_numpy()
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+            pairs = []
+            for start, end in zip([0, *cuts], [*cuts, len(rows)]):
+                pairs += of_group(rows.iloc[start:end])
+            out = pd.DataFrame(pairs, columns=["a", "b", "agreement", "more"])
+            return out.astype({"a": "int64", "b": "int64", "agreement": "float64", "more": "bool"})
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            open_ = (rows[names] == rows[names].iloc[-1]).all(axis=1).to_numpy()
+            first = len(rows) - int(open_[::-1].argmin()) if not open_.all() else 0
+            held = rows.iloc[first:]
+            if first:
+                yield found(rows.iloc[:first])
+        if held is not None and len(held):
+            yield found(held)
 
     return find
 
 
-def _across(held: DataFrame, skip: int) -> DataFrame:
-    """Candidate pairs in buckets that hold several components: (a, b, more).
+def _in_components(rows: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
+    named = found.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(named, node, "left").withColumn(name, F.coalesce(name, node))
 
-    A bucket is cut into blocks by hash; each pair of blocks is one group of bounded size.
-    """
-    mixed_buckets = (
-        held.groupBy("key")
+
+def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, blocks, node, component) of the buckets that hold several components."""
+    named = _in_components(members, found, "node", "component")
+    several = (
+        named.groupBy("key")
         .agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
@@ -186,17 +229,34 @@ def _across(held: DataFrame, skip: int) -> DataFrame:
         .where("low <> high")
         .select("key", "blocks")
     )
-    block = F.pmod(F.hash("node"), F.col("blocks"))
+    return named.join(several, "key")
+
+
+def _across(unsettled: DataFrame, fine: DataFrame, skip: int) -> DataFrame:
+    """Candidate pairs of different components that share a bucket: (a, b, agreement, more).
+
+    A bucket is cut into blocks by hash; each pair of blocks is one group of bounded size.
+    """
     cut = (
-        held.join(mixed_buckets, "key")
-        .withColumn("side", block)
+        unsettled.withColumn("side", F.pmod(F.hash("node"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("side", "other"))
         .withColumn("high", F.greatest("side", "other"))
+        .join(fine, "node")
+        .select("key", "low", "high", "side", "node", "component", "signature")
+        .repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high")
     )
-    return cut.groupBy("key", "low", "high").applyInPandas(
-        _best_partners(skip), "a long, b long, more boolean"
-    )
+    pairs = cut.mapInPandas(_partners(skip), "a long, b long, agreement double, more boolean")
+    return pairs.groupBy("a", "b").agg(F.max("agreement").alias("agreement"), F.max("more").alias("more"))
+
+
+def _placed(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the better of the two places that they have among their nodes' partners."""
+    sides = F.explode(F.array(F.col("a"), F.col("b"))).alias("node")
+    order = Window.partitionBy("node").orderBy(F.desc("agreement"), "a", "b")
+    each = pairs.select("a", "b", "agreement", sides).withColumn("place", F.row_number().over(order))
+    return each.groupBy("a", "b").agg(F.min("place").alias("place"))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,40 +273,56 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         digest.alias("digest"),
         F.col(text).alias("text"),
     )
-    signed = stage(
-        keyed.mapInPandas(_sign, "id long, digest string, signature binary, keys array<long>"), "signed"
-    )
+    signed = stage(keyed.mapInPandas(_sign, "id long, digest string, keys array<long>"), "signed")
     nodes = signed.groupBy("digest").agg(F.min("id").alias("node"))
     own = stage(signed.select("id", "digest").distinct().join(nodes, "digest"), "nodes")
     chosen = own.where("id = node").select("node", "digest")
-    kept = signed.withColumnRenamed("id", "node").join(chosen, ["node", "digest"], "left_semi")
-    buckets = kept.select("node", F.explode("keys").alias("key")).distinct()
+    buckets = (
+        signed.withColumnRenamed("id", "node")
+        .join(chosen, ["node", "digest"], "left_semi")
+        .select("node", F.explode("keys").alias("key"))
+        .distinct()
+    )
     met = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stage(buckets.join(met, "key").select("key", "node", "a"), "buckets")
-    texts = (
+    wanted = shared.select("node").distinct().join(chosen, "node")
+    texts = stage(
         keyed.withColumnRenamed("id", "node")
-        .join(chosen, ["node", "digest"], "left_semi")
-        .select("node", "text")
+        .join(wanted, ["node", "digest"], "left_semi")
+        .dropDuplicates(["node", "digest"])
+        .select("node", "text"),
+        "texts",
     )
     pairs = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = stage(verified(pairs, texts), "links")
     found = stage(components(links), "components")
+
+    members = shared.select("key", "node")
+    unsettled = stage(_unsettled(members, found), "unsettled")
+    left = unsettled.select("node").distinct()
+    texts = stage(texts.join(left, "node", "left_semi"), "texts")
+    fine = stage(texts.mapInPandas(_fine, "node long, signature binary"), "fine")
     skip = 0
     while True:
-        named = shared.select("key", "node").join(found, "node", "left")
-        named = named.withColumn("component", F.coalesce("component", "node"))
-        with_signature = named.join(kept.select("node", "signature"), "node")
-        tries = stage(_across(with_signature, skip), "across")
-        row = tries.agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).first()
-        if not row["n"]:
+        across = stage(_across(unsettled, fine, skip), "across")
+        row = across.agg(F.max("more").alias("more")).first()
+        if row["more"] is None:
             break
-        new = stage(verified(tries.select("a", "b").distinct(), texts), "links")
-        if new.take(1):
-            links = links.unionByName(new)
-            found = stage(components(links), "components")
+        placed = stage(_placed(across), "placed")
+        low, most = 0, placed.agg(F.max("place").alias("place")).first()["place"]
+        while low < most:
+            high = max(TRIES, 4 * low)
+            tries = placed.where((F.col("place") > low) & (F.col("place") <= high))
+            tries = _in_components(_in_components(tries, found, "a", "left"), found, "b", "right")
+            new = stage(verified(tries.where("left <> right").select("a", "b"), texts), "links")
+            if new.take(1):
+                links = links.unionByName(new)
+                found = stage(components(links), "components")
+            low = high
         if not row["more"]:
             break
-        skip += TRIES
+        skip += PARTNERS
+        unsettled = stage(_unsettled(members, found), "unsettled")
     classes = own.join(found, "node", "left").select(
         F.col("id").alias(key), "digest", F.coalesce("component", "node").alias("class_id")
     )
