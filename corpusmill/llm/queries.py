@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corpusmill.llm import language, leaks, mixing, near, token_file, topk
+from corpusmill.llm import archive, html_text, language, leaks, lines, mixing, near, token_file, topk
 
 QUERIES = {
+    "op1_lines": lines.op1_lines,
     "op2_mix": mixing.op2_mix,
+    "op4_html": html_text.op4_html,
     "op5_topk": topk.op5_topk,
     "op6_tokens": token_file.op6_tokens,
+    "op7_archive": archive.op7_archive,
     "op8_leaks": leaks.op8_leaks,
     "op9_near": near.op9_near,
     "op10_language": language.op10_language,
@@ -16,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_lines": lines.SQL,
     "op2_mix": mixing.SQL,
     "op5_topk": topk.SQL,
 }
