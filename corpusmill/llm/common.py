@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,14 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def once(key, make):
+    """What ``make`` returns, made once in a Python worker and kept for its later tasks."""
+    held = sys.modules.setdefault("_corpusmill_held", types.ModuleType("_corpusmill_held")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,13 +23,17 @@ def _fitting(values: np.ndarray) -> np.ndarray:
     """How many numbers from each place on fit into one word; ``values`` is padded by 60 zeros."""
     n = len(values) - 60
     fits = np.ones(n, np.int64)
-    places, most = np.arange(n), values[:n]
+    places, most = None, values[:n]
     for before, count in zip(COUNTS[::-1], COUNTS[-2::-1]):
         # what fails for fewer, larger numbers fails for more, smaller ones as well
         for k in range(before, count):
-            most = np.maximum(most, values[places + k])
+            most = np.maximum(most, values[k : n + k] if places is None else values[places + k])
         good = most < np.uint64(1 << 60 // count)
-        places, most = places[good], most[good]
+        if good.all() and places is None:
+            fits[:] = count
+            continue
+        places = np.flatnonzero(good) if places is None else places[good]
+        most = most[good]
         if not len(places):
             break
         fits[places] = count
@@ -66,31 +70,49 @@ def encode(values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     words = _SELECTOR[count] << np.uint64(60)
     for c in COUNTS:
         own = np.flatnonzero(count == c)
-        for k in range(c):
-            words[own] |= padded[start[own] + k] << np.uint64(k * (60 // c))
+        if len(own):
+            shift = np.arange(c, dtype=np.uint64) * np.uint64(60 // c)
+            held = padded[start[own][:, None] + np.arange(c)] << shift
+            words[own] |= np.bitwise_or.reduce(held, axis=1)
     block = start // table.shape[1]
     cuts = np.searchsorted(block, np.arange(blocks + 1))
-    held = large // BLOCK
-    extra = np.searchsorted(held, np.arange(blocks + 1))
-    place = np.searchsorted(start, held * table.shape[1] + large % BLOCK)
-    words[place] = np.uint64(ESCAPE << 60) | (np.arange(len(large)) - extra[held]).astype(np.uint64)
+    home = large // BLOCK
+    extra = np.searchsorted(home, np.arange(blocks + 1))
+    place = np.searchsorted(start, home * table.shape[1] + large % BLOCK)
+    words[place] = np.uint64(ESCAPE << 60) | (np.arange(len(large)) - extra[home]).astype(np.uint64)
     return [
         (words[cuts[b] : cuts[b + 1]], exceptions[extra[b] : extra[b + 1]]) for b in range(blocks)
     ]
 
 
-def decode(words: np.ndarray, exceptions: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` numbers of a block."""
+def decode(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The numbers of consecutive blocks, each given as (numbers, words, exceptions)."""
+    if not blocks:
+        return np.zeros(0, np.uint64)
+    words = np.concatenate([w for _, w, _ in blocks])
     selector = (words >> np.uint64(60)).astype(np.int64)
     sizes = np.array([0, *COUNTS, 1])[selector]
-    place = np.cumsum(sizes) - sizes
-    out = np.zeros(int(sizes.sum()), np.uint64)
+    ends = np.cumsum([len(w) for _, w, _ in blocks])
+    # the last word of a block may hold more than the block's numbers
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    spare = np.diff(total[np.concatenate(([0], ends))]) - [n for n, _, _ in blocks]
+    place = total[:-1]
+    out = np.zeros(int(total[-1]), np.uint64)
     for s, c in enumerate(COUNTS, 1):
         own = np.flatnonzero(selector == s)
-        bits = 60 // c
-        for k in range(c):
-            out[place[own] + k] = (words[own] >> np.uint64(k * bits)) & np.uint64((1 << bits) - 1)
+        if len(own):
+            bits = 60 // c
+            shift = np.arange(c, dtype=np.uint64) * np.uint64(bits)
+            mask = np.uint64((1 << bits) - 1)
+            out[place[own][:, None] + np.arange(c)] = (words[own][:, None] >> shift) & mask
     own = np.flatnonzero(selector == ESCAPE)
     if len(own):
-        out[place[own]] = exceptions[(words[own] & np.uint64((1 << 60) - 1)).astype(np.int64)]
-    return out[:n]
+        first = np.cumsum([0] + [len(e) for _, _, e in blocks])
+        block = np.searchsorted(ends, own, side="right")
+        extra = np.concatenate([e for _, _, e in blocks])
+        out[place[own]] = extra[(words[own] & np.uint64((1 << 60) - 1)).astype(np.int64) + first[block]]
+    keep = np.ones(len(out), bool)
+    for end, more in zip(total[ends], spare):
+        if more:
+            keep[end - more : end] = False
+    return out[keep]

@@ -20,7 +20,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
@@ -66,7 +66,7 @@ def word_hashes(texts, inside: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndar
     place = np.cumsum(word)[starts] - 1
     length = np.diff(np.append(place, len(letters)))
     offset = np.arange(len(letters)) - np.repeat(place, length)
-    value = (letters.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, int(length.max()))[offset]
+    value = (letters.astype(np.uint64) + np.uint64(1)) * powers(_BASE, int(length.max()))[offset]
     return mixed(np.add.reduceat(value, place) + length.astype(np.uint64)), bounds
 
 
@@ -87,8 +87,8 @@ class Ranges:
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * _powers(_BASE, n), out=self.sums[1:], dtype=np.uint64)
-        self.back = _powers(_INVERSE, n + 1)
+        np.cumsum(hashes * powers(_BASE, n), out=self.sums[1:], dtype=np.uint64)
+        self.back = powers(_INVERSE, n + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         value = (self.sums[end] - self.sums[start]) * self.back[start]
