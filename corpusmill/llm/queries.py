@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corpusmill.llm import archive, html_text, language, leaks, lines, mixing, near, token_file, topk
+from corpusmill.llm import (
+    archive,
+    html_text,
+    language,
+    leaks,
+    lines,
+    mixing,
+    near,
+    substring,
+    token_file,
+    topk,
+)
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
     "op2_mix": mixing.op2_mix,
+    "op3_substring": substring.op3_substring,
     "op4_html": html_text.op4_html,
     "op5_topk": topk.op5_topk,
     "op6_tokens": token_file.op6_tokens,
