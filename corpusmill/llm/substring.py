@@ -152,9 +152,10 @@ def _match(rows: pd.DataFrame) -> pd.DataFrame:
             contents.append(content)
             begins.append(begin)
             ends.append(end)
-    return pd.DataFrame({"key": keys, "content": contents, "begins": begins, "ends": ends}).astype(
-        {"key": "int64", "content": "int64"}
-    )
+    found = pd.DataFrame({"key": keys, "content": contents})
+    found["begins"] = pd.Series(begins, dtype=object)
+    found["ends"] = pd.Series(ends, dtype=object)
+    return found.astype({"key": "int64", "content": "int64"})
 
 
 def _stretches(begins, ends) -> tuple[np.ndarray, np.ndarray]:
