@@ -37,7 +37,8 @@ FINE = 256  # registers of the signatures that are compared as wholes
 #: standard deviations below the similarity don't need an exact comparison.
 LEAST_AGREEMENT = SIMILARITY - 4.5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / FINE)
 BLOCK = 512  # nodes of a bucket that are compared with as many others in one group
-PARTNERS = 256  # candidates that a node gets in one pass over a group; a further pass brings more
+PARTNERS = 16  # candidates that a node gets in a first pass over a group; each further pass brings
+# four times as many
 TRIES = 4  # of a node's candidates are compared first, then four times as many, and so on
 TEXTS = 256  # compared with one centre in a group
 
@@ -163,13 +164,17 @@ def _fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _partners(skip: int):
+def _partners(skip: int, most: int):
     """Rows sorted by group (key, low, high) to the pairs that may be similar (a, b, agreement,
-    more): for each node of the low block those in other components from place ``skip`` on."""
+    more): for each node of the low block ``most`` from place ``skip`` on. Places are by the
+    components that the first pass found, so they stay as they are; what ``now`` is in one component
+    is left out."""
 
     def of_group(rows: pd.DataFrame) -> list[tuple]:
-        node, component = rows["node"].to_numpy(), rows["component"].to_numpy()
-        side = rows["side"].to_numpy()
+        node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
+        component, now = rows["component"].to_numpy(), rows["now"].to_numpy()
+        if (now == now[0]).all():
+            return []
         signature = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), -1)
         left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
         pairs = []
@@ -178,9 +183,12 @@ def _partners(skip: int):
             agree = (signature[other] == signature[i]).mean(axis=1)
             able = np.flatnonzero(agree >= LEAST_AGREEMENT)
             order = able[np.lexsort((node[other[able]], -agree[able]))]
-            more = len(order) > skip + PARTNERS
-            for p in order[skip : skip + PARTNERS]:
+            open_ = now[other[order]] != now[i]
+            more = bool(open_[skip + most :].any())
+            for p in order[skip : skip + most][open_[skip : skip + most]]:
                 pairs.append((*sorted((node[i], node[other[p]])), agree[p], more))
+            if more and not open_[skip : skip + most].any():
+                pairs.append((node[i], node[i], 0.0, True))
         return pairs
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,22 +240,25 @@ def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(several, "key")
 
 
-def _across(unsettled: DataFrame, fine: DataFrame, skip: int) -> DataFrame:
+def _across(
+    unsettled: DataFrame, found: DataFrame, fine: DataFrame, skip: int, most: int
+) -> DataFrame:
     """Candidate pairs of different components that share a bucket: (a, b, agreement, more).
 
     A bucket is cut into blocks by hash; each pair of blocks is one group of bounded size.
     """
     cut = (
-        unsettled.withColumn("side", F.pmod(F.hash("node"), F.col("blocks")))
+        _in_components(unsettled, found, "node", "now")
+        .withColumn("side", F.pmod(F.hash("node"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("side", "other"))
         .withColumn("high", F.greatest("side", "other"))
         .join(fine, "node")
-        .select("key", "low", "high", "side", "node", "component", "signature")
+        .select("key", "low", "high", "side", "node", "component", "now", "signature")
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
     )
-    pairs = cut.mapInPandas(_partners(skip), "a long, b long, agreement double, more boolean")
+    pairs = cut.mapInPandas(_partners(skip, most), "a long, b long, agreement double, more boolean")
     return pairs.groupBy("a", "b").agg(F.max("agreement").alias("agreement"), F.max("more").alias("more"))
 
 
@@ -255,7 +266,7 @@ def _placed(pairs: DataFrame) -> DataFrame:
     """``pairs`` with the better of the two places that they have among their nodes' partners."""
     sides = F.explode(F.array(F.col("a"), F.col("b"))).alias("node")
     order = Window.partitionBy("node").orderBy(F.desc("agreement"), "a", "b")
-    each = pairs.select("a", "b", "agreement", sides).withColumn("place", F.row_number().over(order))
+    each = pairs.where("a <> b").select("a", "b", "agreement", sides).withColumn("place", F.row_number().over(order))
     return each.groupBy("a", "b").agg(F.min("place").alias("place"))
 
 
@@ -293,7 +304,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         .select("node", "text"),
         "texts",
     )
-    pairs = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    # a centre that shares one band only is hardly similar; the fine signatures decide on those
+    bands = shared.where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = bands.where("n > 1").select("a", "b")
     links = stage(verified(pairs, texts), "links")
     found = stage(components(links), "components")
 
@@ -302,14 +315,14 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     left = unsettled.select("node").distinct()
     texts = stage(texts.join(left, "node", "left_semi"), "texts")
     fine = stage(texts.mapInPandas(_fine, "node long, signature binary"), "fine")
-    skip = 0
+    skip, partners = 0, PARTNERS
     while True:
-        across = stage(_across(unsettled, fine, skip), "across")
+        across = stage(_across(unsettled, found, fine, skip, partners), "across")
         row = across.agg(F.max("more").alias("more")).first()
         if row["more"] is None:
             break
         placed = stage(_placed(across), "placed")
-        low, most = 0, placed.agg(F.max("place").alias("place")).first()["place"]
+        low, most = 0, placed.agg(F.max("place").alias("place")).first()["place"] or 0
         while low < most:
             high = max(TRIES, 4 * low)
             tries = placed.where((F.col("place") > low) & (F.col("place") <= high))
@@ -321,8 +334,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             low = high
         if not row["more"]:
             break
-        skip += PARTNERS
-        unsettled = stage(_unsettled(members, found), "unsettled")
+        skip, partners = skip + partners, 4 * partners
     classes = own.join(found, "node", "left").select(
         F.col("id").alias(key), "digest", F.coalesce("component", "node").alias("class_id")
     )
