@@ -2,45 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.constants import MARKDOWN_SEPARATORS
-from corpusmill.session import spread
 
-_MARK = "﷐"  # a Unicode noncharacter, reserved for use inside a program
+
+def _cut_before(text: Column, separator: str) -> Column:
+    """The text cut before each match of ``separator``, so the pieces add up to the text."""
+    matches = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(separator), F.lit(0)))
+    return F.zip_with(matches, F.split(text, separator, -1), lambda m, rest: F.concat(m, rest))
+
+
+def _every(text: Column, size: int) -> Column:
+    starts = F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / F.lit(size)).cast("int"))
+    return F.transform(starts, lambda k: F.substring(text, k * size + 1, F.lit(size)))
 
 
 def pieces(text: Column, size: int) -> Column:
-    """The text cut before each match of the strongest separator it contains.
+    """Pieces of at most ``size`` characters that add up to the text; none for null or no text.
 
-    Separators stay at the front of their piece, so the pieces add up to the text. Without any
-    separator the text is cut every ``size`` characters.
+    The separators are tried from the strongest to the weakest, each on the pieces that are still
+    too long; a separator stays at the front of its piece. What no separator cuts is cut every
+    ``size`` characters.
     """
     whole = F.coalesce(text, F.lit(""))
-    starts = F.sequence(F.lit(0), F.floor((F.char_length(whole) - 1) / F.lit(size)).cast("int"))
-    cut = F.when(F.char_length(whole) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(starts, lambda k: F.substring(whole, k * size + 1, F.lit(size)))
-    )
-    for separator in reversed([s for s in MARKDOWN_SEPARATORS if s]):
-        marked = F.regexp_replace(whole, separator, _MARK + "$0")
-        cut = F.when(whole.rlike(separator), F.split(marked, _MARK)).otherwise(cut)
-    return F.filter(cut, lambda p: p != "")
+    found = F.filter(F.array(whole), lambda p: p != "")
+    for separator in [s for s in MARKDOWN_SEPARATORS if s]:
+        found = _shorter(found, size, partial(_cut_before, separator=separator))
+    return _shorter(found, size, partial(_every, size=size))
+
+
+def _shorter(found: Column, size: int, cut: Callable[[Column], Column]) -> Column:
+    """The pieces, those of more than ``size`` characters cut and without empty ones."""
+
+    def parts(piece: Column) -> Column:
+        return F.when(F.char_length(piece) > size, F.filter(cut(piece), lambda q: q != "")).otherwise(
+            F.array(piece)
+        )
+
+    return F.flatten(F.transform(found, parts))
 
 
 def chunk_documents(df: DataFrame, keys: list[str], text: str, size: int) -> DataFrame:
-    """(keys, chunk, text): pieces that start in the same stretch of ``size`` characters.
+    """(keys, chunk, text): consecutive pieces put together, never more than ``size`` characters.
 
-    A piece longer than ``size`` stays whole. The running length and the gathering share one
-    shuffle by document; a document's pieces are no more than the document.
+    The text is thought of in stretches of ``size`` characters. Pieces that lie within one stretch
+    are one chunk, and a piece that lies across the end of a stretch is a chunk of its own, so a
+    chunk follows from the running length alone. Chunks count up in the order of the text, with
+    gaps. The running length and the gathering share one shuffle by document.
     """
-    rows = spread(df.select(*keys, F.col(text).alias("_text")), *keys)
-    long = rows.select(*keys, F.posexplode(pieces(F.col("_text"), size)).alias("pos", "piece"))
+    long = df.select(*keys, F.posexplode(pieces(F.col(text), size)).alias("pos", "piece"))
     earlier = (
         Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     )
     start = F.coalesce(F.sum(F.char_length("piece")).over(earlier), F.lit(0))
-    placed = long.withColumn("chunk", F.floor(start / F.lit(size)))
+    first = F.floor(F.col("start") / F.lit(size))
+    last = F.floor((F.col("start") + F.char_length("piece") - 1) / F.lit(size))
+    placed = long.withColumn("start", start).withColumn("chunk", first + last)
     gathered = placed.groupBy(*keys, "chunk").agg(
         F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("_pieces")
     )

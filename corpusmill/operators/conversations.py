@@ -1,8 +1,8 @@
 """Conversations stored as one row per turn: (conversation, turn, role, content).
 
-Counting, filtering and two-message assembly use aggregates that combine map-side, so a
-conversation with very many turns never gathers in one task. Only ``assemble`` and ``sft_text``
-build one value per conversation, and they gather a very long one by stretches.
+Counting, filtering and two-message assembly use aggregates of numbers that combine map-side; texts
+are only gathered for the messages that are kept. ``assemble`` and ``sft_text`` build one value per
+conversation, which is one row and has to fit into one.
 """
 
 from __future__ import annotations
@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.chat import sft_piece
 from corpusmill.functions.text import strip
-from corpusmill.operators.ordering import largest_group
-
-MAX_TURNS = 100_000  # turns that one task may gather for one conversation
+from corpusmill.operators.skew import null_safe
 
 
 def lengths(turns: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,41 +22,52 @@ def lengths(turns: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def two_message(turns: DataFrame, keys: list[str]) -> DataFrame:
-    """Conversations of exactly two messages with both of them, in one aggregate.
+    """Conversations of exactly two messages with both of them.
 
-    First and last turn are the whole conversation when there are two, so nothing is collected.
+    The keys are counted first; only the messages of conversations of two are gathered, two by two.
     """
-    body = F.struct("role", "content")
-    return (
-        turns.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min_by(body, "turn").alias("_first"),
-            F.max_by(body, "turn").alias("_last"),
-        )
-        .where("_n = 2")
-        .select(*keys, F.array("_first", "_last").alias("messages"))
+    pairs = lengths(turns, keys).where("n_messages = 2").select(*keys)
+    kept = null_safe(turns, pairs, keys, "left_semi")
+    both = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
+    message = F.transform(
+        F.col("_both"), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
     )
+    return kept.groupBy(*keys).agg(both.alias("_both")).select(*keys, message.alias("messages"))
 
 
 def first_contents(turns: DataFrame, keys: list[str], roles: dict[str, str | None]) -> DataFrame:
     """The first content per conversation of each role, '' when there is none.
 
     ``roles`` maps output column to role; ``None`` takes the first turn whatever its role, and
-    leaves it null when it has no content. One aggregate, nothing is collected.
+    leaves it null when it has no content. The first turns' numbers are found first, and only those
+    turns' contents are gathered; of several contents of one turn the smallest counts.
     """
+    of_role = {
+        name: F.lit(True) if role is None else F.coalesce(F.col("role") == role, F.lit(False))
+        for name, role in roles.items()
+    }
+    firsts = turns.groupBy(*keys).agg(
+        *[F.min(F.when(own, F.col("turn"))).alias(f"_turn_{name}") for name, own in of_role.items()]
+    )
+    rows = null_safe(turns.select(*keys, "turn", "role", "content"), firsts, keys)
+    hits = {name: own & (F.col("turn") == F.col(f"_turn_{name}")) for name, own in of_role.items()}
+    some = F.coalesce(F.greatest(*hits.values(), F.lit(False)), F.lit(False))
+    gathered = null_safe(
+        firsts.select(*keys),
+        rows.where(some)
+        .groupBy(*keys)
+        .agg(*[F.collect_list(F.when(hit, F.struct("content"))).alias(n) for n, hit in hits.items()]),
+        keys,
+        "left",
+    )
     columns = []
     for name, role in roles.items():
-        if role is None:
-            columns.append(F.min_by("content", "turn").alias(name))
-        else:
-            of_role = F.col("role") == role
-            first = F.min_by(F.when(of_role, F.col("content")), F.when(of_role, F.col("turn")))
-            columns.append(F.coalesce(first, F.lit("")).alias(name))
-    return turns.groupBy(*keys).agg(*columns)
+        first = F.get(F.sort_array(F.col(name)), F.lit(0))["content"]
+        columns.append((first if role is None else F.coalesce(first, F.lit(""))).alias(name))
+    return gathered.select(*keys, *columns)
 
 
-def assemble(turns: DataFrame, keys: list[str], max_turns: int = MAX_TURNS) -> DataFrame:
+def assemble(turns: DataFrame, keys: list[str]) -> DataFrame:
     """One row per conversation with its messages in turn order."""
 
     def messages(ordered: Column) -> Column:
@@ -66,53 +75,24 @@ def assemble(turns: DataFrame, keys: list[str], max_turns: int = MAX_TURNS) -> D
             ordered, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
         )
 
-    rows = turns.select(*keys, "turn", "role", "content")
-    return _in_order(rows, keys, "messages", messages, F.flatten, max_turns)
+    return _in_order(turns.select(*keys, "turn", "role", "content"), keys, "messages", messages)
 
 
 def sft_text(
-    turns: DataFrame,
-    keys: list[str],
-    eos: str,
-    skip_other_roles: bool = False,
-    max_turns: int = MAX_TURNS,
+    turns: DataFrame, keys: list[str], eos: str, skip_other_roles: bool = False
 ) -> DataFrame:
     """Training text per conversation: turns are rendered where they lie, then joined in order."""
-
-    def joined(pieces: Column) -> Column:
-        return F.array_join(pieces, "")
-
     piece = sft_piece(F.col("role"), F.col("content"), eos, skip_other_roles)
     pieces = turns.select(*keys, "turn", piece.alias("piece"))
     texts = _in_order(
-        pieces, keys, "text", lambda t: joined(F.transform(t, lambda p: p["piece"])), joined, max_turns
+        pieces, keys, "text", lambda t: F.array_join(F.transform(t, lambda p: p["piece"]), "")
     )
     return texts.select(*keys, strip(F.col("text")).alias("text"))
 
 
 def _in_order(
-    rows: DataFrame,
-    keys: list[str],
-    name: str,
-    build: Callable[[Column], Column],
-    combine: Callable[[Column], Column],
-    max_turns: int,
+    rows: DataFrame, keys: list[str], name: str, build: Callable[[Column], Column]
 ) -> DataFrame:
-    """``build`` applied to each conversation's turns in order.
-
-    If some conversation outgrows a task's list, stretches of turns are built first, in different
-    tasks, and ``combine`` puts the few results of a conversation together.
-    """
+    """``build`` applied to each conversation's turns in the order of ``turn``, of whatever type."""
     turn = F.struct("turn", *[c for c in rows.columns if c not in keys and c != "turn"])
-    whole = build(F.sort_array(F.collect_list(turn)))
-    if largest_group(rows, *keys) <= max_turns:
-        return rows.groupBy(*keys).agg(whole.alias(name))
-    stretches = (
-        rows.withColumn("_stretch", F.floor(F.col("turn") / F.lit(max_turns)))
-        .groupBy(*keys, "_stretch")
-        .agg(whole.alias("_built"))
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("_stretch", "_built")))
-    return stretches.groupBy(*keys).agg(
-        combine(F.transform(ordered, lambda s: s["_built"])).alias(name)
-    )
+    return rows.groupBy(*keys).agg(build(F.sort_array(F.collect_list(turn))).alias(name))

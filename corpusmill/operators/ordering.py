@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.hashing import hex_prefix, seeded_md5
+from corpusmill.operators.skew import null_safe
 from corpusmill.session import stage
 
 HASH_DIGITS = 4  # 65,536 buckets: the largest table of offsets that hash order can have
 CUT_DIGITS = 5  # a million buckets where the offsets are not broadcast and one bucket is ordered
 SHARD_ROWS = 1 << 20  # rows per bucket of a dense position
-MAX_GROUP_ROWS = 5_000_000  # rows of one group that a single window task may sort
+RANGE_ROWS = 1 << 17  # rows of a range that one window task sorts
 
 
 def _bucket_offsets(
@@ -129,10 +130,37 @@ def running_total(
     )
 
 
-def largest_group(df: DataFrame, *group: str) -> int:
-    """Rows of the largest group: reads the group columns only, and counts map-side."""
-    row = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    return row["n"] or 0
+def _ranges(df: DataFrame, order: list[Column], range_rows: int) -> DataFrame:
+    """``df`` staged in ranges of ``order`` of about ``range_rows`` rows, numbered by ``_shard``.
+
+    The number of ranges follows from the number of rows alone.
+    """
+    staged = stage(df, "rows")
+    shards = -(-staged.count() // range_rows)
+    if shards <= 1:
+        return staged.withColumn("_shard", F.lit(0))
+    ranged = staged.repartitionByRange(shards, *order)
+    return stage(ranged.withColumn("_shard", F.spark_partition_id()), "ranged")
+
+
+def position_by_range(
+    df: DataFrame, order: list[Column], name: str, range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Dense 0-based position in ``order``, which must identify a row: rows are numbered within
+    ranges, and each range adds the rows of the earlier ones, one number for each range."""
+    cut = _ranges(df, order, range_rows)
+    sizes = cut.groupBy("_shard").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _bucket_offsets(sizes, "_shard", "_n").drop("_total")
+    inside = F.row_number().over(Window.partitionBy("_shard").orderBy(*order)) - 1
+    placed = cut.withColumn(name, inside).join(offsets, "_shard")
+    return placed.withColumn(name, F.col(name) + F.col("_before")).drop("_shard", "_before")
+
+
+def exact(df: DataFrame, value: str, scale: int = 12) -> Column:
+    """``value`` as a number whose sums don't depend on the order of addition: floating point is
+    rounded to ``scale`` decimals, anything else is left as it is."""
+    kind = dict(df.dtypes)[value]
+    return F.col(value).cast(f"decimal(38,{scale})") if kind in ("double", "float") else F.col(value)
 
 
 def grouped_running_total(
@@ -142,50 +170,38 @@ def grouped_running_total(
     value: str,
     before: str,
     total: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Per group: sum of ``value`` over the rows ordered before this one, and over all rows.
 
-    ``order`` must identify a row within its group. When no group outgrows a window task, that is
-    one window. Otherwise the table is range-partitioned on (group, order), which cuts even a group
-    that holds a third of it, and staged; each shard then adds what its group has in earlier
-    shards. A shard shares at most its first group and its last with others, so there are at most
-    two carries per shard.
+    ``order`` must identify a row within its group. The table is cut into ranges of (group, order),
+    which cuts even a group that holds a third of it, and each range adds what its group has in
+    earlier ones. Sums are exact (see ``exact``), so the result is the same however it is cut.
     """
-    if largest_group(df, group) <= max_group_rows:
-        whole = Window.partitionBy(group)
-        earlier = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(before, F.coalesce(F.sum(value).over(earlier), F.lit(0))).withColumn(
-            total, F.sum(value).over(whole)
-        )
-
-    shards = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    ranged = df.repartitionByRange(shards, F.col(group), *order)
-    staged = stage(ranged.withColumn("_shard", F.spark_partition_id()), "ranged")
-
-    sums = staged.groupBy(group, "_shard").agg(F.sum(value).alias("_sum"))
+    place = [F.col(group), *order]
+    cut = _ranges(df.withColumn("_value", exact(df, value)), place, range_rows)
+    sums = cut.groupBy(group, "_shard").agg(F.sum("_value").alias("_sum"))
     by_shard = Window.partitionBy(group).orderBy("_shard")
-    per_group = Window.partitionBy(group)
     carries = sums.select(
-        F.col(group).alias("_group"),
-        F.col("_shard").alias("_part"),
+        group,
+        "_shard",
         F.sum("_sum").over(by_shard.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
-        F.sum("_sum").over(per_group).alias(total),
-        F.count(F.lit(1)).over(per_group).alias("_spans"),
-    ).where("_spans > 1")
-
+        F.sum("_sum").over(Window.partitionBy(group)).alias(total),
+    )
     shard = Window.partitionBy(group, "_shard")
     earlier = shard.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = staged.withColumn(
-        "_inside", F.coalesce(F.sum(value).over(earlier), F.lit(0))
-    ).withColumn("_own", F.sum(value).over(shard))
+    inside = cut.withColumn("_inside", F.sum("_value").over(earlier))
+    zero = F.lit(0)
     return (
-        inside.join(
-            F.broadcast(carries.drop("_spans")),
-            F.col(group).eqNullSafe(F.col("_group")) & (F.col("_shard") == F.col("_part")),
-            "left",
-        )
-        .withColumn(before, F.col("_inside") + F.coalesce("_carry", F.lit(0)))
-        .withColumn(total, F.coalesce(total, "_own"))
-        .drop("_shard", "_inside", "_own", "_carry", "_group", "_part")
+        null_safe(inside, carries, [group, "_shard"])
+        .withColumn(before, F.coalesce("_inside", zero) + F.coalesce("_carry", zero))
+        .drop("_shard", "_inside", "_carry", "_value")
     )
+
+
+def total_before(
+    df: DataFrame, order: list[Column], value: str, before: str, total: str
+) -> DataFrame:
+    """``grouped_running_total`` over the whole table."""
+    whole = grouped_running_total(df.withColumn("_whole", F.lit(0)), "_whole", order, value, before, total)
+    return whole.drop("_whole")

@@ -12,16 +12,21 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.text import adjacent_pairs, tokens
 from corpusmill.operators.langid import SCALE, log_share
-from corpusmill.operators.skew import MAX_BROADCAST_BYTES, lookup_join
-from corpusmill.session import spread, stage
+from corpusmill.operators.skew import MAX_BROADCAST_BYTES, lookup_join, null_safe
+from corpusmill.session import stage
 
 ITEM = ["item", "dataset", "target"]
 
 
 def option_candidates(items: DataFrame) -> DataFrame:
-    """One row per option with ``candidate``, the prompt followed by the option."""
+    """One row per option with ``candidate``, the prompt followed by the option.
+
+    An item without options keeps one row with none of the three.
+    """
     others = [c for c in items.columns if c not in ("prompt", "options")]
-    exploded = items.select(*others, "prompt", F.posexplode("options").alias("option_idx", "option"))
+    exploded = items.select(
+        *others, "prompt", F.posexplode_outer("options").alias("option_idx", "option")
+    )
     return exploded.select(
         *others, "option_idx", "option", F.concat("prompt", "option").alias("candidate")
     )
@@ -32,50 +37,62 @@ def score_with_model(
     make_predict_fn: Callable,
     text: str = "candidate",
     batch_size: int = 64,
+    max_characters: int | None = None,
 ) -> DataFrame:
-    """Adds ``score`` from a caller's model, loaded once per Python worker and fed in batches."""
+    """Adds ``score`` from a caller's model, loaded once per Python worker and fed in batches.
+
+    A null text has no score. ``max_characters``, off by default, cuts texts before the model sees
+    them, for models with a limit of their own; the end is kept, where the option stands.
+    """
     predict = predict_batch_udf(
         make_predict_fn, return_type=T.DoubleType(), batch_size=batch_size
     )
-    return candidates.withColumn("score", predict(F.col(text)))
+    given = F.coalesce(F.col(text), F.lit(""))
+    if max_characters is not None:
+        given = F.right(given, F.lit(max_characters))
+    return candidates.withColumn("_score", predict(given)).select(
+        *[F.col(c) for c in candidates.columns if c != "score"],
+        F.when(F.col(text).isNotNull(), F.col("_score")).alias("score"),
+    )
 
 
 @dataclass(frozen=True)
 class BigramModel:
-    """Staged counts of adjacent tokens and of their first tokens, with add-one smoothing."""
+    """Staged prices of adjacent tokens, add-one smoothed: (prev, cur, n, n_prev, logp).
+
+    A row without ``cur`` prices the pairs of that ``prev`` that were never seen.
+    """
 
-    pairs: DataFrame  # prev, cur, n
-    contexts: DataFrame  # prev, n_prev, n_pairs
+    prices: DataFrame
     vocabulary: int
 
-    def log_probability(self, n: Column, n_prev: Column) -> Column:
-        seen = F.coalesce(n, F.lit(0)) + 1
-        return log_share(seen, F.coalesce(n_prev, F.lit(0)) + self.vocabulary)
+    def unseen(self) -> Column:
+        """Price of a pair whose first token was never seen before another."""
+        return log_share(F.lit(1), F.lit(max(self.vocabulary, 1)))
 
     def table(self) -> DataFrame:
         """(prev, cur, n, n_prev, logp) for all pairs seen."""
-        joined = lookup_join(self.pairs, self.contexts, ["prev"], "n_pairs")
-        return joined.select(
-            "prev",
-            "cur",
-            "n",
-            "n_prev",
-            self.log_probability(F.col("n"), F.col("n_prev")).alias("logp"),
-        )
+        return self.prices.where("cur is not null")
 
 
 def train_bigrams(df: DataFrame, text: str = "text") -> BigramModel:
-    split = spread(df.select(F.col(text).alias("text"))).select(tokens(F.col("text")).alias("t"))
+    split = df.select(tokens(F.col(text)).alias("t"))
     found = split.select(F.inline(adjacent_pairs(F.col("t"))))
     pairs = stage(found.groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    contexts = stage(
-        pairs.groupBy("prev").agg(
-            F.sum("n").alias("n_prev"), F.count(F.lit(1)).alias("n_pairs")
-        ),
-        "contexts",
+    size = pairs.select(F.explode(F.array("prev", "cur")).alias("w")).distinct().count()
+    contexts = pairs.groupBy("prev").agg(F.sum("n").alias("n_prev"))
+    whole = F.col("n_prev") + size
+    seen = pairs.join(contexts, "prev").select(
+        "prev", "cur", "n", "n_prev", log_share(F.col("n") + 1, whole).alias("logp")
+    )
+    rest = contexts.select(
+        "prev",
+        F.lit(None).cast("string").alias("cur"),
+        F.lit(0).cast("bigint").alias("n"),
+        "n_prev",
+        log_share(F.lit(1), whole).alias("logp"),
     )
-    words = pairs.select(F.explode(F.array("prev", "cur")).alias("w")).distinct()
-    return BigramModel(pairs, contexts, words.count())
+    return BigramModel(stage(seen.unionByName(rest), "prices"), size)
 
 
 def score_options(
@@ -89,44 +106,43 @@ def score_options(
 
     The tokens of a candidate are those of the prompt and then those of the option, so the prompt
     is scored once and each option adds its own pairs. ``reference`` scales the mean loss by the
-    number of tokens, ``sum`` by the number of predictions.
+    number of tokens, ``sum`` by the number of predictions. An item without options keeps one row
+    without option and score.
 
-    A few pairs (the prompt's header) occur in every item. Needed pairs are counted first, looked
-    up once each, and that small result is joined back by ``lookup_join``.
+    A few pairs (the prompt's header) occur in every item. Needed pairs are counted first, priced
+    once each, and that small result is joined back by ``lookup_join``.
     """
-    rows = spread(items.select(*keys, "prompt", "options"), *keys).select(
+    rows = items.select(
         *keys, tokens(F.col("prompt")).alias("_said"), F.transform("options", tokens).alias("_more")
     )
     segments = rows.select(*keys, F.inline(_segments(F.col("_said"), F.col("_more"))))
     long = segments.select(*keys, "option_idx", "n_tokens", F.explode_outer("pairs").alias("pair"))
     long = long.select(*keys, "option_idx", "n_tokens", "pair.prev", "pair.cur")
 
-    counted = long.where("prev is not null").groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("heat"))
-    needed = stage(counted, "needed-pairs")
-    known = model.pairs.join(needed, ["prev", "cur"], "left_semi")
-    found = needed.join(known, ["prev", "cur"], "left")
-    contexts = model.contexts.join(needed.select("prev").distinct(), "prev", "left_semi")
-    with_context = lookup_join(found, contexts, ["prev"], "n_pairs")
-    logp = model.log_probability(F.col("n"), F.col("n_prev"))
-    priced = stage(with_context.select("prev", "cur", "heat", logp.alias("logp")), "priced-pairs")
-
+    needed = long.where("prev is not null").groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("heat"))
+    unseen = model.prices.where("cur is null").select("prev", F.col("logp").alias("_rest"))
+    priced = (
+        needed.join(model.table().select("prev", "cur", "logp"), ["prev", "cur"], "left")
+        .join(unseen, "prev", "left")
+        .select("prev", "cur", "heat", F.coalesce("logp", "_rest", model.unseen()).alias("logp"))
+    )
     summed = (
-        lookup_join(long, priced, ["prev", "cur"], "heat", "left", max_broadcast_bytes)
+        lookup_join(long, stage(priced, "priced-pairs"), ["prev", "cur"], "heat", "left", max_broadcast_bytes)
         .groupBy(*keys, "option_idx", "n_tokens")
         .agg(F.coalesce(F.sum("logp"), F.lit(0)).alias("logp"), F.count("prev").alias("n_pairs"))
     )
     part = F.struct("option_idx", "n_tokens", "logp", "n_pairs")
-    base = F.col("option_idx") < 0
-    gathered = summed.groupBy(*keys).agg(
-        F.max(F.when(base, part)).alias("_base"),
-        F.collect_list(F.when(~base, part)).alias("_options"),
-    )
-    flat = gathered.select(*keys, "_base", F.inline("_options"))
+    gathered = summed.groupBy(*keys).agg(F.collect_list(part).alias("_parts"))
+    base = F.get(F.filter("_parts", lambda x: x["option_idx"] < 0), F.lit(0))
+    options = F.filter("_parts", lambda x: x["option_idx"] >= 0)
+    flat = gathered.select(*keys, base.alias("_base"), F.inline_outer(options))
     total = F.col("logp") + F.col("_base.logp")
     n_tokens = F.col("n_tokens") + F.col("_base.n_tokens")
     n_pairs = F.col("n_pairs") + F.col("_base.n_pairs")
     scale = n_tokens if length_scale == "reference" else n_pairs
-    score = F.when(n_pairs > 0, (total * scale).cast("double") / n_pairs).otherwise(F.lit(0.0))
+    score = F.when(n_pairs > 0, (total * scale).cast("double") / n_pairs).otherwise(
+        F.when(F.col("option_idx").isNotNull(), F.lit(0.0))
+    )
     return flat.select(*keys, "option_idx", (score / F.lit(float(SCALE))).alias("score"))
 
 
@@ -146,14 +162,20 @@ def _segments(prompt: Column, options: Column) -> Column:
             adjacent_pairs(F.concat(last, o)).alias("pairs"),
         ),
     )
-    return F.concat(F.array(whole), parts)
+    return F.concat(F.array(whole), F.coalesce(parts, F.slice(F.array(whole), 1, 0)))
 
 
 def argmax_option(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The best option per item; of equal scores the lowest index wins."""
+    """The best option per item; of equal scores the lowest index wins.
+
+    Two aggregates of numbers: the best score, then the lowest option that has it. An item without
+    options, or without scores, has no prediction and counts as wrong.
+    """
     keys = ITEM if keys is None else keys
-    best = F.struct(F.col("score"), (-F.col("option_idx")).alias("place"))
-    chosen = scores.groupBy(*keys).agg(F.max_by("option_idx", best).alias("pred"))
+    best = scores.groupBy(*keys).agg(F.max("score").alias("_best"))
+    top = null_safe(scores, best, keys)
+    place = F.when(F.col("score") == F.col("_best"), F.col("option_idx"))
+    chosen = top.groupBy(*keys).agg(F.min(place).alias("pred"))
     correct = F.coalesce(F.col("pred") == F.col("target"), F.lit(False))
     return chosen.withColumn("is_correct", correct)
 
@@ -166,7 +188,7 @@ def accuracy_by_dataset(predictions: DataFrame) -> DataFrame:
 
 
 def accuracy_with_total(predictions: DataFrame) -> DataFrame:
-    """Per dataset and, with a null dataset, over all; 0.0 over all when nothing was evaluated.
+    """Per dataset and over all, marked by ``is_total``; 0.0 over all when nothing was evaluated.
 
     The total adds up the per-dataset counts, whose exchange both branches share, so the predictions
     are computed once.
@@ -177,17 +199,22 @@ def accuracy_with_total(predictions: DataFrame) -> DataFrame:
         F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
     )
     share = F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(F.lit(0.0))
-    return per_dataset.unionByName(
+    return per_dataset.withColumn("is_total", F.lit(False)).unionByName(
         overall.select(
-            F.lit(None).cast("string").alias("dataset"), "correct", "total", share.alias("accuracy")
+            F.lit(None).cast("string").alias("dataset"),
+            "correct",
+            "total",
+            share.alias("accuracy"),
+            F.lit(True).alias("is_total"),
         )
     )
 
 
 def metrics_long(accuracies: DataFrame) -> DataFrame:
-    """(metric, value): ``accuracy`` over all and ``accuracy_<dataset>``."""
-    name = F.when(F.col("dataset").isNull(), F.lit("accuracy")).otherwise(
-        F.concat(F.lit("accuracy_"), F.col("dataset"))
+    """(metric, value): ``accuracy`` over all and ``accuracy_<dataset>``, with ``null`` for items
+    without a dataset."""
+    name = F.when(F.col("is_total"), F.lit("accuracy")).otherwise(
+        F.concat(F.lit("accuracy_"), F.coalesce("dataset", F.lit("null")))
     )
     return accuracies.select(name.alias("metric"), F.col("accuracy").alias("value"))
 

@@ -6,43 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import token_count, tokens
-from corpusmill.functions.hashing import hex_prefix
-from corpusmill.operators.ordering import position_in_order, running_total
+from corpusmill.operators.ordering import position_by_range, running_total
 from corpusmill.operators.skew import MAX_BROADCAST_BYTES, lookup_join
-from corpusmill.session import spread
 
 PAD, UNKNOWN, EOS = 0, 1, 2
 FIRST_ID = 3
-ID_BITS = 36  # room for 68 billion ids, and for 134 million tokens in one text
-RARE = 256  # counts below this get buckets of their own, cut further by hash
-STEPS = 128  # buckets per power of two above it
 
 
 def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
     """(token, n, token_id): ids rise as frequency falls, ties in hash order.
 
-    Frequencies are long-tailed: most tokens occur once. Rare counts are therefore cut by the hash
-    of the token and common ones by their leading eight bits, which gives some 74,000 buckets in
-    rank order whatever the size of the corpus.
+    Most tokens occur once; the order is cut into ranges of a bounded number of tokens, by the hash
+    among those of equal frequency.
     """
     counts = (
-        spread(df.select(F.col(text).alias("text")))
-        .select(F.explode(tokens(F.col("text"))).alias("token"))
+        df.select(F.explode(tokens(F.col(text))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("_hash", F.md5("token"))
     )
-    hashed = counts.withColumn("_hash", F.md5("token"))
-    bits = F.length(F.bin(F.col("n")))
-    leading = F.substring(F.bin(F.col("n")), 1, 8)
-    common = (64 - bits) * STEPS + (255 - F.conv(leading, 2, 10).cast("bigint"))
-    rare = 64 * STEPS + (RARE - F.col("n")) * 256 + hex_prefix(F.col("_hash"), 2)
-    ranked = position_in_order(
-        hashed,
-        F.when(F.col("n") < RARE, rare).otherwise(common),
-        [F.col("n").desc(), F.col("_hash"), F.col("token")],
-        "_rank",
-    )
-    return ranked.select("token", "n", (F.col("_rank") + FIRST_ID).alias("token_id"))
+    ranked = position_by_range(counts, [F.col("n").desc(), F.col("_hash"), F.col("token")], "_rank")
+    return ranked.select("token", "n", (F.col("_rank") + FIRST_ID).cast("bigint").alias("token_id"))
 
 
 def encode(
@@ -63,14 +47,13 @@ def encode(
             for i, c in enumerate(texts.values())
         ]
     )
-    rows = spread(df.select(*keys, *dict.fromkeys(texts.values())), *keys)
+    rows = df.select(*keys, *dict.fromkeys(texts.values()))
     long = rows.select(*keys, F.inline(fields)).select(
         *keys, "field", F.posexplode_outer("tokens").alias("pos", "token")
     )
     found = lookup_join(long, vocab, ["token"], "n", "left", max_broadcast_bytes)
     token_id = F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).cast("bigint")
-    # Place and id in one number: a list of numbers is smaller to gather and sort than of structs.
-    placed = F.shiftleft(F.col("pos").cast("bigint"), ID_BITS).bitwiseOR(token_id)
+    placed = F.struct(F.col("pos"), token_id.alias("id"))
     gathered = found.groupBy(*keys).agg(
         *[
             F.collect_list(F.when((F.col("field") == i) & F.col("pos").isNotNull(), placed)).alias(
@@ -80,11 +63,7 @@ def encode(
         ]
     )
     return gathered.select(
-        *keys,
-        *[
-            F.transform(F.sort_array(n), lambda t: t.bitwiseAND(F.lit((1 << ID_BITS) - 1))).alias(n)
-            for n in texts
-        ],
+        *keys, *[F.transform(F.sort_array(n), lambda t: t["id"]).alias(n) for n in texts]
     )
 
 
@@ -132,12 +111,16 @@ def encode_pairs(
 
 
 def truncation_audit(df: DataFrame, text: str, source: str, length: int) -> DataFrame:
-    """Per source: rows, rows whose end marker would be cut off, and the token counts."""
-    counted = spread(df.select(source, text)).select(source, token_count(F.col(text)).alias("n_tokens"))
-    return counted.groupBy(source).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("n_tokens") + 1 > length).alias("n_truncated"),
-        F.percentile("n_tokens", F.lit(0.5)).alias("median_tokens"),
+    """Per source: rows, rows whose end marker would be cut off, and the token counts.
+
+    Rows are counted by length first, so what is kept for the median is one number for each length.
+    """
+    counted = df.select(source, token_count(F.col(text)).alias("n_tokens"))
+    lengths = counted.groupBy(source, "n_tokens").agg(F.count(F.lit(1)).alias("_n"))
+    return lengths.groupBy(source).agg(
+        F.sum("_n").alias("n"),
+        F.sum(F.when(F.col("n_tokens") + 1 > length, F.col("_n")).otherwise(0)).alias("n_truncated"),
+        F.percentile("n_tokens", F.lit(0.5), F.col("_n")).alias("median_tokens"),
         F.max("n_tokens").alias("max_tokens"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.langid import LanguageModel, only_language, train
@@ -16,6 +16,7 @@ from corpusmill.operators.mixture import (
     not_excluded,
 )
 from corpusmill.plans.recipe import open_entry
+from corpusmill.session import stage
 
 
 def build_mixture(
@@ -35,7 +36,8 @@ def build_mixture(
     kept = exclude_sources(chats, exclude).where(has_two_messages(F.col("messages")))
     mapped = map_sources(kept, source_map).select("id", "messages", "source", "config")
     if english is not None:
-        mapped = only_language(mapped, ["id"], english)
+        # Staged, so that the mixture is scanned once though it is judged and then filtered.
+        mapped = only_language(stage(mapped, "mapped"), english)
     if local is None:
         return mapped
     return concat([mapped, local.withColumn("config", F.lit(local_subset))])
@@ -66,9 +68,15 @@ def build_mixture_from(
     return built.withColumn("split", F.lit(mixture.get("split", "train")))
 
 
-def funnel_stages(exclude: list[str]):
-    """The filter stages over per-conversation rows with ``source`` and ``n_messages``."""
-    return [
+def funnel_stages(exclude: list[str], source_map: dict[str, str], english: Column | None = None):
+    """The filter stages over per-conversation rows with ``source`` and ``n_messages``.
+
+    ``english`` says whether every message of the conversation is; without it that stage is left out.
+    """
+    stages = [
         ("not_excluded", not_excluded(F.col("source"), exclude)),
         ("two_messages", F.col("n_messages") == 2),
     ]
+    if english is not None:
+        stages.append(("english", english))
+    return [*stages, ("mapped", F.col("source").isin(list(source_map)))]

@@ -20,9 +20,6 @@ RECOMMENDED = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-SMALL_BYTES = 16 << 20
-PIECE_BYTES = 64 << 10
-
 _local_root: str | None = None
 
 
@@ -49,24 +46,6 @@ def _remove_own_folder(path: str, owner: int) -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a share of a small input before work that is heavy per row.
-
-    A table under ``SMALL_BYTES`` per core fills only some of the cores when scanned, a single row
-    group only one. Larger inputs already fill them and are left alone, so nothing big is moved.
-    With ``keys`` the rows are placed for a later grouping by them. A tiny table gets no more
-    partitions than it has pieces of ``PIECE_BYTES``.
-    """
-    plan = getattr(df, "_jdf", None)
-    if plan is None or df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= cores * SMALL_BYTES:
-        return df
-    return df.repartition(min(cores, size // PIECE_BYTES + 1), *keys)
-
-
 def staging_path(spark: SparkSession, label: str) -> str:
     """A new folder of this application's own."""
     application = spark.sparkContext.applicationId

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST_PATHS = 128 << 20  # characters of all paths, whose offsets may be broadcast
+from corpusmill.operators.ordering import total_before
+from corpusmill.operators.skew import lookup_join
+from corpusmill.session import stage
 
 
 def scan_split(
@@ -58,37 +60,20 @@ def list_splits(table: DataFrame) -> DataFrame:
     return table.select("config", "split").distinct()
 
 
-def _file_offsets(scan: DataFrame) -> DataFrame:
-    """Rows before each file, in path order, and rows in all: one row per file."""
-    sizes = scan.groupBy(F.col("_metadata.file_path").alias("_file")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("_file").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    return sizes.select(
-        "_file",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(whole).alias("_total"),
-    )
-
-
 def with_row_position(scan: DataFrame, name: str = "row_position", total: str | None = None):
     """Dense 0-based position of every row of a file scan, over all files in path order.
 
     The reader numbers rows within a file; only a per-file offset has to be added, so no row is
-    moved. It must be applied to the scan itself: positions are unknown after a shuffle or union.
+    moved. The offsets are a running total over the files, cut into ranges like any other; whether
+    they are broadcast depends on their measured size. It must be applied to the scan itself:
+    positions are unknown after a shuffle or union.
     """
-    row = F.col("_metadata.row_index")
-    files = scan.inputFiles()
-    if len(files) == 1 and total is None:
-        return scan.select("*", row.alias(name))
-    tagged = scan.select("*", row.alias("_row"), F.col("_metadata.file_path").alias("_file"))
-    offsets = _file_offsets(scan)
-    if sum(map(len, files)) <= MAX_BROADCAST_PATHS:
-        offsets = F.broadcast(offsets)
-    placed = tagged.join(offsets, "_file").withColumn(name, F.col("_row") + F.col("_offset"))
+    file = F.col("_metadata.file_path")
+    tagged = scan.select("*", F.col("_metadata.row_index").alias("_row"), file.alias("_file"))
+    sizes = scan.groupBy(file.alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = stage(total_before(sizes, [F.col("_file")], "_n", "_offset", "_total"), "offsets")
+    placed = lookup_join(tagged, offsets, ["_file"], "_n", "inner")
+    placed = placed.withColumn(name, (F.col("_row") + F.col("_offset")).cast("bigint"))
     if total is not None:
         placed = placed.withColumn(total, F.col("_total"))
     return placed.drop("_file", "_row", "_offset", "_total")

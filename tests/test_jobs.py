@@ -48,10 +48,12 @@ def test_row_positions_over_several_files(spark, tmp_path):
     assert all(r["id"] == r["row_position"] for r in after.collect())
 
 
-def test_row_positions_beyond_the_broadcast_limit(spark, tmp_path, monkeypatch):
+def test_row_positions_with_many_files(spark, tmp_path, monkeypatch):
+    from corpusmill.operators import ordering
+
     path = str(tmp_path / "t")
-    spark.range(0, 100, 1, 5).write.parquet(path)
-    monkeypatch.setattr(tables, "MAX_BROADCAST_PATHS", 1)
+    spark.range(0, 100, 1, 9).write.parquet(path)
+    monkeypatch.setattr(ordering.grouped_running_total, "__defaults__", (2,))
     assert rows(tables.with_row_position(spark.read.parquet(path))) == [(i, i) for i in range(100)]
 
 

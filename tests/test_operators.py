@@ -24,7 +24,7 @@ from corpusmill.operators import (
     tokens,
 )
 from corpusmill.schemas import MCQA, conform
-from corpusmill.session import spread, stage
+from corpusmill.session import stage
 
 few = settings(
     max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
@@ -133,8 +133,8 @@ def test_two_message_conversations(spark, plan_of):
     pairs = conversations.two_message(hot_turns(spark), ["conv"])
     got = {r["conv"]: [m["content"] for m in r["messages"]] for r in pairs.collect()}
     assert got == {k + 1: [f"s{2 * k}", f"s{2 * k + 1}"] for k in range(50)}
-    assert "collect_list" not in plan_of(pairs)
-    assert "partial_min_by" in plan_of(pairs)
+    plan = plan_of(pairs)
+    assert "SortAggregate" not in plan and "LeftSemi" in plan  # longer ones never get gathered
 
 
 def test_first_contents_equal_those_of_arrays(spark):
@@ -159,14 +159,15 @@ def test_sft_text_of_turns_equals_that_of_arrays(spark):
     from corpusmill.functions import chat
 
     turns = hot_turns(spark)
-    results = []
-    for limit in (100, 100_000):
-        results.append(rows(conversations.sft_text(turns, ["conv"], "<e>", max_turns=limit)))
-        arrays = conversations.assemble(turns, ["conv"], limit).select(
-            "conv", chat.sft_text(F.col("messages"), "<e>").alias("text")
-        )
-        results.append(rows(arrays))
-    assert results[0] == results[1] == results[2] == results[3]
+    results = [rows(conversations.sft_text(turns, ["conv"], "<e>"))]
+    arrays = conversations.assemble(turns, ["conv"]).select(
+        "conv", chat.sft_text(F.col("messages"), "<e>").alias("text")
+    )
+    results.append(rows(arrays))
+    # turns need an order only, so a text will do
+    named = turns.withColumn("turn", F.format_string("t%09d", "turn"))
+    results.append(rows(conversations.sft_text(named, ["conv"], "<e>")))
+    assert results[0] == results[1] == results[2]
     assert results[0][0][1].startswith("t0\n\n<e>t1\n\n<e>t2") and len(results[0]) == 51
 
 
@@ -243,21 +244,37 @@ def nucleus(data, p):
     return kept
 
 
-@pytest.mark.parametrize("limit", [0, 5_000_000])
+@pytest.mark.parametrize("rows_in_range", [7, 1 << 17])
 @pytest.mark.parametrize("p", [0.0, 0.6, 1.0])
-def test_top_p_with_and_without_sharding(spark, limit, p):
+def test_top_p_however_the_table_is_cut(spark, rows_in_range, p):
     df, data = grouped(spark)
-    got = distribution.top_p(df, "g", "w", ["k"], p, max_group_rows=limit)
+    got = distribution.top_p(df, "g", "w", ["k"], p, range_rows=rows_in_range)
     assert {r["k"] for r in got.collect()} == nucleus(data, p)
     assert got.count() == len(nucleus(data, p))
 
 
-@pytest.mark.parametrize("limit", [0, 5_000_000])
-def test_softmax_with_and_without_lookup(spark, limit):
+def test_fractional_weights_give_the_same_rows_for_any_partition_count(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 7).alias("g"),
+        F.col("id").alias("k"),
+        (F.rand(5) * 3).alias("w"),
+    )
+    df = stage(df, "weights")
+    found = [
+        (
+            rows(distribution.top_p(part, "g", "w", ["k"], 0.4, range_rows=n)),
+            rows(distribution.softmax(part, "g", "w")),
+        )
+        for part, n in ((df.coalesce(1), 100), (df.repartition(3), 1000), (df.repartition(11), 1 << 17))
+    ]
+    assert found[0] == found[1] == found[2] and len(found[0][1]) == 3000
+
+
+def test_softmax(spark):
     import math
 
     df, data = grouped(spark)
-    got = distribution.softmax(df, "g", "w", temperature=2.0, max_group_rows=limit)
+    got = distribution.softmax(df, "g", "w", temperature=2.0)
     sums = defaultdict(float)
     for g, _, w in data:
         sums[g] += math.exp(w / 2)
@@ -313,7 +330,22 @@ def test_long_texts_count_towards_the_broadcast_limit(spark, plan_of):
     facts = spark.createDataFrame([("a",), ("b" * 5000,), ("c",)], "key string")
     got = skew.lookup_join(facts, table, ["key"], "heat", "left", 1000)
     assert sorted((len(r["key"]), r["v"]) for r in got.collect() if r["v"]) == [(1, 1), (5000, 2)]
-    assert "Union" in plan_of(got)
+    assert "_salt" in plan_of(got) and "Union" not in plan_of(got)
+
+
+def test_a_frequent_key_that_the_table_lacks_is_shared_by_many_tasks(spark):
+    table = spark.createDataFrame([(f"k{i}", i, 1) for i in range(100)], "key string, v int, heat long")
+    facts = spark.range(4000).select(
+        F.col("id").alias("n"), F.when(F.col("id") % 2 == 0, "lacking").otherwise("k7").alias("key")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = skew.lookup_join(facts, table, ["key"], "heat", "left", 0, salts=32)
+        placed = got.select("key", "v", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(placed) == 4000 and all(r["v"] == (7 if r["key"] == "k7" else None) for r in placed)
+    assert len({r["p"] for r in placed if r["key"] == "lacking"}) >= 7
 
 
 # --- adapters ------------------------------------------------------------------------------
@@ -401,7 +433,7 @@ def test_scores_do_not_depend_on_the_join_path(spark):
     assert paths[0] == paths[1] == paths[2]
 
 
-def test_only_language_needs_every_message(spark):
+def test_only_language_judges_each_row(spark):
     model = language_model(spark)
     df = spark.createDataFrame(
         [
@@ -410,11 +442,32 @@ def test_only_language_needs_every_message(spark):
             ("empty", []),
             ("short", [("user", "the dog"), ("assistant", "no")]),
             ("null", [("user", None)]),
+            (None, [("user", "le chien est la")]),
+            (None, [("user", "this is the dog")]),
+            ("all", [("user", "le chien est la")]),
         ],
         "id string, messages array<struct<role:string,content:string>>",
     )
-    kept = langid.only_language(df, ["id"], model)
-    assert rows(kept.select("id")) == [("all",), ("empty",)]
+    kept = langid.only_language(df, model).select("id", F.size("messages").alias("n"))
+    got = sorted(rows_of(kept), key=str)
+    assert got == [("all", 2), ("empty", 0), (None, 1)]
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_repeated_rows_are_detected_one_by_one(spark):
+    model = language_model(spark)
+    df = spark.createDataFrame(
+        [(1, "this is the dog"), (1, "this is the dog"), (1, "le chien est la"), (None, "le chien"), (2, None)],
+        "k long, t string",
+    )
+    got = rows_of(langid.detect(df, ["k"], "t", model))
+    one = [r for r in got if r[0] == 1]
+    assert len(got) == 5 and sorted(r[3] for r in one) == ["en", "en", "fr"]
+    assert len({r[1:] for r in one if r[3] == "en"}) == 1
+    assert [r[3] for r in got if r[0] is None] == ["fr"] and [r[1:] for r in got if r[0] == 2] == [(0, None, None)]
 
 
 # --- tokens --------------------------------------------------------------------------------
@@ -476,20 +529,29 @@ def test_chunks_add_up_to_the_text(spark, value, size):
     df = spark.createDataFrame([(1, value)], "k long, text string")
     got = chunking.chunk_documents(df, ["k"], "text", size).orderBy("chunk").collect()
     assert "".join(r["text"] for r in got) == value
+    assert all(0 < len(r["text"]) <= size for r in got)
 
 
 def test_chunks_cut_at_the_strongest_separator(spark):
     df = spark.createDataFrame(
-        [(1, "intro\n# one\n\ntext\n## two\nmore"), (2, "p one\n\np two"), (3, "abcdefgh")], "k long, text string"
+        [
+            (1, "intro\n# one\n\ntext\n## two\nmore"),
+            (2, "p one here\n\np two"),
+            (3, "abcdefgh" * 2),
+            (4, "ab\ufdd0cd\n\nef"),
+            (5, None),
+        ],
+        "k long, text string",
     )
-    got = chunking.chunk_documents(df, ["k"], "text", 3).orderBy("k", "chunk").collect()
+    got = chunking.chunk_documents(df, ["k"], "text", 12).orderBy("k", "chunk").collect()
     by_key = defaultdict(list)
     for r in got:
         by_key[r["k"]].append(r["text"])
     assert by_key == {
         1: ["intro", "\n# one\n\ntext", "\n## two\nmore"],
-        2: ["p one", "\n\np two"],
-        3: ["abc", "def", "gh"],
+        2: ["p one here", "\n\np two"],
+        3: ["abcdefghabcd", "efgh"],
+        4: ["ab\ufdd0cd\n\nef"],
     }
 
 
@@ -508,10 +570,36 @@ def test_ties_go_to_the_lowest_option_and_bad_targets_are_wrong(spark):
 def test_accuracy_of_nothing_is_zero(spark):
     empty = spark.createDataFrame([], "item long, dataset string, target int, pred int, is_correct boolean")
     got = scoring.accuracy_with_total(empty).collect()
-    assert [tuple(r) for r in got] == [(None, 0, 0, 0.0)]
+    assert [tuple(r) for r in got] == [(None, 0, 0, 0.0, True)]
     assert rows(scoring.metrics_long(scoring.accuracy_with_total(empty))) == [("accuracy", 0.0)]
 
 
+def test_items_without_a_dataset_are_a_group_and_not_the_total(spark):
+    predictions = spark.createDataFrame(
+        [(1, None, True), (2, None, False), (3, "d", False)], "item long, dataset string, is_correct boolean"
+    )
+    metrics = scoring.metrics_long(scoring.accuracy_with_total(predictions))
+    got = {r["metric"]: round(r["value"], 3) for r in metrics.collect()}
+    assert got == {"accuracy": 0.333, "accuracy_null": 0.5, "accuracy_d": 0.0} and metrics.count() == 3
+
+
+def test_items_without_options_stay_and_count_as_wrong(spark):
+    from corpusmill.plans.evaluation import evaluate
+
+    model = scoring.train_bigrams(spark.createDataFrame([("a b a b c",)], "text string"))
+    items = spark.createDataFrame(
+        [(1, "d", 0, "a", ["b", "c"]), (2, "d", 0, "a", []), (3, "d", 0, "a", None)],
+        "item long, dataset string, target int, prompt string, options array<string>",
+    )
+    scores = scoring.score_options(items, ["item"], model).collect()
+    assert sorted((r["item"], r["option_idx"], r["score"] is None) for r in scores if r["item"] > 1) == [
+        (2, None, True),
+        (3, None, True),
+    ]
+    metrics = {r["metric"]: r["value"] for r in evaluate(items, model).collect()}
+    assert metrics["accuracy"] == pytest.approx(1 / 3)
+
+
 def test_ragged_options_are_scored(spark):
     scores = spark.createDataFrame(
         [(1, 0, 0.1), (1, 1, 0.2), (2, 2, 0.3), (2, 0, 0.1), (2, 1, 0.2)], "item long, option_idx int, score double"
@@ -567,15 +655,3 @@ def test_a_callers_model_scores_candidates(spark):
     from corpusmill.plans.evaluation import evaluate_with
 
     assert rows(evaluate_with(items, make)) == [("accuracy", 1.0), ("accuracy_d", 1.0)]
-
-
-# --- session -------------------------------------------------------------------------------
-
-
-def test_small_inputs_are_spread_and_big_ones_are_not(spark, sf_dir, plan_of, monkeypatch):
-    import corpusmill.session as session
-
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert "REPARTITION_BY_NUM" in plan_of(spread(df, "doc_id"))
-    monkeypatch.setattr(session, "SMALL_BYTES", 0)
-    assert "Exchange" not in plan_of(spread(df, "doc_id"))

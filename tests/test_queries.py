@@ -6,18 +6,23 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check import compare, database
+from workload import ORACLES, QUERIES
 
 # Queries whose plan is allowed a Python worker: those that run a caller's code.
 PYTHON = {"model_scored_options", "map_batches"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+# Queries whose aggregates are of numbers, or gather what few rows are left: none sorts texts.
+HASHED = {"two_turn_only", "first_turn", "render_instruction", "argmax_option", "weighted_draw", "mixture_build"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_its_sql(spark, sf_dir, name):
     assert compare(spark, database(sf_dir), name, sf_dir) is None
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
 
 
 def test_entry(spark):
@@ -25,12 +30,14 @@ def test_entry(spark):
     assert df.columns == ["conv_id", "text", "split"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - PYTHON))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON))
 def test_plans_stay_in_the_jvm_and_distributed(spark, sf_dir, plan_of, name):
     plan = plan_of(entry.queries()[name](spark, sf_dir))
     for worker in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert worker not in plan
-    assert _single_task_rows(plan) <= {"_bucket", "_file", "_shard"}
+    if name in HASHED:
+        assert "SortAggregate" not in plan
+    assert _single_task_rows(plan) <= {"_bucket", "_shard"}
 
 
 def _single_task_rows(plan):

@@ -10,6 +10,9 @@ from corpusmill.functions.hashing import chosen
 from corpusmill.operators import conversations, langid, mixture, profile
 from corpusmill.plans.chat_mixture import build_mixture, funnel_stages
 from corpusmill.plans.training_text import build_training_text
+from corpusmill.functions.constants import SEED
+from corpusmill.operators.sampling import sample_n
+from corpusmill.operators.skew import null_safe
 from corpusmill.session import stage
 from workload.inputs import (
     EOS,
@@ -21,6 +24,7 @@ from workload.inputs import (
     chosen_sql,
     draw_sql,
     read,
+    read_wide,
     turns,
 )
 from workload.registry import case
@@ -176,19 +180,6 @@ def map_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.map_sources(_lengths(spark, sf_dir), SOURCE_MAP)
 
 
-@case(
-    f"""with {LENGTHS}, f as (
-      select count(*) as a, count(*) filter (source is null or source <> 'src3') as b,
-             count(*) filter ((source is null or source <> 'src3') and n_messages = 2) as c
-      from lengths)
-    select 0 as step, 'all' as stage, a as n from f
-    union all select 1, 'not_excluded', b from f
-    union all select 2, 'two_messages', c from f"""
-)
-def filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.funnel(_lengths(spark, sf_dir), funnel_stages(EXCLUDED))
-
-
 @case(
     f"""with {LENGTHS} select count(*) filter (n_messages = 2) as n_ordinary,
     count(*) filter (n_messages <> 2) as n_other from lengths"""
@@ -226,8 +217,6 @@ LOCAL = """select 'local_' || item_id as id, 'local' as source, 'local' as confi
 def _mixture(spark: SparkSession, sf_dir: str, english=None) -> DataFrame:
     pairs = conversations.two_message(turns(spark, sf_dir), ["conv_id", "source"])
     chats = pairs.select(F.col("conv_id").cast("string").alias("id"), "messages", "source")
-    if english is not None:
-        chats = stage(chats, "chats")  # read twice: to judge the language and to filter by it
     built = build_mixture(
         chats, SOURCE_MAP, EXCLUDED, _local(spark, sf_dir), "local", english
     )
@@ -298,7 +287,7 @@ def detect_sql(rows: str) -> str:
 
 @case(f"with {profile_sql()} select lang, gram, n, logp from weights")
 def lang_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.train(read(spark, sf_dir, "documents")).profile()
+    return langid.train(read_wide(spark, sf_dir, "documents")).profile()
 
 
 MESSAGES = "select conv_id as a, turn as b, text as t from conversations"
@@ -309,10 +298,57 @@ MESSAGES = "select conv_id as a, turn as b, text as t from conversations"
     select a as conv_id, b as turn, n_grams, score, lang from detected"""
 )
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = langid.train(read(spark, sf_dir, "documents"))
+    model = langid.train(read_wide(spark, sf_dir, "documents"))
     return langid.detect(turns(spark, sf_dir), ["conv_id", "turn"], "content", model)
 
 
+@case(
+    f"""with {LENGTHS}, m(source, config) as (values {MAP_ROWS}), {profile_sql()}, {detect_sql(MESSAGES)},
+    english as (
+      select a as conv_id, bool_and(coalesce(lang = 'en', false)) as english from detected group by a),
+    reached as (
+      select (l.source is null or l.source <> 'src3') as b, n_messages = 2 as c, english as d,
+             m.source is not null as e
+      from lengths l join english using (conv_id) left join m on l.source = m.source),
+    f as (
+      select count(*) as n0, count(*) filter (b) as n1, count(*) filter (b and c) as n2,
+             count(*) filter (b and c and d) as n3, count(*) filter (b and c and d and e) as n4
+      from reached)
+    select 0 as step, 'all' as stage, n0 as n from f union all select 1, 'not_excluded', n1 from f
+    union all select 2, 'two_messages', n2 from f union all select 3, 'english', n3 from f
+    union all select 4, 'mapped', n4 from f"""
+)
+def filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step from all conversations to the mapped ones, from one scan of the messages."""
+    model = langid.train(read_wide(spark, sf_dir, "documents"))
+    labels = langid.detect(turns(spark, sf_dir), ["conv_id", "source", "turn"], "content", model)
+    chats = labels.groupBy("conv_id", "source").agg(
+        F.count(F.lit(1)).alias("n_messages"),
+        F.bool_and(F.col("lang").eqNullSafe(F.lit("en"))).alias("english"),
+    )
+    return profile.funnel(chats, funnel_stages(EXCLUDED, SOURCE_MAP, F.col("english")))
+
+
+@case(
+    f"""with {profile_sql()}, {detect_sql(MESSAGES)},
+    english as (
+      select a as conv_id, bool_and(coalesce(lang = 'en', false)) as english from detected group by a),
+    chats as (
+      select conv_id, string_agg(text, '|' order by turn) as said from conversations group by conv_id)
+    select case when conv_id % 5 = 0 then null else conv_id % 7 end as id, said
+    from chats join english using (conv_id) where english"""
+)
+def english_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language is judged row by row: most ids repeat here, and some are null."""
+    model = langid.train(read_wide(spark, sf_dir, "documents"))
+    number = F.col("conv_id")
+    rows = conversations.assemble(turns(spark, sf_dir), ["conv_id"]).select(
+        F.when(number % 5 != 0, number % 7).alias("id"), "messages"
+    )
+    kept = langid.only_language(stage(rows, "chats"), model)
+    return kept.select("id", F.array_join("messages.content", "|").alias("said"))
+
+
 HELD_OUT = chosen_sql(0.2, "doc_id")
 
 
@@ -324,7 +360,7 @@ HELD_OUT = chosen_sql(0.2, "doc_id")
 )
 def language_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the profiles of four fifths of the documents recognise the rest."""
-    documents = read(spark, sf_dir, "documents")
+    documents = read_wide(spark, sf_dir, "documents")
     held_out = chosen(0.2, 42, F.col("doc_id"))
     model = langid.train(documents.where(~held_out))
     rest = documents.where(held_out).withColumnRenamed("lang", "truth")
@@ -341,11 +377,11 @@ def language_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     group by a having bool_and(coalesce(lang = 'en', false))"""
 )
 def english_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = langid.train(read(spark, sf_dir, "documents"))
+    model = langid.train(read_wide(spark, sf_dir, "documents"))
     messages = turns(spark, sf_dir)
     foreign = langid.foreign_conversations(messages, ["conv_id"], "turn", "content", model, "en")
     kept = conversations.lengths(messages, ["conv_id"])
-    return kept.join(foreign, "conv_id", "left_anti")
+    return null_safe(kept, foreign, ["conv_id"], "left_anti")
 
 
 @case(
@@ -356,17 +392,24 @@ def english_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairs join m using (source) semi join english using (conv_id) union all {LOCAL}"""
 )
 def mixture_build_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixture(spark, sf_dir, langid.train(read(spark, sf_dir, "documents")))
+    return _mixture(spark, sf_dir, langid.train(read_wide(spark, sf_dir, "documents")))
 
 
 @case(
     f"""with {TURNS}, taken as (
       select conv_id from (select distinct conv_id from turns)
-      order by md5('42:' || conv_id), conv_id limit 500)
+      order by md5('42:' || conv_id), conv_id limit 50)
     select conv_id, text,
            case when {draw_sql('conv_id', 'split-42')} < 214748364 then 'test' else 'train' end as split
     from (select conv_id, {SFT} as text from turns semi join taken using (conv_id) group by conv_id)"""
 )
 def sft_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shuffle, take 500, render, split: the fine-tuning input."""
-    return build_training_text(_assembled(spark, sf_dir), ["conv_id"], EOS, samples=500)
+    """Shuffle, take 50, render, split: the fine-tuning input.
+
+    The conversations are chosen by their keys, and only the chosen ones are put together.
+    """
+    messages = turns(spark, sf_dir)
+    taken = sample_n(conversations.lengths(messages, ["conv_id"]), 50, ["conv_id"], SEED, "_place")
+    chosen_turns = null_safe(messages, taken.select("conv_id"), ["conv_id"], "left_semi")
+    chats = conversations.assemble(chosen_turns, ["conv_id"])
+    return build_training_text(chats, ["conv_id"], EOS)

@@ -14,10 +14,10 @@ from corpusmill.functions.constants import MAX_TOKENS
 from corpusmill.functions.text import token_count
 from corpusmill.plans.training_text import questions_to_chat
 from corpusmill.schemas import PREFERENCES_RAW
-from corpusmill.session import spread, stage, staging_path
+from corpusmill.session import stage, staging_path
 from corpusmill.sources import sinks, tables
 from corpusmill.streaming.sample import save_percent_sample
-from workload.inputs import TOKEN, chosen_sql, draw_sql, joined, micros, read
+from workload.inputs import TOKEN, chosen_sql, draw_sql, joined, micros, read, read_wide
 from workload.registry import case
 
 SPLIT = f"case when {chosen_sql(0.05, 'doc_id')} then 'test' else 'train' end"
@@ -156,19 +156,24 @@ def rename_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.keep(renamed, ["id", "content", "language"])
 
 
+DESCRIBED = {
+    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
+    "labels": {"quality": "int", "toxic": "int"},
+}
+
+
 @case(
-    """select column_name, column_type, null_count::bigint as null_count from (
-      select 'doc_id' as column_name, 'bigint' as column_type, count(*) filter (doc_id is null) as null_count from documents
-      union all select 'lang', 'string', count(*) filter (lang is null) from documents
-      union all select 'quality', 'int', count(*) filter (quality is null)
-        from documents left join labels using (doc_id)
-      union all select 'toxic', 'int', count(*) filter (toxic is null)
-        from documents left join labels using (doc_id))"""
+    " union all ".join(
+        f"select '{name}' as column_name, '{kind}' as column_type, "
+        f"count(*) filter ({name} is null) as null_count from documents left join labels using (doc_id)"
+        for columns_ in DESCRIBED.values()
+        for name, kind in columns_.items()
+    )
 )
 def describe_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    """All columns of the documents and of their labels."""
     labels = read(spark, sf_dir, "labels")
-    return profile.describe_columns(documents.join(labels, "doc_id", "left"))
+    return profile.describe_columns(read(spark, sf_dir, "documents").join(labels, "doc_id", "left"))
 
 
 @case("select doc_id, source from documents anti join (select doc_id from labels where toxic = 1) using (doc_id)")
@@ -257,6 +262,17 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_position(documents, 42, ["doc_id"], "position")
 
 
+@case(
+    """select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) - 1 as position
+    from documents"""
+)
+def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shuffled table itself, with the place that each row has in it."""
+    documents = read(spark, sf_dir, "documents").select("doc_id")
+    shuffled = stage(sampling.shuffle(documents, ["doc_id"]), "shuffled")
+    return tables.with_row_position(shuffled, "position")
+
+
 @case(
     """select doc_id, text, row_number() over (order by md5('42:' || doc_id), doc_id) - 1 as position
     from documents order by position limit 200"""
@@ -374,7 +390,8 @@ def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     from s"""
 )
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = spread(tables.with_row_position(read(spark, sf_dir, "documents"))).select(
+    texts = tables.with_row_position(read(spark, sf_dir, "documents"))
+    placed = texts.repartition(spark.sparkContext.defaultParallelism).select(
         "row_position", "doc_id", token_count(F.col("text")).alias("n_tokens")
     )
     # The plan reads its input twice; staged, the texts are read and cut into tokens once.
@@ -383,28 +400,66 @@ def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MARKDOWN = [r"\n#{1,6} ", r"```\n", r"\n\*\*\*+\n", r"\n---+\n", r"\n___+\n", r"\n\n", r"\n", " "]
-CUTS = "\n".join(
-    f"when regexp_matches(text, '{s}') then "
-    f"string_split(regexp_replace(text, '{s}', chr(64976) || '\\0', 'g'), chr(64976))"
-    for s in MARKDOWN
-)
 
 
-@case(
-    f"""with p as (
-      select doc_id, case {CUTS}
-             else list_transform(range(0, (length(text) + 999) // 1000),
-                                 lambda k: substr(text, k * 1000 + 1, 1000)) end as pieces
-      from documents),
-    u as (
-      select doc_id, unnest(pieces) as piece, generate_subscripts(pieces, 1) as pos from p),
-    s as (
-      select doc_id, pos, piece,
-             coalesce(sum(length(piece)) over (partition by doc_id order by pos
+def _cut_sql(size: int) -> str:
+    """Pieces by position: the lengths of what lies between matches, and of the matches, add up to
+    where each piece starts."""
+    steps = []
+    for i, separator in enumerate(MARKDOWN, start=1):
+        steps.append(
+            f"""c{i} as (
+      select doc_id, place, piece, case when length(piece) > {size}
+             then [0] || list_transform(range(1, len(string_split_regex(piece, '{separator}'))), lambda k:
+                    (list_sum(list_transform(string_split_regex(piece, '{separator}')[1:k], lambda x: length(x)))
+                     + coalesce(list_sum(list_transform(regexp_extract_all(piece, '{separator}')[1:k - 1],
+                                lambda x: length(x))), 0))::bigint)
+             else [0] end as starts
+      from s{i - 1}),
+    u{i} as (
+      select doc_id, place, piece, unnest(starts) as start,
+             unnest(starts[2:] || [length(piece)]) as stop,
+             generate_subscripts(starts, 1) as part from c{i}),
+    s{i} as (
+      select doc_id, place || [part] as place, substr(piece, start + 1, stop - start) as piece
+      from u{i} where stop > start)"""
+        )
+    last = len(MARKDOWN)
+    return ",\n".join(
+        [
+            *steps,
+            f"""pieces as (
+      select doc_id, place || [k] as place, substr(piece, (k * {size} + 1)::bigint, {size}) as piece
+      from s{last}, lateral (select unnest(range((length(piece) + {size - 1}) // {size})) as k)),
+    placed as (
+      select doc_id, place, piece,
+             coalesce(sum(length(piece)) over (partition by doc_id order by place
                       rows between unbounded preceding and 1 preceding), 0) as start
-      from u where piece <> '')
-    select doc_id, (start // 1000)::bigint as chunk, string_agg(piece, '' order by pos) as text
-    from s group by 1, 2"""
+      from pieces)
+    select doc_id, (start // {size} + (start + length(piece) - 1) // {size})::bigint as chunk,
+           string_agg(piece, '' order by place) as text
+    from placed group by 1, 2""",
+        ]
+    )
+
+
+@case(
+    f"""with s0 as (select doc_id, [0] as place, text as piece from documents where text <> ''),
+    {_cut_sql(1000)}"""
 )
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(read(spark, sf_dir, "documents"), ["doc_id"], "text", 1000)
+    return chunks(read_wide(spark, sf_dir, "documents"), ["doc_id"], "text", 1000)
+
+
+@case(
+    f"""with s0 as (
+      select doc_id, [0] as place, replace(text, ' the ', chr(64976) || chr(10) || '## ' || chr(64976)) as piece
+      from documents where text <> ''),
+    {_cut_sql(200)}"""
+)
+def chunk_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with headings and with characters that are reserved for a program's own use."""
+    mark = chr(64976)
+    text = F.replace(F.col("text"), F.lit(" the "), F.lit(f"{mark}\n## {mark}"))
+    documents = read_wide(spark, sf_dir, "documents").withColumn("text", text)
+    return chunks(documents, ["doc_id"], "text", 200)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import scoring
 from corpusmill.plans.evaluation import evaluate, evaluate_scores
-from workload.inputs import OPTION_SCORES, PARTS, TOKEN, micros, option_scores, read, vectors
+from workload.inputs import OPTION_SCORES, PARTS, TOKEN, micros, option_scores, read_wide, vectors
 from workload.questions import PROMPT, book_items
 from workload.registry import case
 
@@ -32,12 +32,14 @@ def accuracy_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @case(
     f"""with {OPTION_SCORES} select dataset, count(*) filter (is_correct) as correct,
-    count(*) as total, {RATE} as accuracy_micro from preds group by rollup (dataset)"""
+    count(*) as total, {RATE} as accuracy_micro, grouping(dataset) = 1 as is_total
+    from preds group by rollup (dataset)"""
 )
 def accuracy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions = scoring.argmax_option(option_scores(spark, sf_dir))
     rates = scoring.accuracy_with_total(predictions)
-    return rates.select("dataset", "correct", "total", micros(F.col("accuracy")).alias("accuracy_micro"))
+    rate = micros(F.col("accuracy")).alias("accuracy_micro")
+    return rates.select("dataset", "correct", "total", rate, "is_total")
 
 
 @case(
@@ -51,6 +53,21 @@ def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.select("metric", micros(F.col("value")).alias("value_micro"))
 
 
+@case(
+    f"""with {OPTION_SCORES}, loose as (
+      select case when dataset <> 'ds0' then dataset end as dataset, is_correct from preds)
+    select case when grouping(dataset) = 1 then 'accuracy'
+                else 'accuracy_' || coalesce(dataset, 'null') end as metric, {RATE} as value_micro
+    from loose group by rollup (dataset)"""
+)
+def metrics_without_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the items belong to no dataset; they are a group of their own, not the total."""
+    scores = option_scores(spark, sf_dir)
+    loose = scores.withColumn("dataset", F.when(F.col("dataset") != "ds0", F.col("dataset")))
+    metrics = evaluate_scores(loose)
+    return metrics.select("metric", micros(F.col("value")).alias("value_micro"))
+
+
 @case(
     f"""with {OPTION_SCORES}, tops as (
       select item, dataset, target, max(score) as top from option_scores group by all),
@@ -85,7 +102,7 @@ BIGRAMS = f"""words as (select regexp_extract_all(text, '{TOKEN}') as t from doc
     from pairs join contexts using (prev), size"""
 )
 def bigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.train_bigrams(read(spark, sf_dir, "documents")).table()
+    return scoring.train_bigrams(read_wide(spark, sf_dir, "documents")).table()
 
 
 CANDIDATE_SCORES = f"""cands as (
@@ -109,12 +126,30 @@ CANDIDATE_SCORES = f"""cands as (
     from scored"""
 )
 def score_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = scoring.train_bigrams(read(spark, sf_dir, "documents"))
+    model = scoring.train_bigrams(read_wide(spark, sf_dir, "documents"))
     scores = scoring.score_options(book_items(spark, sf_dir), ["item"], model)
     milli = F.round(F.col("score") * 1000).cast("bigint")
     return scores.select("item", "option_idx", milli.alias("score_milli"))
 
 
+@case(
+    f"""with {PARTS}, {BIGRAMS}, {CANDIDATE_SCORES}
+    select item, option_idx::integer as option_idx, round(score * 1000)::bigint as score_milli
+    from scored where item not in (select 'book_' || pos from parts where pos % 10 = 0)
+    union all select 'book_' || pos, null, null from parts where pos % 10 = 0"""
+)
+def score_without_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some items have no options; they stay, without a score."""
+    model = scoring.train_bigrams(read_wide(spark, sf_dir, "documents"))
+    bare = F.substring_index("item", "_", -1).cast("bigint") % 10 == 0
+    items = book_items(spark, sf_dir).withColumn(
+        "options", F.when(bare, F.array().cast("array<string>")).otherwise(F.col("options"))
+    )
+    scores = scoring.score_options(items, ["item"], model)
+    milli = F.round(F.col("score") * 1000).cast("bigint")
+    return scores.select("item", "option_idx", milli.alias("score_milli"))
+
+
 PREDICTED = """best as (select item, max(score) as score from scored group by item),
     preds as (
       select s.item, s.dataset, min(s.option_idx) = any_value(s.target) as is_correct
@@ -129,7 +164,7 @@ PREDICTED = """best as (select item, max(score) as score from scored group by it
     from preds group by rollup (dataset)"""
 )
 def evaluate_mcqa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = scoring.train_bigrams(read(spark, sf_dir, "documents"))
+    model = scoring.train_bigrams(read_wide(spark, sf_dir, "documents"))
     metrics = evaluate(book_items(spark, sf_dir), model)
     return metrics.select("metric", micros(F.col("value")).alias("value_micro"))
 

@@ -20,6 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_wide(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """``read`` for work that is heavy per row: the small test files hold one row group each, which
+    one core would read alone, so their rows are dealt out. Inputs of many files need no such step."""
+    return read(spark, sf_dir, table).repartition(spark.sparkContext.defaultParallelism)
+
+
 def joined(array: Column) -> Column:
     return F.array_join(array.cast("array<string>"), "|")
 
@@ -181,7 +187,7 @@ def origin(name: str, subset: str, split: str = "train") -> Origin:
 
 
 def option_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four scores per vector, as long rows."""
+    """One score per vector element, as long rows."""
     return vectors(spark, sf_dir).select(
         "item", "dataset", "target", F.posexplode("logits").alias("option_idx", "score")
     )
@@ -191,15 +197,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("item"),
         F.concat(F.lit("ds"), (F.col("vec_id") % 3).cast("string")).alias("dataset"),
-        (F.col("label") % 4).cast("int").alias("target"),
-        F.slice("embedding", 1, 4).cast("array<double>").alias("logits"),
+        (F.col("label") % 64).cast("int").alias("target"),
+        F.col("embedding").cast("array<double>").alias("logits"),
     )
 
 
 OPTION_SCORES = """option_scores as (
-  select vec_id as item, 'ds' || (vec_id % 3) as dataset, label % 4 as target, i as option_idx,
+  select vec_id as item, 'ds' || (vec_id % 3) as dataset, label % 64 as target, i as option_idx,
          embedding[i + 1]::double as score
-  from embeddings, range(4) r(i))
+  from embeddings, range(64) r(i))
 , best as (
   select item, any_value(dataset) as dataset, any_value(target) as target,
          arg_max(option_idx, score * 1.0) as top, max(score) as score

@@ -10,7 +10,7 @@ from corpusmill.functions.constants import MAX_TOKENS, PAIR_MAX_TOKENS
 from corpusmill.operators import conversations, tokens
 from corpusmill.session import stage
 from corpusmill.sources.tables import with_row_position
-from workload.inputs import EOS, START, TOKEN, TURNS, joined, read, turns
+from workload.inputs import EOS, START, TOKEN, TURNS, joined, read, read_wide, turns
 from workload.registry import case
 
 VOCAB = f"""words as (
@@ -31,17 +31,17 @@ ENCODED = """long as (
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(tokens.build_vocab(read(spark, sf_dir, "documents")), "vocab")
+    return stage(tokens.build_vocab(read_wide(spark, sf_dir, "documents")), "vocab")
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = _vocab(spark, sf_dir)
-    return tokens.encode(read(spark, sf_dir, "documents"), ["doc_id"], {"ids": "text"}, vocab)
+    return tokens.encode(read_wide(spark, sf_dir, "documents"), ["doc_id"], {"ids": "text"}, vocab)
 
 
 @case(f"with {VOCAB} select token, n, token_id from vocab")
 def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.build_vocab(read(spark, sf_dir, "documents"))
+    return tokens.build_vocab(read_wide(spark, sf_dir, "documents"))
 
 
 @case(f"with {VOCAB}, {ENCODED} select doc_id, array_to_string(ids, '|') as ids from all_ids")
@@ -118,7 +118,7 @@ def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from t group by source"""
 )
 def truncation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.truncation_audit(read(spark, sf_dir, "documents"), "text", "source", MAX_TOKENS)
+    return tokens.truncation_audit(read_wide(spark, sf_dir, "documents"), "text", "source", MAX_TOKENS)
 
 
 @case(
@@ -135,6 +135,7 @@ def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded, ended and packed into blocks of the maximum length."""
     positions = with_row_position(read(spark, sf_dir, "documents").select("doc_id", "text"))
     vocab = _vocab(spark, sf_dir)
+    positions = positions.repartition(spark.sparkContext.defaultParallelism)
     encoded = tokens.encode(positions, ["row_position"], {"ids": "text"}, vocab)
     blocks = tokens.pack(stage(encoded, "encoded"), "row_position", "ids", MAX_TOKENS)
     return blocks.select(
