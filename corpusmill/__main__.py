@@ -11,12 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.plans.chat_mixture import build_mixture_from
 from corpusmill.plans.corpus import build_corpus, publish
-from corpusmill.plans.questions import build_questions
+from corpusmill.plans.evaluation import evaluate_from
+from corpusmill.plans.questions import build_question_sets, build_questions
 from corpusmill.plans.recipe import load_recipe
-from corpusmill.plans.training_text import build_training_text_from
+from corpusmill.plans.training_text import build_chats_from_json, build_training_text_from
 from corpusmill.session import RECOMMENDED
+from corpusmill.streaming.sample import sample_stream_from
 
-JOBS = ("corpus", "mixture", "questions", "training-text")
+JOBS = (
+    "corpus",
+    "mixture",
+    "questions",
+    "question-sets",
+    "training-text",
+    "json-chat",
+    "evaluate",
+    "stream-sample",
+)
 
 
 def run(spark: SparkSession, arguments: list[str]) -> DataFrame:
@@ -40,6 +51,16 @@ def run(spark: SparkSession, arguments: list[str]) -> DataFrame:
         built = build_mixture_from(spark, recipe, labelled)
     elif options.job == "questions":
         built = build_questions(spark, recipe)
+    elif options.job == "question-sets":
+        built = build_question_sets(spark, recipe)
+        recipe["publish"] = False
+    elif options.job == "json-chat":
+        built = build_chats_from_json(spark, recipe)
+    elif options.job == "evaluate":
+        built = evaluate_from(spark, recipe)
+        recipe["publish"] = False
+    elif options.job == "stream-sample":
+        return sample_stream_from(spark, recipe)  # the stream itself writes the table
     else:
         built = build_training_text_from(spark, recipe, options.key, options.eos)
     publish(built, recipe)

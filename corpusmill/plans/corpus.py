@@ -11,12 +11,13 @@ from corpusmill.functions.constants import SEED
 from corpusmill.operators.columns import keep, rename
 from corpusmill.operators.mixture import concat
 from corpusmill.operators.sampling import shuffle
-from corpusmill.plans.recipe import open_entry
+from corpusmill.plans.recipe import open_entry, weighed
 from corpusmill.sources.sinks import save, write_splits
 
 
 def build_corpus(spark: SparkSession, recipe: dict[str, Any]) -> DataFrame:
-    """Every entry renamed and projected as it says, tagged by subset and split, concatenated."""
+    """Every entry renamed and projected as it says, tagged by subset and split, concatenated, and
+    mixed by weight where the recipe has weights."""
     parts = []
     for entry in recipe["datasets"]:
         df = open_entry(spark, entry)
@@ -28,7 +29,7 @@ def build_corpus(spark: SparkSession, recipe: dict[str, Any]) -> DataFrame:
             "split", F.lit(entry.get("split", "train"))
         )
         parts.append(tagged)
-    corpus = concat(parts)
+    corpus = weighed(concat(parts), recipe, recipe.get("shuffle_keys", ["id"]))
     if recipe.get("shuffle", False):
         corpus = shuffle(corpus, recipe.get("shuffle_keys", ["id"]), recipe.get("seed", SEED))
     return corpus

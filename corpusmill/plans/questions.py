@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import mcqa
 from corpusmill.functions.constants import SEED, STEM_SUBJECTS
 from corpusmill.operators.adapters import POSITION, Origin, adapt_all
+from corpusmill.operators.mixture import concat
 from corpusmill.operators.ordering import hash_position
 from corpusmill.operators.tokens import batches
 from corpusmill.plans.recipe import open_entry
@@ -41,6 +42,23 @@ def prompt_batches(
     return batches(prompts(placed, "_place"), "_place", columns, size)
 
 
+def build_question_sets(spark: SparkSession, recipe: dict[str, Any]) -> DataFrame:
+    """Batches of prompts for training and for validation, told apart by ``set``.
+
+    The entries of each ``use`` (train by default) are joined, shuffled by seed, turned into prompts
+    and collated, each set by itself.
+    """
+    seed = recipe.get("seed", SEED)
+    sets = []
+    for use in ("train", "validation"):
+        entries = [e for e in recipe["datasets"] if e.get("use", "train") == use]
+        if entries:
+            questions = build_questions(spark, recipe | {"datasets": entries})
+            made = prompt_batches(questions, recipe.get("batch_size", 8), ("config", "split", "id"), seed)
+            sets.append(made.withColumn("set", F.lit(use)))
+    return concat(sets)
+
+
 def prompts(questions: DataFrame, *carry: str) -> DataFrame:
     """Prompt rows; ``valid`` says whether the answer points at one of the choices."""
     index = mcqa.answer_index(F.col("answer"))

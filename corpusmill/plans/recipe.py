@@ -2,7 +2,8 @@
 
 One vocabulary throughout: ``name`` is the dataset, ``path`` where its table lies, ``config`` and
 ``split`` the part to read, ``subset`` what the part is called in the output. ``rename`` renames
-columns and ``source_map`` maps source values to subsets.
+columns and ``source_map`` maps source values to subsets. ``weight`` repeats or thins out an entry's
+rows, and ``use`` says which set of questions an entry belongs to.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.functions.constants import SEED
+from corpusmill.operators.mixture import weighted_mix
 from corpusmill.sources.tables import scan_saved, scan_split
 
 KNOWN = {
@@ -27,6 +30,8 @@ KNOWN = {
     "exclude",
     "samples",
     "layout",
+    "weight",
+    "use",
 }
 
 
@@ -57,3 +62,16 @@ def open_entry(spark: SparkSession, entry: dict[str, Any]) -> DataFrame:
     if entry.get("layout", "split") == "plain":
         return scan_saved(spark, entry["path"])
     return scan_split(spark, entry["path"], entry.get("config"), entry.get("split", "train"))
+
+
+def weighed(df: DataFrame, recipe: dict[str, Any], keys: list[str]) -> DataFrame:
+    """Rows of ``df`` (with ``config``) in the proportions of the entries' ``weight``, 1 by default.
+
+    Without any weight the table is returned as it is.
+    """
+    weights: dict[str, float] = {}
+    for entry in recipe["datasets"]:
+        weights[entry.get("subset", entry["name"])] = float(entry.get("weight", 1.0))
+    if all(w == 1.0 for w in weights.values()):
+        return df
+    return weighted_mix(df, weights, keys, recipe.get("seed", SEED), "config").drop("copy")

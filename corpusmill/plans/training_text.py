@@ -12,7 +12,9 @@ from corpusmill.functions.constants import SEED, TEST_FRACTION
 from corpusmill.operators.columns import clean_preferences
 from corpusmill.operators.mixture import concat
 from corpusmill.operators.sampling import exact_split, sample_n, split_label
-from corpusmill.plans.recipe import open_entry
+from corpusmill.plans.recipe import open_entry, weighed
+from corpusmill.schemas import PREFERENCES_RAW
+from corpusmill.sources.tables import scan_json_array
 
 
 def build_training_text(
@@ -48,7 +50,20 @@ def build_training_text_from(
         ).withColumn("config", F.lit(entry.get("subset", entry["name"])))
         for entry in recipe["datasets"]
     ]
-    return concat(parts)
+    return weighed(concat(parts), recipe, keys)
+
+
+def build_chats_from_json(spark: SparkSession, recipe: dict[str, Any]) -> DataFrame:
+    """(id, messages, source, config, split) from every entry's files of question rows as JSON."""
+    parts = []
+    for entry in recipe["datasets"]:
+        name = entry.get("subset", entry["name"])
+        raw = scan_json_array(spark, entry["path"], PREFERENCES_RAW)
+        chats = questions_to_chat(raw, name)
+        parts.append(
+            chats.withColumn("config", F.lit(name)).withColumn("split", F.lit(entry.get("split", "train")))
+        )
+    return weighed(concat(parts), recipe, ["id"])
 
 
 def questions_to_chat(raw: DataFrame, source: str) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.functions.constants import SEED
 from corpusmill.operators.sampling import percent_sample
+from corpusmill.sources.tables import scan_saved, scan_stream
 
 
 def save_percent_sample(
@@ -41,3 +43,22 @@ def save_percent_sample(
             raise TimeoutError(f"the stream did not finish within {timeout} seconds")
     finally:
         query.stop()
+
+
+def sample_stream_from(spark: SparkSession, recipe: dict[str, Any]) -> DataFrame:
+    """The recipe's first entry, a folder of Parquet files, sampled as a stream to ``output_path``.
+
+    ``percent``, ``keys`` and ``checkpoint`` say how; a rerun takes the files that came since.
+    """
+    source = recipe["datasets"][0]["path"]
+    schema = spark.read.parquet(source).schema
+    path = recipe.get("output_path", "stream_sample")
+    save_percent_sample(
+        scan_stream(spark, source, schema),
+        recipe["percent"],
+        recipe.get("keys", ["id"]),
+        path,
+        recipe["checkpoint"],
+        recipe.get("seed", SEED),
+    )
+    return scan_saved(spark, path, schema)

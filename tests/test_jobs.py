@@ -268,3 +268,85 @@ def test_every_entry_is_sampled(spark, tmp_path):
     }
     built = build_training_text_from(spark, recipes.checked(recipe), ["id"], "<e>")
     assert rows(built.groupBy("config").count()) == [("a", 20), ("b", 50)]
+
+
+def test_json_chat_job(spark, tmp_path):
+    from corpusmill.__main__ import run
+
+    data = [{"course_id": str(i), "question_id": i, "question_body": f"q{i}", "question_answer": "a"} for i in range(5)]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.json").write_text(json.dumps(data))
+    recipe = tmp_path / "r.json"
+    recipe.write_text(json.dumps({"datasets": [{"name": "school", "path": str(tmp_path / "raw")}]}))
+    run(spark, ["json-chat", "--recipe", str(recipe), "--output", str(tmp_path / "out")])
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(back.select("id", "config")) == [(f"school_{i}_{i}", "school") for i in range(5)]
+
+
+def test_evaluate_job(spark, tmp_path):
+    from corpusmill.__main__ import run
+
+    items, texts = str(tmp_path / "items"), str(tmp_path / "texts")
+    spark.createDataFrame(
+        [(1, "d", 0, "a", ["b", "c"]), (2, "d", 1, "a", ["b", "c"])],
+        "item long, dataset string, target int, prompt string, options array<string>",
+    ).write.parquet(items)
+    spark.createDataFrame([("a b a b",)], "text string").write.parquet(texts)
+    recipe = tmp_path / "r.json"
+    entry = {"name": "items", "path": items, "layout": "plain"}
+    recipe.write_text(json.dumps({"datasets": [entry], "train_text": texts}))
+    run(spark, ["evaluate", "--recipe", str(recipe), "--output", str(tmp_path / "out")])
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("accuracy", 0.5), ("accuracy_d", 0.5)]
+
+
+def test_stream_sample_job(spark, tmp_path):
+    from corpusmill.__main__ import run
+
+    source = str(tmp_path / "in")
+    spark.range(2000).select("id").write.parquet(source)
+    recipe = tmp_path / "r.json"
+    given = {"datasets": [{"name": "s", "path": source}], "percent": 10, "checkpoint": str(tmp_path / "progress")}
+    recipe.write_text(json.dumps(given))
+    sampled = run(spark, ["stream-sample", "--recipe", str(recipe), "--output", str(tmp_path / "out")])
+    assert 100 < sampled.count() < 300
+
+
+def test_question_set_job(spark, tmp_path):
+    from corpusmill.__main__ import run
+
+    root = str(tmp_path / "raw")
+    df = spark.createDataFrame(
+        [(f"q{i}", "anatomy", ["x", "y"], i % 2) for i in range(30)],
+        "question string, subject string, choices array<string>, answer int",
+    ).coalesce(1)
+    for split in ("validation", "test"):
+        path = f"{root}/{split}"
+        sinks.write_splits(df.withColumns({"config": F.lit("all"), "split": F.lit(split)}), path)
+    entry = {"name": "cais/mmlu", "config": "all"}
+    given = {
+        "batch_size": 8,
+        "datasets": [
+            entry | {"path": f"{root}/test", "split": "test", "subset": "a"},
+            entry | {"path": f"{root}/test", "split": "test", "subset": "b"},
+            entry | {"path": f"{root}/validation", "split": "validation", "subset": "c", "use": "validation"},
+        ],
+    }
+    recipe = tmp_path / "r.json"
+    recipe.write_text(json.dumps(given))
+    run(spark, ["question-sets", "--recipe", str(recipe), "--output", str(tmp_path / "out")])
+    back = spark.read.parquet(str(tmp_path / "out"))
+    sizes = back.groupBy("set").agg(F.sum(F.size("prompt")).alias("n"), F.count("*").alias("batches"))
+    assert rows(sizes) == [("train", 60, 8), ("validation", 30, 4)]
+
+
+def test_weights_of_a_recipe(spark, tmp_path):
+    path = str(tmp_path / "t")
+    chats(spark, 200).write.parquet(path)
+    entries = [
+        {"name": "a", "path": path, "layout": "plain", "weight": 2.0},
+        {"name": "b", "path": path, "layout": "plain", "weight": 0.5},
+        {"name": "c", "path": path, "layout": "plain"},
+    ]
+    built = build_corpus(spark, recipes.checked({"datasets": entries}))
+    counts = {r["config"]: r["count"] for r in built.groupBy("config").count().collect()}
+    assert counts["a"] == 400 and 70 < counts["b"] < 130 and counts["c"] == 200

@@ -253,6 +253,38 @@ def mcqa_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@case(
+    f"""with {PARTS}, both_sets as (
+      select case when pos % 4 = 0 then 'validation' else 'train' end as set, 'book' as config,
+             'book_' || pos as id, {PROMPT} as prompt, letters[(p_partkey % 4) + 1] as answer from parts
+      union all
+      select case when p_partkey % 3 = 0 then 'validation' else 'train' end, 'arc', 'arc_' || p_partkey,
+             {PROMPT}, {ARC_KEY} from parts),
+    placed as (
+      select *, row_number() over (partition by set
+               order by md5('42:' || config || ':' || id), config, id) - 1 as place from both_sets)
+    select set, (place // 8)::bigint as batch, string_agg(prompt, '~' order by place) as prompts,
+           string_agg((ascii(answer) - 65)::varchar, '|' order by place) as correct
+    from placed group by all"""
+)
+def question_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two datasets joined, for training and for validation, each set shuffled and collated."""
+    number = F.substring_index("id", "_", -1).cast("bigint")
+    book = _adapted(spark, sf_dir, "mcqa_openbook").withColumn("config", F.lit("book"))
+    arc = _adapted(spark, sf_dir, "mcqa_arc").withColumn("config", F.lit("arc"))
+    held = {"book": number % 4 == 0, "arc": number % 3 == 0}
+    made = []
+    for use, wanted in (("train", False), ("validation", True)):
+        parts = [d.where(held[c] == wanted) for c, d in (("book", book), ("arc", arc))]
+        made.append(prompt_batches(mixture.concat(parts), 8, ("config", "id")).withColumn("set", F.lit(use)))
+    return mixture.concat(made).select(
+        "set",
+        "batch",
+        F.array_join("prompt", "~").alias("prompts"),
+        joined(F.col("correct_idx")).alias("correct"),
+    )
+
+
 @case(
     f"""with {PARTS} select 'arc_' || p_partkey as id, i::integer as option_idx,
     {PROMPT} || ' ' || chr((65 + i)::integer) as candidate from parts, range(4) r(i)"""
