@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import packed, table
 from corpusmill.llm.language import UNKNOWN, identify
 from corpusmill.llm.leaks import without_leaks
 from corpusmill.llm.mixing import mix
@@ -19,7 +19,8 @@ from corpusmill.session import stage
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts, texts without a letter) go."""
-    return identify(docs).where(f"lang_pred <> '{UNKNOWN}'").select(*docs.columns)
+    given, row = packed(docs, "doc_id", "text", "lang")
+    return identify(given).where(f"lang_pred <> '{UNKNOWN}'").select(f"{row}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def packed(df: DataFrame, *needed: str) -> tuple[DataFrame, str]:
+    """The needed columns, and all columns of ``df`` as one under a name that is returned: what an
+    operator adds can't clash with the caller's columns, and they come back with ``name.*``."""
+    name = unused(df.select(*needed), "row")
+    return df.select(*needed, F.struct(*df.columns).alias(name)), name
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 

@@ -313,15 +313,17 @@ def main_texts(pages: DataFrame, most: int = TEMPLATES) -> DataFrame:
     """
     spark = pages.sparkSession
     recurring = templates(pages)
-    given = pages.select("page_id", "url", "html", _host().alias("host"))
-    schema = "page_id long, url string, text string"
+    # as text, since pandas would make a column of ids with nulls a float
+    given = pages.select(F.col("page_id").cast("string"), "url", "html", _host().alias("host"))
+    schema = "page_id string, url string, text string"
+    typed = [F.col("page_id").cast("long"), F.col("url"), F.col("text")]
     none = F.lit(None).cast("array<long>").alias("own")
     if recurring.count() <= most:
         table_: dict[str, set[int]] = {}
         for row in recurring.toLocalIterator():
             table_.setdefault(row["host"], set()).add(row["subtree"])
         shared = spark.sparkContext.broadcast({h: frozenset(x) for h, x in table_.items()})
-        return given.select("*", none).mapInPandas(_extract_with(shared), schema)
+        return given.select("*", none).mapInPandas(_extract_with(shared), schema).select(typed)
     marked = given.withColumn("mark", F.xxhash64("html"))
     rows = marked.select("host", "mark", "html").mapInPandas(
         _subtrees, "host string, mark long, subtree long"
@@ -330,7 +332,7 @@ def main_texts(pages: DataFrame, most: int = TEMPLATES) -> DataFrame:
     own = own.groupBy("host", "mark").agg(F.collect_list("subtree").alias("own"))
     joined = marked.join(own, ["host", "mark"], "left")
     joined = joined.withColumn("own", F.coalesce("own", F.array().cast("array<long>")))
-    return joined.mapInPandas(_extract_with(None), schema)
+    return joined.mapInPandas(_extract_with(None), schema).select(typed)
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,7 +258,7 @@ def predictor(spark: SparkSession, model: Model):
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` plus ``held_out``, ``lang_pred`` and ``score``.
+    """``docs`` plus ``held_out``, ``lang_pred`` and ``score``, which replace columns of these names.
 
     Learns from the rows of ``docs`` with a language whose doc_id isn't held out. ``lang_pred`` is
     ``und`` with score 0 for a null text, a text without a letter, and where nothing was learned.

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import table, unused
 from corpusmill.llm.wordhash import MARKS, groups, word_hashes
 from corpusmill.session import stage
 
@@ -30,7 +30,8 @@ HOP = 16  # words
 HOPS = 4  # a passage is so many hops long; the next one starts a hop later
 RANK, SPARE = 128, 16  # dimensions of the space, and more of the sketch that they are drawn from
 SEED = 7
-COMMON = 0.01  # terms of a larger share of the documents don't tell passages apart
+COMMON = 0.01  # terms of a larger share of the documents don't tell passages apart,
+FEW = 10  # unless they are in so few documents
 RAREST = 6  # of an item's terms that stay even so
 EMPHASIS = 4  # how much the items weigh in the space against all passages of the corpus
 COSINE = 0.3  # of a passage and an item, in the space
@@ -44,7 +45,7 @@ ANSWERED = 0.8  # of the answer's words
 class Items:
     """A block of benchmark items as words and, once fitted, as vectors."""
 
-    ids: np.ndarray
+    ids: list[str | None]
     words: list[np.ndarray]  # hashes of all words
     answers: list[np.ndarray]  # of the last sentence's words
     terms: np.ndarray  # sorted hashes of the vocabulary
@@ -226,18 +227,18 @@ def _retrieve(items):
                         if here > best.get((text, i), (False, -1.0)):
                             best[text, i] = here
                 rows += [
-                    (keys[start + t], int(block.ids[i]), c, v, a, bool(k))
+                    (keys[start + t], block.ids[i], c, v, a, bool(k))
                     for (t, i), (k, v, a, c) in best.items()
                 ]
-            found = pd.DataFrame(rows, columns=names)
-            yield found.astype({"item_id": "int64"})
+            yield pd.DataFrame(rows, columns=names)
 
     return find
 
 
 def _fitted(docs: DataFrame, block: list[tuple[int, str]]) -> Items | None:
     """The items of a block with vocabulary, weights and space; None if they have no words."""
-    ids, texts = [i for i, _ in block], [t for _, t in block]
+    ids = [None if i is None else str(i) for i, _ in block]
+    texts = [t for _, t in block]
     words = _hashed(texts)
     answers = _hashed([_answer(t or "") for t in texts])
     filled = [k for k, w in enumerate(words) if len(w)]
@@ -258,12 +259,12 @@ def _fitted(docs: DataFrame, block: list[tuple[int, str]]) -> Items | None:
     n = np.zeros(len(terms) + 1)
     for row in counted:
         n[row["term"]] = row["n"]
-    telling = n[:-1] <= COMMON * n[-1]
+    telling = n[:-1] <= max(FEW, COMMON * n[-1])
     for w in words:
         own = _positions(terms, np.unique(w))
         telling[own[np.argsort(n[own], kind="stable")[:RAREST]]] = True
     idf = np.log((1 + n[-1]) / (1 + n[:-1][telling])) + 1
-    items = Items(np.array([ids[k] for k in filled]), words, answers, terms[telling], idf)
+    items = Items([ids[k] for k in filled], words, answers, terms[telling], idf)
 
     rank = min(RANK + SPARE, len(items.terms))
     random = np.random.default_rng(SEED).standard_normal((len(items.terms), rank))
@@ -310,30 +311,35 @@ def leak_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_id or item_id is dropped from neither side but stays null in the result.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, cosine double, covered double, answered double, leaked boolean"
+    # ids as text, since pandas would make a column with nulls a float
+    schema = "doc_id string, item_id string, cosine double, covered double, answered double, leaked boolean"
     items = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
     blocks = -(-items.count() // ITEMS)
     found = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        block = [(r[0] if r[0] is not None else -1, r[1]) for r in own.orderBy("item_id", "text").collect()]
+        block = [(r[0], r[1]) for r in own.orderBy("item_id", "text").collect()]
         fitted = _fitted(docs, block)
         if fitted is None:
             continue
-        rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
+        rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
             _retrieve(spark.sparkContext.broadcast(vars(fitted))), schema
         )
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         found = spark.createDataFrame([], schema)
-    return found.where("leaked").drop("leaked")
+    ids = [F.col(c).cast("long").alias(c) for c in ("doc_id", "item_id")]
+    return found.where("leaked").select(*ids, "cosine", "covered", "answered")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that leak no item; a row with a null doc_id goes by its text alone."""
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    leaked = stage(leak_pairs(texts, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaked, F.xxhash64("doc_id", "text") == F.col("_leak"), "left_anti")
+    """The rows of ``docs`` that leak no item, columns as given. Rows are told apart by doc_id and
+    text together, so a null or repeated doc_id does no harm."""
+    mark = unused(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
+    texts = marked.select(F.col(mark).alias("doc_id"), "text")
+    leaked = leak_pairs(texts, benchmark).select(F.col("doc_id").alias(mark)).distinct()
+    return marked.join(stage(leaked, "leaks"), mark, "left_anti").select(*docs.columns)
 
 
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.hashing import hex_prefix, seeded_md5
-from corpusmill.llm.common import ranked, table, unused, word_count
+from corpusmill.llm.common import packed, ranked, table, word_count
 from corpusmill.operators.skew import lookup_join
 from corpusmill.session import stage
 
@@ -61,8 +61,8 @@ def source_targets(
 
 
 def with_copies(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
-    """``docs`` plus (names free of clashes are the caller's business) ``size``, ``source_size``,
-    ``target`` and ``copies``, the number of times that the mix takes the document.
+    """``docs`` plus ``size``, ``source_size``, ``target`` and ``copies``, the number of times that the
+    mix takes the document; columns of these names are replaced.
 
     ``docs`` has doc_id, text, source. A null text has 0 words; a document without words has
     whatever copies its source's rate gives. Rows with the same doc_id share their draw.
@@ -84,12 +84,10 @@ def with_copies(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it, same columns."""
-    inner = ["doc_id", "text", "source"]
-    kept = unused(docs, "kept")
-    packed = docs.select(*inner, F.struct(*docs.columns).alias(kept))
-    many = with_copies(packed, seed, **shares).where("copies > 0")
+    given, row = packed(docs, "doc_id", "text", "source")
+    many = with_copies(given, seed, **shares).where("copies > 0")
     again = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return many.select(kept, again.alias("copy")).select(f"{kept}.*")
+    return many.select(row, again.alias("copy")).select(f"{row}.*")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

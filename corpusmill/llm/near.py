@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table, unused
+from corpusmill.llm.common import packed, table
 from corpusmill.llm.components import components
 from corpusmill.llm.wordhash import groups, mixed, shingles
 from corpusmill.session import stage
@@ -341,36 +341,37 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return classes.groupBy(key, "digest").agg(F.min("class_id").alias("class_id"))
 
 
-def _named(docs: DataFrame) -> tuple[DataFrame, str, str]:
-    """``docs`` plus ``class_id``, the key that takes part, and the text's digest."""
+def _named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(key, mark, class_id, row): the key that takes part, the text's digest, the class, and all
+    columns of ``docs`` as one, whose name is returned."""
     classes = stage(near_classes(docs), "classes")
-    at, mark = unused(docs, "key"), unused(docs, "mark")
-    keyed = docs.withColumns(
-        {
-            at: F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")),
-            mark: F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
-        }
+    given, row = packed(docs, "doc_id", "text")
+    keyed = given.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"),
+        F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("mark"),
+        row,
     )
-    found = classes.select(F.col("doc_id").alias(at), F.col("digest").alias(mark), "class_id")
-    named = keyed.join(found, [at, mark], "left").withColumn("class_id", F.coalesce("class_id", at))
-    return named, at, mark
+    found = classes.select(F.col("doc_id").alias("key"), F.col("digest").alias("mark"), "class_id")
+    named = keyed.join(found, ["key", "mark"], "left")
+    return named.withColumn("class_id", F.coalesce("class_id", "key")), row
 
 
 def with_class(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) plus ``class_id``; one row for each row of ``docs``."""
-    named, at, mark = _named(docs)
-    return named.drop(at, mark)
+    """``docs`` plus ``class_id``, which replaces a column of that name; one row for each row."""
+    named, row = _named(docs)
+    others = [F.col(f"{row}.{c}") for c in docs.columns if c != "class_id"]
+    return named.select(*others, "class_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents whose key names their class: one row of each, columns as given.
 
     Of repeated rows with the same key and text one stays. A row without doc_id goes by the hash of
-    its text. A ``class_id`` column of the caller's own would clash and is an error.
+    its text.
     """
-    named, at, mark = _named(docs)
-    first = named.where(F.col("class_id") == F.col(at)).dropDuplicates([at, mark])
-    return first.select(*docs.columns)
+    named, row = _named(docs)
+    first = named.where(F.col("class_id") == F.col("key")).dropDuplicates(["key", "mark"])
+    return first.select(f"{row}.*")
 
 
 def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,8 +265,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     )
     return (
         given.join(gone, ["doc", "mark"], "left")
-        .select("doc_id", "text", "begins", "ends")
-        .mapInPandas(_keep, "doc_id long, n_words long, n_removed long, kept string")
+        .select(F.col("doc_id").cast("string"), "text", "begins", "ends")
+        .mapInPandas(_keep, "doc_id string, n_words long, n_removed long, kept string")
+        .select(F.col("doc_id").cast("long"), "n_words", "n_removed", "kept")
     )
 
 

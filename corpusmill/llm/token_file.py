@@ -230,9 +230,8 @@ def _writer(folder: str, tokenizer: str):
                         held += lengths[-1]
                     if held >= BUFFER:
                         flush(False)
-                empty = batch["doc_id"].isna().to_numpy()
-                ids.append(batch["doc_id"].fillna(0).to_numpy("int64"))
-                nulls.append(empty.astype("u1"))
+                ids.append(batch["doc_id"].to_numpy("int64"))
+                nulls.append(batch["unknown"].to_numpy().astype("u1"))
             flush(True)
             at, total = out.tell(), sum(lengths)
             out.write(np.array(offsets, "<u8").tobytes())
@@ -258,6 +257,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         docs.select(F.col("doc_id").cast("long"), "text")
         .repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
+        .select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unknown"), "text")
     )
     written = placed.mapInPandas(_writer(folder, tokenizer), "part int, path string, docs long, ids long")
     return stage(written, "manifest")
