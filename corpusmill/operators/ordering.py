@@ -200,8 +200,13 @@ def grouped_running_total(
 
 
 def total_before(
-    df: DataFrame, order: list[Column], value: str, before: str, total: str
+    df: DataFrame,
+    order: list[Column],
+    value: str,
+    before: str,
+    total: str,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """``grouped_running_total`` over the whole table."""
-    whole = grouped_running_total(df.withColumn("_whole", F.lit(0)), "_whole", order, value, before, total)
-    return whole.drop("_whole")
+    given = df.withColumn("_whole", F.lit(0))
+    return grouped_running_total(given, "_whole", order, value, before, total, range_rows).drop("_whole")

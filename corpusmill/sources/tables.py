@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.operators.ordering import total_before
-from corpusmill.operators.skew import lookup_join
+from corpusmill.operators.ordering import RANGE_ROWS, total_before
+from corpusmill.operators.skew import MAX_BROADCAST_BYTES, lookup_join
 from corpusmill.session import stage
 
 
@@ -60,19 +60,36 @@ def list_splits(table: DataFrame) -> DataFrame:
     return table.select("config", "split").distinct()
 
 
-def with_row_position(scan: DataFrame, name: str = "row_position", total: str | None = None):
+def with_row_position(
+    scan: DataFrame,
+    name: str = "row_position",
+    total: str | None = None,
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
     """Dense 0-based position of every row of a file scan, over all files in path order.
 
     The reader numbers rows within a file; only a per-file offset has to be added, so no row is
-    moved. The offsets are a running total over the files, cut into ranges like any other; whether
-    they are broadcast depends on their measured size. It must be applied to the scan itself:
-    positions are unknown after a shuffle or union.
+    moved. The files are counted and measured first, in Spark. Up to ``RANGE_ROWS`` files are one
+    range of offsets, which one task adds up and which is broadcast; more are cut into ranges, and
+    looked up by their measured size. It must be applied to the scan itself: positions are unknown
+    after a shuffle or union.
     """
     file = F.col("_metadata.file_path")
     tagged = scan.select("*", F.col("_metadata.row_index").alias("_row"), file.alias("_file"))
     sizes = scan.groupBy(file.alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = stage(total_before(sizes, [F.col("_file")], "_n", "_offset", "_total"), "offsets")
-    placed = lookup_join(tagged, offsets, ["_file"], "_n", "inner")
+    size = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_file")).alias("bytes")).first()
+    if size["n"] <= range_rows and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES:
+        earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+        every = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        offsets = sizes.select(
+            "_file",
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+            F.sum("_n").over(every).alias("_total"),
+        )
+        placed = tagged.join(F.broadcast(offsets), "_file")
+    else:
+        offsets = total_before(sizes, [F.col("_file")], "_n", "_offset", "_total", range_rows)
+        placed = lookup_join(tagged, stage(offsets, "offsets"), ["_file"], "_n", "inner")
     placed = placed.withColumn(name, (F.col("_row") + F.col("_offset")).cast("bigint"))
     if total is not None:
         placed = placed.withColumn(total, F.col("_total"))
