@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        down = stage(down.where("a <> b").distinct(), "links")
+        down = down.where("a <> b").distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             down.join(least, "a")

@@ -329,8 +329,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             tries = _in_components(_in_components(tries, found, "a", "left"), found, "b", "right")
             new = stage(verified(tries.where("left <> right").select("a", "b"), texts), "links")
             if new.take(1):
-                links = links.unionByName(new)
-                found = stage(components(links), "components")
+                known = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+                found = stage(components(known.unionByName(new)), "components")
             low = high
         if not row["more"]:
             break
