@@ -39,7 +39,7 @@ LEAST_AGREEMENT = SIMILARITY - 4.5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / F
 BLOCK = 512  # nodes of a bucket that are compared with as many others in one group
 PARTNERS = 16  # candidates that a node gets in a first pass over a group; each further pass brings
 # four times as many
-TRIES = 4  # of a node's candidates are compared first, then four times as many, and so on
+TRIES = 4  # of a node's candidates are compared first
 TEXTS = 256  # compared with one centre in a group
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -321,17 +321,16 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         row = across.agg(F.max("more").alias("more")).first()
         if row["more"] is None:
             break
-        placed = stage(_placed(across), "placed")
-        low, most = 0, placed.agg(F.max("place").alias("place")).first()["place"] or 0
-        while low < most:
-            high = max(TRIES, 4 * low)
-            tries = placed.where((F.col("place") > low) & (F.col("place") <= high))
-            tries = _in_components(_in_components(tries, found, "a", "left"), found, "b", "right")
+        rounds = [across]
+        if skip == 0:  # this pass joins most of what belongs together: the best partners go first
+            placed = stage(_placed(across), "placed")
+            rounds = [placed.where(F.col("place") <= TRIES), placed.where(F.col("place") > TRIES)]
+        for pairs in rounds:
+            tries = _in_components(_in_components(pairs, found, "a", "left"), found, "b", "right")
             new = stage(verified(tries.where("left <> right").select("a", "b"), texts), "links")
             if new.take(1):
                 known = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
                 found = stage(components(known.unionByName(new)), "components")
-            low = high
         if not row["more"]:
             break
         skip, partners = skip + partners, 4 * partners
