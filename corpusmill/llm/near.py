@@ -156,10 +156,12 @@ def _fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = list(batch["text"])
         for start, end in groups(texts):
             signature, _ = signatures(texts[start:end], registers=FINE, weighted=False)
+            keys = band_keys(signatures(texts[start:end])[0])
             yield pd.DataFrame(
                 {
                     "node": batch["node"].iloc[start:end].to_numpy(),
                     "signature": [x.tobytes() for x in signature.astype(np.uint16)],
+                    "keys": [x.tobytes() for x in keys],
                 }
             )
 
@@ -168,7 +170,7 @@ def _partners(skip: int, most: int):
     """Rows sorted by group (key, low, high) to the pairs that may be similar (a, b, agreement,
     more): for each node of the low block ``most`` from place ``skip`` on. Places are by the
     components that the first pass found, so they stay as they are; what ``now`` is in one component
-    is left out."""
+    is left out. A pair that meets in several bands is looked at in the first of them only."""
 
     def of_group(rows: pd.DataFrame) -> list[tuple]:
         node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
@@ -176,10 +178,13 @@ def _partners(skip: int, most: int):
         if (now == now[0]).all():
             return []
         signature = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), -1)
+        keys = np.frombuffer(b"".join(rows["keys"]), np.int64).reshape(len(rows), -1)
+        band = int(np.flatnonzero(keys[0] == rows["key"].iloc[0])[0])
         left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
         pairs = []
         for i in left:
             other = right[component[right] != component[i]]
+            other = other[(keys[other] == keys[i]).argmax(axis=1) == band]
             agree = (signature[other] == signature[i]).mean(axis=1)
             able = np.flatnonzero(agree >= LEAST_AGREEMENT)
             order = able[np.lexsort((node[other[able]], -agree[able]))]
@@ -254,7 +259,7 @@ def _across(
         .withColumn("low", F.least("side", "other"))
         .withColumn("high", F.greatest("side", "other"))
         .join(fine, "node")
-        .select("key", "low", "high", "side", "node", "component", "now", "signature")
+        .select("key", "low", "high", "side", "node", "component", "now", "signature", "keys")
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
     )
@@ -314,7 +319,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     unsettled = stage(_unsettled(members, found), "unsettled")
     left = unsettled.select("node").distinct()
     texts = stage(texts.join(left, "node", "left_semi"), "texts")
-    fine = stage(texts.mapInPandas(_fine, "node long, signature binary"), "fine")
+    fine = stage(texts.mapInPandas(_fine, "node long, signature binary, keys binary"), "fine")
     skip, partners = 0, PARTNERS
     while True:
         across = stage(_across(unsettled, found, fine, skip, partners), "across")
