@@ -135,10 +135,10 @@ def _ranges(df: DataFrame, order: list[Column], range_rows: int) -> DataFrame:
 
     The number of ranges follows from the number of rows alone.
     """
-    staged = stage(df, "rows")
+    staged = stage(df.withColumn("_shard", F.lit(0)), "rows")
     shards = -(-staged.count() // range_rows)
     if shards <= 1:
-        return staged.withColumn("_shard", F.lit(0))
+        return staged
     ranged = staged.repartitionByRange(shards, *order)
     return stage(ranged.withColumn("_shard", F.spark_partition_id()), "ranged")
 
