@@ -74,12 +74,12 @@ def _sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of the suffixes, in order of their first ``depth`` numbers at least."""
     rank = text.astype(np.int64)
     reach, n = 1, len(text)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while reach < depth:
         after = np.zeros(n, np.int64)
         after[: n - reach] = rank[reach:] + 1
         key = rank * (int(after.max()) + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))

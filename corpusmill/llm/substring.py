@@ -135,24 +135,61 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
+def _recurring_runs(sequences: list[np.ndarray]) -> list[tuple[int, int, np.ndarray]]:
+    """(sequence, start, words) of the runs of at least a window in which every word occurs again.
+
+    A window that repeats lies within such a run, so nothing else needs an index. Runs that go may
+    take the last other place of a word with them, hence a few rounds.
+    """
+    runs = [(i, 0, s) for i, s in enumerate(sequences) if len(s) >= WINDOW]
+    for _ in range(4):
+        if not runs:
+            break
+        words = np.concatenate([w for _, _, w in runs])
+        _, back, count = np.unique(words, return_inverse=True, return_counts=True)
+        again = count[back] > 1
+        if again.all():
+            break
+        lengths = np.array([len(w) for _, _, w in runs])
+        ends = np.cumsum(lengths)
+        piece = np.repeat(np.arange(len(runs)), lengths)
+        begins = again.copy()
+        begins[1:] &= ~again[:-1] | (piece[1:] != piece[:-1])
+        start = np.flatnonzero(begins)
+        own = piece[start]
+        # a run ends before the next word that doesn't recur, or with its piece
+        lone = np.append(np.flatnonzero(~again), len(words))
+        stop = np.minimum(lone[np.searchsorted(lone, start)], ends[own])
+        long = stop - start >= WINDOW
+        runs = [
+            (runs[p][0], runs[p][1] + a - (ends[p] - lengths[p]), words[a:z])
+            for p, a, z in zip(own[long].tolist(), start[long].tolist(), stop[long].tolist())
+        ]
+    return runs
+
+
 def _match(rows: pd.DataFrame) -> pd.DataFrame:
     """Which windows of each content also occur in a content with a smaller owner: as stretches of
     words to remove, (key, content, begins, ends)."""
     rows = rows.drop_duplicates(["key", "content"]).sort_values(["owner", "key", "content"])
     owners = rows["owner"].to_numpy("int64")
-    sequences = [np.frombuffer(w, np.uint64) for w in rows["words"]]
-    index = Index(sequences, owners, WINDOW + LONGEST)
-    repeated = index.repeated(WINDOW, owners)
-    keys, contents, begins, ends = [], [], [], []
-    for key, content, start, length in zip(rows["key"], rows["content"], index.starts, index.lengths):
-        own = np.flatnonzero(repeated[start : start + length])
-        if len(own):
-            begin, end = _stretches(own, own + WINDOW)
-            keys.append(key)
-            contents.append(content)
-            begins.append(begin)
-            ends.append(end)
-    found = pd.DataFrame({"key": keys, "content": contents})
+    places: dict[int, list[np.ndarray]] = {}
+    runs = _recurring_runs([np.frombuffer(w, np.uint64) for w in rows["words"]])
+    if runs:
+        _, rank = np.unique(owners[[i for i, _, _ in runs]], return_inverse=True)
+        index = Index([w for _, _, w in runs], rank.astype(np.int32), WINDOW + LONGEST)
+        repeated = index.repeated(WINDOW, rank)
+        for (i, offset, _), start, length in zip(runs, index.starts, index.lengths):
+            own = np.flatnonzero(repeated[start : start + length])
+            if len(own):
+                places.setdefault(i, []).append(own + offset)
+    begins, ends = [], []
+    for i in places:
+        own = np.concatenate(places[i])
+        begin, end = _stretches(own, own + WINDOW)
+        begins.append(begin)
+        ends.append(end)
+    found = rows[["key", "content"]].iloc[list(places)].reset_index(drop=True)
     found["begins"] = pd.Series(begins, dtype=object)
     found["ends"] = pd.Series(ends, dtype=object)
     return found.astype({"key": "int64", "content": "int64"})
