@@ -37,7 +37,7 @@ TRAILER = "<QQQQ8s"
 HEAD = "<III"
 BUFFER = 256 * BLOCK  # ids that are packed at a time
 AHEAD = 256  # blocks that are read at a time
-TEXT = 4 << 20  # characters that are cut into pieces at a time; a longer text is taken whole
+TEXT = 2 << 20  # characters that are cut into pieces at a time; a longer text is taken whole
 CACHE = 1_500_000  # pieces of text whose ids a worker remembers
 
 #: White space besides spaces and line breaks, and the bytes that such characters start with.
