@@ -7,8 +7,8 @@ register. Two documents agree in a register with the probability Jaccard of thei
 the Jaccard of their shingle sets where nothing repeats. Pairs that meet in a band are then compared
 exactly, on their shingle sets.
 
-Equal texts are one node from the start. In each band bucket every node is compared with the
-bucket's smallest. In buckets whose nodes are still in several components afterwards, finer
+Equal texts are one node from the start. Every node is first compared with the smallest nodes of its
+band buckets, those that share most bands with it. In buckets whose nodes are still in several components afterwards, finer
 signatures are compared across components, block by block; what may be similar by them is compared
 exactly, each node's most similar partners first, until every candidate is joined or compared.
 """
@@ -32,6 +32,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4  # a pair at 0.8 is missed by all bands with probability 3e-5
 REGISTERS = BANDS * ROWS
+CENTRES = 3  # of its buckets that a node is compared with before anything else, by shared bands
 FINE = 256  # registers of the signatures that are compared as wholes
 #: Fine signatures agree in a share of registers that is the Jaccard on average; pairs so many
 #: standard deviations below the similarity don't need an exact comparison.
@@ -309,9 +310,10 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         .select("node", "text"),
         "texts",
     )
-    # a centre that shares one band only is hardly similar; the fine signatures decide on those
+    # a node's likeliest centres come first; the fine signatures decide on the others
     bands = shared.where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = bands.where("n > 1").select("a", "b")
+    likeliest = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
+    pairs = bands.where("n > 1").withColumn("place", likeliest).where(F.col("place") <= CENTRES).select("a", "b")
     links = stage(verified(pairs, texts), "links")
     found = stage(components(links), "components")
 
