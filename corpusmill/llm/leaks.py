@@ -2,12 +2,13 @@
 
 Documents are cut into overlapping passages. Their TF-IDF vectors over the terms of the benchmark
 are reduced by a randomised eigendecomposition of the term matrix, whose sketch is summed over every
-passage in Spark. Passages that lie near a benchmark item in the reduced space are candidates; an
-item counts as leaked where the longest common subsequence with the words around the passage covers
-most of it, or covers enough of it and its answer as well.
+passage in Spark. Items longer than a passage are cut into parts of at most a passage. Passages that
+lie near a part in the reduced space make its item a candidate; an item counts as leaked where the
+longest common subsequence with the words around the passage covers most of the whole item, or
+covers enough of it and its answer as well.
 
-Everything that is broadcast has a bound: the benchmark is taken in blocks of ``ITEMS`` items, and
-each block has its own vocabulary, sketch and pass over the documents.
+Everything that is broadcast has a bound: the benchmark is taken in blocks of about ``ITEMS`` parts,
+and each block has its own vocabulary, sketch and pass over the documents.
 """
 
 from __future__ import annotations
@@ -25,17 +26,18 @@ from corpusmill.llm.common import table, unused
 from corpusmill.llm.wordhash import MARKS, groups, word_hashes
 from corpusmill.session import stage
 
-ITEMS = 1000  # benchmark items in a block
+ITEMS = 1000  # benchmark items in a block; a long item counts as its parts
 HOP = 16  # words
 HOPS = 4  # a passage is so many hops long; the next one starts a hop later
+PASSAGE = HOP * HOPS  # words, the most of an item that are looked for as one part
 RANK, SPARE = 128, 16  # dimensions of the space, and more of the sketch that they are drawn from
 SEED = 7
 COMMON = 0.01  # terms of a larger share of the documents don't tell passages apart,
 FEW = 10  # unless they are in so few documents
-RAREST = 6  # of an item's terms that stay even so
+RAREST = 6  # of a part's terms that stay even so
 EMPHASIS = 4  # how much the items weigh in the space against all passages of the corpus
-COSINE = 0.3  # of a passage and an item, in the space
-CONTAINED = 0.35  # of an item's length in the space, found in the passage
+COSINE = 0.3  # of a passage and a part, in the space
+CONTAINED = 0.35  # of a part's length in the space, found in the passage
 COVERED = 0.75  # of an item's words, in order: leaked whatever else
 PARAPHRASED = 0.5  # of an item's words: leaked if the answer is there too
 ANSWERED = 0.8  # of the answer's words
@@ -50,9 +52,10 @@ class Items:
     answers: list[np.ndarray]  # of the last sentence's words
     terms: np.ndarray  # sorted hashes of the vocabulary
     idf: np.ndarray
+    owners: np.ndarray  # the item of each part
     space: np.ndarray | None = None  # terms by dimensions
-    vectors: np.ndarray | None = None  # items by dimensions, of length one
-    lengths: np.ndarray | None = None  # of the items in the space, before
+    vectors: np.ndarray | None = None  # parts by dimensions, of length one
+    lengths: np.ndarray | None = None  # of the parts in the space, before
 
 
 def _answer(text: str) -> str:
@@ -66,6 +69,11 @@ def _hashed(texts: list[str]) -> list[np.ndarray]:
     return [found[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _parts(words: np.ndarray) -> list[np.ndarray]:
+    """An item's words in parts of about equal length, none longer than a passage."""
+    return np.array_split(words, max(1, -(-len(words) // PASSAGE)))
+
+
 def _positions(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Place of each hash in the sorted terms, or -1."""
     if not len(terms):
@@ -213,17 +221,21 @@ def _retrieve(items):
                     shared = sums[low : low + 4096] @ across
                     cosine = shared / length[low : low + 4096, None]
                     near = (cosine >= COSINE) & (shared >= CONTAINED * block.lengths)
-                    for p, i in zip(*np.nonzero(near)):
+                    met: dict[tuple[int, int], float] = {}  # passage and item: its nearest part
+                    for p, k in zip(*np.nonzero(near)):
+                        pair = p, block.owners[k]
+                        met[pair] = max(float(cosine[p, k]), met.get(pair, -1.0))
+                    for (p, i), nearest in met.items():
                         slot = slots[low + p]
                         text, words = owner[slot], block.words[i]
                         begin = max(bounds[text], starts[slot] - len(words))
-                        stop = min(bounds[text + 1], starts[slot] + HOP * HOPS + len(words))
+                        stop = min(bounds[text + 1], starts[slot] + PASSAGE + len(words))
                         around = hashes[begin:stop]
                         covered = _common_subsequence(words, around) / len(words)
                         answer = block.answers[i]
                         answered = _common_subsequence(answer, around) / max(1, len(answer))
                         leaked = covered >= COVERED or (covered >= PARAPHRASED and answered >= ANSWERED)
-                        here = (leaked, covered, answered, float(cosine[p, i]))
+                        here = (leaked, covered, answered, nearest)
                         if here > best.get((text, i), (False, -1.0)):
                             best[text, i] = here
                 rows += [
@@ -246,6 +258,9 @@ def _fitted(docs: DataFrame, block: list[tuple[int, str]]) -> Items | None:
         return None
     spark = docs.sparkSession
     words, answers = [words[k] for k in filled], [answers[k] for k in filled]
+    cut = [_parts(w) for w in words]
+    owners = np.repeat(np.arange(len(words)), [len(c) for c in cut])
+    parts = [p for c in cut for p in c]
     terms = np.unique(np.concatenate(words))
     texts_only = docs.select("text")
     counted = (
@@ -260,11 +275,11 @@ def _fitted(docs: DataFrame, block: list[tuple[int, str]]) -> Items | None:
     for row in counted:
         n[row["term"]] = row["n"]
     telling = n[:-1] <= max(FEW, COMMON * n[-1])
-    for w in words:
+    for w in parts:
         own = _positions(terms, np.unique(w))
         telling[own[np.argsort(n[own], kind="stable")[:RAREST]]] = True
     idf = np.log((1 + n[-1]) / (1 + n[:-1][telling])) + 1
-    items = Items([ids[k] for k in filled], words, answers, terms[telling], idf)
+    items = Items([ids[k] for k in filled], words, answers, terms[telling], idf, owners)
 
     rank = min(RANK + SPARE, len(items.terms))
     random = np.random.default_rng(SEED).standard_normal((len(items.terms), rank))
@@ -276,12 +291,12 @@ def _fitted(docs: DataFrame, block: list[tuple[int, str]]) -> Items | None:
     sketch = np.zeros((len(items.terms), rank))
     for row in partial.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toLocalIterator():
         sketch[row[0]] = row[1:]
-    counts = np.zeros((len(words), len(items.terms)))
-    for k, w in enumerate(words):
+    counts = np.zeros((len(parts), len(items.terms)))
+    for k, w in enumerate(parts):
         own = _positions(items.terms, w)
         np.add.at(counts[k], own[own >= 0], 1)
     weighted = counts * items.idf
-    own = weighted.T @ (weighted @ random)  # the items are passages as well
+    own = weighted.T @ (weighted @ random)  # the parts are passages as well
     scale = max(np.linalg.norm(sketch), np.linalg.norm(own)) / np.linalg.norm(own)
     items.space = _eigenvectors(sketch + EMPHASIS * scale * own, random, min(RANK, rank))
     vectors = weighted @ items.space
@@ -307,14 +322,17 @@ def leak_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, covered, answered) for each document and item that it leaks.
 
     Words are runs of letters, digits and _, in lower case. Null, empty and wordless texts and items
-    leak nothing. Repeated documents get equal rows, one each; repeated items are one item; a null
-    doc_id or item_id is dropped from neither side but stays null in the result.
+    leak nothing. ``cosine`` is of the passage and the item's nearest part. Repeated documents get
+    equal rows, one each; repeated items are one item; a null doc_id or item_id is dropped from
+    neither side but stays null in the result.
     """
     spark = docs.sparkSession
     # ids as text, since pandas would make a column with nulls a float
     schema = "doc_id string, item_id string, cosine double, covered double, answered double, leaked boolean"
     items = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
-    blocks = -(-items.count() // ITEMS)
+    length = F.coalesce(F.regexp_count("text", F.lit(r"[A-Za-z0-9_\x{80}-\x{10FFFF}]+")), F.lit(0))
+    parts = items.agg(F.sum(F.greatest(F.lit(1), F.ceil(length / PASSAGE)))).first()[0] or 0
+    blocks = -(-parts // ITEMS)
     found = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)

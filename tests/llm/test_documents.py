@@ -237,6 +237,33 @@ def test_leaks_exact_edited_and_none(spark):
     assert leaks.leak_pairs(docs, benchmark.where("item_id = 50")).count() == 0
 
 
+def test_leaks_of_long_items_against_brute_force(spark):
+    draw = np.random.default_rng(8)
+
+    def text(n):
+        return [f"w{k}" for k in np.minimum(draw.zipf(1.3, n), 30_000)]
+
+    lengths = [64, 65, 130, 200, 250, 300, 400, 600, 800, 1000]
+    items = [text(n) for n in lengths]
+    rows = [(i, " ".join(text(400)), "en", "a") for i in range(60)]
+    for i, item in enumerate(items):
+        for k, share in enumerate([1.0, 0.85, 0.6, 0.3]):
+            kept = [w if draw.random() < share else f"x{draw.integers(30_000)}" for w in item]
+            rows.append((100 + 10 * i + k, " ".join(text(150) + kept + text(90)), "en", "a"))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leak_pairs(documents(spark, rows), benchmark).collect()}
+
+    def numbers(words):
+        return np.array([zlib.crc32(w.encode()) for w in words])
+
+    expected = set()
+    for i, item in enumerate(items):
+        for key, body, *_ in rows:  # the answer of an item without a full stop is the whole item
+            if leaks._common_subsequence(numbers(item), numbers(body.split())) >= leaks.COVERED * len(item):
+                expected.add((key, i))
+    assert {(100 + 10 * i, i) for i in range(len(items))} <= expected and got == expected
+
+
 def test_longest_common_subsequence():
     draw = random.Random(4)
     for _ in range(50):
