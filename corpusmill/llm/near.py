@@ -4,8 +4,9 @@ Shingles are five words; a shingle that occurs n times in a document weighs 1 +
 is a Poisson process whose rate is its weight: its arrivals fall on registers at random, a register
 keeps the shingle that arrives first, and a shingle stops as soon as its time has passed the latest
 register. Two documents agree in a register with the probability Jaccard of their weights, which is
-the Jaccard of their shingle sets where nothing repeats. Pairs that meet in a band are then compared
-exactly, on their shingle sets.
+the Jaccard of their shingle sets where nothing repeats. As repeats may be uneven, every document is
+also banded by a signature with all weights at one, which agrees by the Jaccard of the sets. Pairs
+that meet in a band are then compared exactly, on their shingle sets.
 
 Equal texts are one node from the start. Every node is first compared with the smallest nodes of its
 band buckets, those that share most bands with it. In buckets whose nodes are still in several components afterwards, finer
@@ -30,7 +31,7 @@ from corpusmill.session import stage
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 4  # a pair at 0.8 is missed by all bands with probability 3e-5
+BANDS, ROWS = 20, 4  # a pair at 0.8 is missed by all bands of weights of one with probability 3e-5
 REGISTERS = BANDS * ROWS
 CENTRES = 3  # of its buckets that a node is compared with before anything else, by shared bands
 FINE = 256  # registers of the signatures that are compared as wholes
@@ -51,10 +52,15 @@ def signatures(
 ) -> tuple[np.ndarray, np.ndarray]:
     """One row of 32-bit registers for each text, and whether the text has words at all."""
     owner, shingle, count = shingles(texts, size)
-    n = len(texts)
+    weight = 1.0 + np.log(count) if weighted else np.ones(len(count))
+    return _registers(len(texts), owner, shingle, weight, registers)
+
+
+def _registers(
+    n: int, owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, registers: int = REGISTERS
+) -> tuple[np.ndarray, np.ndarray]:
     least = np.full(n * registers, np.inf)
     kept = np.zeros(n * registers, np.uint32)
-    weight = 1.0 + np.log(count) if weighted else np.ones(len(count))
     time = np.zeros(len(shingle))
     state = mixed(shingle)
     while len(shingle):
@@ -74,26 +80,45 @@ def signatures(
     return kept.reshape(n, registers), found
 
 
-def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """One 64-bit key for each band of each signature."""
+def band_keys(signature: np.ndarray, bands: int = BANDS, first: int = 0) -> np.ndarray:
+    """One 64-bit key for each band of each signature; bands are numbered from ``first``."""
     rows = signature.reshape(len(signature), bands, -1).astype(np.uint64)
-    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), rows.shape[:2])
+    key = np.broadcast_to(np.arange(first, first + bands, dtype=np.uint64), rows.shape[:2])
     for i in range(rows.shape[2]):
         key = mixed(key * _STEP + rows[:, :, i])
     return key.view(np.int64)
 
 
+def _keys(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The band keys of each text, whether it has words, and whether a shingle repeats in it.
+
+    The first ``BANDS`` columns are of weights of one, the others of the weights by count. Where
+    nothing repeats the two signatures are equal, and the others are 0.
+    """
+    owner, shingle, count = shingles(texts, WORDS)
+    unit, found = _registers(len(texts), owner, shingle, np.ones(len(count)))
+    keys = np.zeros((len(texts), 2 * BANDS), np.int64)
+    keys[:, :BANDS] = band_keys(unit)
+    repeats = np.zeros(len(texts), bool)
+    repeats[owner[count > 1]] = True
+    own = repeats[owner]
+    if own.any():
+        weighted, _ = _registers(len(texts), owner[own], shingle[own], 1.0 + np.log(count[own]))
+        keys[repeats, BANDS:] = band_keys(weighted[repeats], first=BANDS)
+    return keys, found, repeats
+
+
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = list(batch["text"])
         for start, end in groups(texts):
-            signature, found = signatures(texts[start:end])
+            keys, found, repeats = _keys(texts[start:end])
             part = batch.iloc[start:end]
             out = pd.DataFrame(
                 {
                     "id": part["id"].to_numpy(),
                     "digest": part["digest"].to_numpy(),
-                    "keys": list(band_keys(signature)),
+                    "keys": [k if r else k[:BANDS] for k, r in zip(keys, repeats)],
                 }
             )
             yield out[found]
@@ -157,7 +182,7 @@ def _fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = list(batch["text"])
         for start, end in groups(texts):
             signature, _ = signatures(texts[start:end], registers=FINE, weighted=False)
-            keys = band_keys(signatures(texts[start:end])[0])
+            keys, _, _ = _keys(texts[start:end])
             yield pd.DataFrame(
                 {
                     "node": batch["node"].iloc[start:end].to_numpy(),

@@ -305,6 +305,17 @@ def test_near_classes_against_brute_force(spark):
     assert got == classes_of(rows)
 
 
+def test_near_classes_of_pairs_with_uneven_repeats(spark):
+    rows = []
+    for i in range(30):
+        base = words_of(20_000 + i, 400, 10**6)
+        for k in range(2):  # 396 shared shingles; 44 of each text's own, 40 of them repeat 50 times
+            own = words_of(30_000 + 2 * i + k, 40, 10**6)
+            rows.append((100 * i + k, " ".join(base + own * 50), "en", "a"))
+    got = {r["doc_id"]: r["class_id"] for r in near.with_class(documents(spark, rows)).collect()}
+    assert got == {100 * i + k: 100 * i for i in range(30) for k in range(2)}
+
+
 def test_one_of_each(spark):
     docs = documents(spark, corpus(spark))
     kept = near.one_of_each(docs)
