@@ -130,8 +130,9 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by group, the centre first: the pairs of centre and other that are similar."""
-    group = centre = centre_set = None
+    """Rows sorted by group, the centre first: the pairs of centre and other that are similar. A
+    centre whose id is repeated may have several texts; the other is similar to one of them."""
+    group, centre, centre_sets = None, None, []
     for batch in batches:
         texts = list(batch["text"])
         names = list(zip(batch["centre"], batch["part"]))
@@ -143,8 +144,10 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i in range(start, end):
                 own = shingle[cuts[i - start] : cuts[i - start + 1]]
                 if names[i] != group:
-                    group, centre, centre_set = names[i], nodes[i], own
-                elif nodes[i] != centre and _jaccard(own, centre_set) >= SIMILARITY:
+                    group, centre, centre_sets = names[i], nodes[i], [own]
+                elif nodes[i] == centre:
+                    centre_sets.append(own)
+                elif any(_jaccard(own, s) >= SIMILARITY for s in centre_sets):
                     pairs.append((centre, nodes[i]))
         yield pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
@@ -205,7 +208,12 @@ def _partners(skip: int, most: int):
             return []
         signature = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), -1)
         keys = np.frombuffer(b"".join(rows["keys"]), np.int64).reshape(len(rows), -1)
-        band = int(np.flatnonzero(keys[0] == rows["key"].iloc[0])[0])
+        # of a repeated id with several texts only some may be in the bucket
+        here = keys == rows["key"].iloc[0]
+        band = int(here.any(axis=0).argmax())
+        held = here[:, band]
+        node, side, component, now = node[held], side[held], component[held], now[held]
+        signature, keys = signature[held], keys[held]
         left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
         pairs = []
         for i in left:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,6 +317,31 @@ def test_near_classes_of_pairs_with_uneven_repeats(spark):
     assert got == {100 * i + k: 100 * i for i in range(30) for k in range(2)}
 
 
+def test_near_classes_of_a_repeated_id_with_several_texts(spark):
+    rows = []
+    for i in range(8):
+        for k in range(3):  # three texts of one id, and a document that is near each of them
+            text = words_of(40_000 + 10 * i + k, 200, 10**6)
+            rows.append((100 * i, " ".join(text), "en", "a"))
+            rows.append((100 * i + 1 + k, " ".join([*text, "more"]), "en", "a"))
+    got = {(r["doc_id"], r["class_id"]) for r in near.with_class(documents(spark, rows)).collect()}
+    assert got == {(100 * i + k, 100 * i) for i in range(8) for k in range(4)}
+
+
+def test_texts_of_a_repeated_id_outside_a_bucket():
+    texts = [" ".join(words_of(50_000 + i, 100, 10**6)) for i in range(2)]
+    texts.append(texts[1] + " more")
+    keys, _, _ = near._keys(texts)
+    signature, _ = near.signatures(texts, registers=near.FINE, weighted=False)
+    shared = keys[1][(keys[1] == keys[2]) & (keys[1] != 0)][0]
+    rows = pd.DataFrame({
+        "key": shared, "low": 0, "high": 0, "side": 0, "node": [5, 5, 7], "component": [5, 5, 7], "now": [5, 5, 7],
+        "signature": [x.tobytes() for x in signature.astype(np.uint16)], "keys": [x.tobytes() for x in keys],
+    })
+    found = pd.concat(near._partners(0, 16)(iter([rows])))
+    assert {(r.a, r.b) for r in found.itertuples()} == {(5, 7)}
+
+
 def test_one_of_each(spark):
     docs = documents(spark, corpus(spark))
     kept = near.one_of_each(docs)
