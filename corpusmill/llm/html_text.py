@@ -23,7 +23,8 @@ from corpusmill.llm.common import table
 from corpusmill.session import stage
 
 PAGES = 5  # of a host that must share a subtree, and
-SHARE = 0.2  # of the host's pages
+SHARE = 0.2  # of the host's pages, or
+MANY = 25  # of them, whatever their share: on a host of so many pages PAGES are the share
 TEMPLATES = 200_000  # template subtrees that are broadcast: hash and host, some 20 MB
 
 #: HTML's elements by how they are read.
@@ -288,7 +289,8 @@ def templates(pages: DataFrame) -> DataFrame:
     totals = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = rows.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     common = counts.where(F.col("n") >= PAGES).join(totals, "host")
-    return stage(common.where(F.col("n") >= SHARE * F.col("pages")).select("host", "subtree"), "templates")
+    least = F.least(SHARE * F.col("pages"), F.lit(float(MANY)))
+    return stage(common.where(F.col("n") >= least).select("host", "subtree"), "templates")
 
 
 def _extract_with(shared):

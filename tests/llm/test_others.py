@@ -74,6 +74,18 @@ def test_templates_of_a_host_are_deleted(spark, most):
     assert html_text.main_texts(frame.limit(0)).count() == 0
 
 
+def test_templates_of_a_section_of_a_large_host_are_deleted(spark):
+    rows = []
+    for i in range(300):  # ten sections; each has its own notice, on a tenth of the host's pages
+        notice = f"<div><p>news of section {i % 10}</p></div>"
+        body = f"{notice}<article><p>own text {i}</p><p>said in section {i % 10}</p></article>"
+        rows.append((i, f"http://a.example/{i}", f"<body>{body}</body>"))
+        rows.append((1000 + i, f"http://b.example/{i}", f"<body>{notice}<p>own text {i}</p></body>"))
+    texts = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert texts[1003] == "own text 3"
+    assert texts[3] == "own text 3\n\nsaid in section 3"  # an article's paragraphs stay
+
+
 def test_html_query_against_another_reading(spark, sf_dir):
     rows = duckdb.sql(f"select page_id, html from '{sf_dir}/pages.parquet'").fetchall()
     want = {}
