@@ -8,9 +8,12 @@ from corpusmill.llm import (
     html_text,
     language,
     leaks,
+    licences,
     lines,
+    lloyd,
     mixing,
     near,
+    negatives,
     substring,
     token_file,
     topk,
@@ -27,6 +30,9 @@ QUERIES = {
     "op8_leaks": leaks.op8_leaks,
     "op9_near": near.op9_near,
     "op10_language": language.op10_language,
+    "op11_negatives": negatives.op11_negatives,
+    "op12_clusters": lloyd.op12_clusters,
+    "op13_licences": licences.op13_licences,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -34,4 +40,7 @@ ORACLES = {
     "op1_lines": lines.SQL,
     "op2_mix": mixing.SQL,
     "op5_topk": topk.SQL,
+    "op11_negatives": negatives.SQL,
+    "op12_clusters": lloyd.SQL,
+    "op13_licences": licences.SQL,
 }
