@@ -69,15 +69,13 @@ def template_words(text: str) -> list[str]:
 
 
 def _spaced(text: Column) -> Column:
-    """The words with a space before and after each; nothing for null or no word."""
+    """The words of a text, two spaces before, between and after them; two spaces for null or no word."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    inner = F.btrim(F.regexp_replace(lowered, APART, "  "))
-    return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
+    return F.regexp_replace(F.concat(F.lit(" "), lowered, F.lit(" ")), APART, "  ")
 
 
-def _words_in(spaced: Column) -> Column:
-    without = F.replace(spaced, F.lit(" "), F.lit(""))
-    return ((F.octet_length(spaced) - F.octet_length(without)) / F.lit(2)).cast("bigint")
+def _spaces(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
 def _marks(text: Column) -> list[Column]:
@@ -98,7 +96,7 @@ def _ordered(words: DataFrame, templates: list[tuple[str, list[str]]]) -> dict[s
     """Place of each template word in the order of the corpus: rarest first, ties by the word."""
     wanted = sorted({w for _, held in templates for w in held})
     counted = (
-        words.select(F.explode("_words").alias("word"))
+        words.select(F.explode_outer("_words").alias("word"))  # without outer, Spark reads the words twice
         .where(F.col("word").isin(wanted))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -144,7 +142,7 @@ def matching_blocks(
 
     # texts without any word of a prefix hold no template and go no further
     near = words.where(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in rare])))
-    placed = near.select("_a", "_b", F.posexplode("_words").alias("pos", "word")).join(F.broadcast(ranked), "word")
+    placed = near.select("_a", "_b", F.posexplode_outer("_words").alias("pos", "word")).join(F.broadcast(ranked), "word")
     half = block // 2
     number = F.floor(F.col("pos") / F.lit(half))
     placed = placed.select(
@@ -165,11 +163,12 @@ def matching_blocks(
 def _places(phrase: str) -> dict[str, Column]:
     """How often the phrase's words stand consecutively in ``_spaced``, and its first and last start."""
     inside = "".join(f" {w} " for w in phrase.split())
-    # no phrase overlaps itself, so what lies between its places is what splitting leaves
+    # no phrase overlaps itself, so what lies between its places is what splitting leaves: words with a
+    # space on both sides, and one more space at the outer end
     parts = F.when(F.contains("_spaced", F.lit(inside)), F.split("_spaced", inside, -1))
-    first = _words_in(F.get(parts, F.lit(0)))
-    last = F.col("n_words") - _words_in(F.element_at(parts, -1)) - len(phrase.split())
-    return {"n": F.coalesce(F.size(parts) - 1, F.lit(0)), "first": first, "last": last}
+    before, after = [((_spaces(F.element_at(parts, at)) - 1) / F.lit(2)).cast("bigint") for at in (1, -1)]
+    last = F.col("n_words") - after - len(phrase.split())
+    return {"n": F.coalesce(F.size(parts) - 1, F.lit(0)), "first": before, "last": last}
 
 
 def scan(
@@ -195,7 +194,7 @@ def scan(
         F.count(F.lit(1)).alias("_heat"),
     )
     spaced = docs.select(F.col("doc_id").cast("long"), *_marks(F.col("text")), _spaced(F.col("text")).alias("_spaced"))
-    spaced = spaced.withColumn("n_words", _words_in(F.col("_spaced")))
+    spaced = spaced.withColumn("n_words", (_spaces(F.col("_spaced")) / F.lit(2) - 1).cast("bigint"))
     for i, phrase in enumerate(phrases):
         spaced = spaced.withColumn(f"_p{i}", F.struct(*[c.alias(k) for k, c in _places(phrase).items()]))
     each = [F.col(f"_p{i}") for i in range(len(phrases))]
