@@ -68,3 +68,51 @@ def chunk_documents(df: DataFrame, keys: list[str], text: str, size: int) -> Dat
     )
     joined = F.array_join(F.transform("_pieces", lambda p: p["piece"]), "")
     return gathered.select(*keys, "chunk", joined.alias("text"))
+
+
+MANY = 512  # chunk starts that are kept in one list of a growing list of lists
+
+
+def _greedy_starts(lengths: Column, size: int) -> Column:
+    """Places of the pieces that begin a chunk: a piece goes to the chunk before it if it still fits.
+
+    One fold over the lengths. Starts are gathered in lists of ``MANY``, so that adding one to a long
+    document's copies no long list.
+    """
+    nothing = F.array().cast("array<int>")
+    begin = F.struct(
+        F.lit(0).alias("at"),
+        F.lit(0).alias("used"),
+        nothing.alias("starts"),
+        F.array().cast("array<array<int>>").alias("done"),
+    )
+
+    def step(state: Column, length: Column) -> Column:
+        opens = (state["at"] == 0) | (state["used"] + length > size)
+        full = opens & (F.size(state["starts"]) >= MANY)
+        starts = F.when(full, nothing).otherwise(state["starts"])
+        return F.struct(
+            (state["at"] + 1).alias("at"),
+            F.when(opens, length).otherwise(state["used"] + length).alias("used"),
+            F.when(opens, F.concat(starts, F.array(state["at"]))).otherwise(starts).alias("starts"),
+            F.when(full, F.concat(state["done"], F.array(state["starts"]))).otherwise(state["done"]).alias("done"),
+        )
+
+    return F.aggregate(
+        lengths, begin, step, lambda state: F.flatten(F.concat(state["done"], F.array(state["starts"])))
+    )
+
+
+def chunk_greedily(df: DataFrame, keys: list[str], text: str, size: int) -> DataFrame:
+    """(keys, chunk, text): consecutive pieces put together as long as they fit into ``size`` characters.
+
+    Chunks count up from 0 without gaps and add up to the text; a null or empty text has none. All of it
+    is done where the document lies, without a shuffle.
+    """
+    cut = df.select(*keys, pieces(F.col(text), size).alias("_pieces"))
+    lengths = F.transform("_pieces", lambda p: F.char_length(p))
+    cut = cut.withColumn("_starts", _greedy_starts(lengths, size))
+    ends = F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(F.size("_pieces")))
+    spans = F.filter(F.arrays_zip(F.col("_starts").alias("a"), ends.alias("b")), lambda s: s["b"] > s["a"])
+    joined = F.transform(spans, lambda s: F.array_join(F.slice("_pieces", s["a"] + 1, s["b"] - s["a"]), ""))
+    return cut.select(*keys, F.posexplode(joined).alias("chunk", "text"))

@@ -210,3 +210,22 @@ def total_before(
     """``grouped_running_total`` over the whole table."""
     given = df.withColumn("_whole", F.lit(0))
     return grouped_running_total(given, "_whole", order, value, before, total, range_rows).drop("_whole")
+
+
+def position_in_group(
+    df: DataFrame, position: str, group: str, name: str, shard_rows: int = SHARD_ROWS
+) -> DataFrame:
+    """Dense 0-based place of each row among the rows of its ``group``, in the order of ``position``.
+
+    ``position`` must be dense over the table. Rows are numbered within their group's part of a shard,
+    ``shard_rows`` at most, and the counts of earlier shards are added, so one group may hold the
+    whole table. A null group is a group.
+    """
+    tagged = df.withColumn("_shard", F.floor(F.col(position) / F.lit(shard_rows)))
+    counts = tagged.groupBy(group, "_shard").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group, "_shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "_shard").orderBy(position)) - 1
+    placed = null_safe(tagged.withColumn("_inside", inside), offsets, [group, "_shard"])
+    place = (F.col("_before") + F.col("_inside")).cast("bigint")
+    return placed.withColumn(name, place).drop("_shard", "_before", "_inside")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,44 @@ from corpusmill.functions.constants import SEED, TEST_FRACTION
 from corpusmill.functions.hashing import chosen, seeded_md5
 from corpusmill.operators.ordering import first_in_hash_order, hash_position
 
+ROUNDS = 40  # of a permutation; each one swaps about half of the pairs that it makes
+
+
+def epoch_place(position: Column, n: int | Column, epoch: int, seed: int = SEED) -> Column:
+    """Where an epoch's order puts the row at the dense ``position`` among ``n``: a permutation of
+    0 to n - 1, another one for each seed and epoch, computed from the row's own position.
+
+    A round pairs every place x with (k - x) mod n and swaps a pair or leaves it by a bit drawn from its
+    larger member, so it maps places one to one for every n. Nothing is moved or sorted.
+    """
+    rounds = F.array(
+        *[
+            F.struct(F.lit(f"{seed}:{epoch}:{r}:").alias("mark"), F.lit(_round_key(seed, epoch, r)).alias("key"))
+            for r in range(1, ROUNDS + 1)
+        ]
+    )
+    size = n if isinstance(n, Column) else F.lit(n)
+
+    def swapped(x: Column, step: Column) -> Column:
+        other = F.pmod(step["key"] - x, size)
+        bit = F.ascii(F.md5(F.concat(step["mark"], F.greatest(x, other).cast("string")))) % 2
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(rounds, position.cast("bigint"), swapped)
+
+
+def _round_key(seed: int, epoch: int, number: int) -> int:
+    return int(hashlib.md5(f"{seed}:{epoch}:{number}".encode()).hexdigest()[:12], 16)
+
+
+def epochs(df: DataFrame, position: str, n: int, count: int, seed: int = SEED) -> DataFrame:
+    """Every row once for each of ``count`` epochs, with ``epoch`` and its ``place`` in that epoch's order."""
+    places = [
+        F.struct(F.lit(e).alias("epoch"), epoch_place(F.col(position), n, e, seed).alias("place"))
+        for e in range(count)
+    ]
+    return df.select("*", F.inline(F.array(*places)))
+
 
 def shuffle(df: DataFrame, keys: list[str], seed: int = SEED) -> DataFrame:
     """The table in seeded hash order: a range-partitioned sort on evenly spread values."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.chat import nth_content
 from corpusmill.operators import columns, custom, distribution, mixture, profile, sampling
 from corpusmill.operators.chunking import chunk_documents as chunks
+from corpusmill.operators.chunking import chunk_greedily as greedy_chunks
 from corpusmill.operators.ordering import hash_position
 from corpusmill.operators.tokens import batches, pack_plan
 from corpusmill.functions.constants import MAX_TOKENS
@@ -15,7 +16,7 @@ from corpusmill.functions.text import token_count
 from corpusmill.plans.training_text import questions_to_chat
 from corpusmill.schemas import PREFERENCES_RAW
 from corpusmill.session import stage, staging_path
-from corpusmill.sources import sinks, tables
+from corpusmill.sources import json_arrays, releases, sinks, tables
 from corpusmill.streaming.sample import save_percent_sample
 from workload.inputs import TOKEN, chosen_sql, draw_sql, joined, micros, read, read_wide
 from workload.registry import case
@@ -435,17 +436,38 @@ def _cut_sql(size: int) -> str:
       select doc_id, place, piece,
              coalesce(sum(length(piece)) over (partition by doc_id order by place
                       rows between unbounded preceding and 1 preceding), 0) as start
-      from pieces)
-    select doc_id, (start // {size} + (start + length(piece) - 1) // {size})::bigint as chunk,
-           string_agg(piece, '' order by place) as text
-    from placed group by 1, 2""",
+      from pieces)""",
         ]
     )
 
 
+def _stretches_sql(size: int) -> str:
+    return f"""{_cut_sql(size)}
+    select doc_id, (start // {size} + (start + length(piece) - 1) // {size})::bigint as chunk,
+           string_agg(piece, '' order by place) as text
+    from placed group by 1, 2"""
+
+
+def _greedy_sql(size: int) -> str:
+    """One chunk of every document after the other, each up to the piece that doesn't fit."""
+    return f"""{_cut_sql(size)},
+    numbered as (
+      select doc_id, row_number() over (partition by doc_id order by place) as i, piece, start,
+             start + length(piece) as stop from placed),
+    merged as (
+      select doc_id, 0 as chunk, 0::hugeint as start from numbered where i = 1
+      union all
+      select m.doc_id, m.chunk + 1, min(n.start)
+      from merged m join numbered n on n.doc_id = m.doc_id and n.stop - m.start > {size}
+      group by m.doc_id, m.chunk)
+    select n.doc_id, m.chunk::int as chunk, string_agg(n.piece, '' order by n.i) as text
+    from numbered n asof join merged m on n.doc_id = m.doc_id and n.start >= m.start
+    group by n.doc_id, m.chunk"""
+
+
 @case(
     f"""with s0 as (select doc_id, [0] as place, text as piece from documents where text <> ''),
-    {_cut_sql(1000)}"""
+    {_stretches_sql(1000)}"""
 )
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(read_wide(spark, sf_dir, "documents"), ["doc_id"], "text", 1000)
@@ -455,7 +477,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with s0 as (
       select doc_id, [0] as place, replace(text, ' the ', chr(64976) || chr(10) || '## ' || chr(64976)) as piece
       from documents where text <> ''),
-    {_cut_sql(200)}"""
+    {_stretches_sql(200)}"""
 )
 def chunk_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with headings and with characters that are reserved for a program's own use."""
@@ -463,3 +485,99 @@ def chunk_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.col("text"), F.lit(" the "), F.lit(f"{mark}\n## {mark}"))
     documents = read_wide(spark, sf_dir, "documents").withColumn("text", text)
     return chunks(documents, ["doc_id"], "text", 200)
+
+
+@case(
+    f"""with recursive s0 as (select doc_id, [0] as place, text as piece from documents where text <> ''),
+    {_greedy_sql(1000)}"""
+)
+def chunk_greedily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return greedy_chunks(read_wide(spark, sf_dir, "documents"), ["doc_id"], "text", 1000)
+
+
+PROBABILITIES = {"src0": 0.1, "src1": 0.2, "src2": 0.3, "src3": 0.4}
+_EDGES = [(s, int(sum(list(PROBABILITIES.values())[: i + 1]) * (1 << 32))) for i, s in enumerate(PROBABILITIES)]
+_PICK = " ".join(f"when drawn < {edge} then '{s}'" for s, edge in _EDGES[:-1])
+
+
+def _interleaved_sql(ends: str) -> str:
+    """The draws of more places than the order can have, and what each takes of its source."""
+    return f"""with sized as (
+      select source, count(*) as size from documents where source in {tuple(PROBABILITIES)} group by source),
+    draws as (
+      select place, case {_PICK} else '{_EDGES[-1][0]}' end as source
+      from (select place, {draw_sql('place')} as drawn
+            from range((select count(*) * 20 from documents)) r(place))),
+    taken as (
+      select place, source, size, row_number() over (partition by source order by place) - 1 as n
+      from draws join sized using (source)),
+    last as (select {ends}(place) as place from taken where n = size - 1),
+    rows as (
+      select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as n from documents)
+    select r.doc_id, t.source, t.place as "order"
+    from taken t join rows r on r.source = t.source and r.n = t.n % t.size
+    where t.place <= (select place from last)"""
+
+
+def _interleaved(spark: SparkSession, sf_dir: str, stop: str) -> DataFrame:
+    placed = tables.with_row_position(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    mixed = mixture.interleave(stage(placed, "placed"), "row_position", PROBABILITIES, 42, stop=stop)
+    return mixed.drop("row_position")
+
+
+@case(_interleaved_sql("min"))
+def interleave_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In drawn order until a source is exhausted."""
+    return _interleaved(spark, sf_dir, "first")
+
+
+@case(_interleaved_sql("max"))
+def interleave_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In drawn order until every source has been exhausted."""
+    return _interleaved(spark, sf_dir, "all")
+
+
+def _epoch_sql(epoch: int) -> str:
+    keys = [sampling._round_key(42, epoch, r) for r in range(1, sampling.ROUNDS + 1)]
+    other = f"((({keys}[r] - x) % n + n) % n)"
+    bit = f"ascii(md5('42:{epoch}:' || r || ':' || greatest(x, {other}))) % 2"
+    return f"""select doc_id, {epoch}::int as epoch, list_reduce(
+        range(1, {sampling.ROUNDS + 1}), lambda x, r: case when {bit} = 1 then {other} else x end, doc_id)::bigint as place
+      from documents, (select count(*) as n from documents)"""
+
+
+@case(" union all ".join(_epoch_sql(e) for e in range(2)))
+def epoch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs' orders of the documents, whose ids are their positions."""
+    documents = read(spark, sf_dir, "documents").select("doc_id")
+    placed = tables.with_row_position(documents, "row_position")
+    return sampling.epochs(placed, "row_position", documents.count(), 2).drop("row_position")
+
+
+@case("select event_id, user_id, event_type, props from events")
+def json_array_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one JSON array in one file, written and then read by many tasks."""
+    path = staging_path(spark, "json-array")
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    lines = F.concat(F.when(F.monotonically_increasing_id() == 0, F.lit("[")).otherwise(F.lit(",")), F.to_json(F.struct("*")))
+    one = events.coalesce(1).select(lines.alias("value"))
+    closing = spark.range(1).select(F.lit("]").alias("value"))
+    one.unionByName(closing).coalesce(1).write.text(path)
+    return json_arrays.scan_json_array_in_parts(spark, path, events.schema)
+
+
+@case(
+    f"""select doc_id, lang as config, {SPLIT} as split from documents
+    where lang is not null and lang <> 'fr' and (lang <> 'en' or doc_id % 2 = 0)"""
+)
+def republished_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A config per language; then one of them anew with half its rows, and one left out."""
+    path = staging_path(spark, "releases")
+    documents = read(spark, sf_dir, "documents").where("lang is not null").select(
+        "doc_id", F.col("lang").alias("config"), sampling.split_label(["doc_id"]).alias("split")
+    )
+    releases.publish(documents, path)
+    releases.publish(documents.where("config = 'en' and doc_id % 2 = 0"), path, drop=("fr",))
+    held = [c for c in releases.release(spark, path)[1]]
+    frames = [releases.scan_release(spark, path, c, split=None) for c in held]
+    return mixture.concat(frames).select("doc_id", "config", "split")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import chat
 from corpusmill.functions.constants import MAX_TOKENS, PAIR_MAX_TOKENS
-from corpusmill.operators import conversations, tokens
+from corpusmill.functions.text import token_count
+from corpusmill.operators import conversations, packing, tokens
 from corpusmill.session import stage
 from corpusmill.sources.tables import with_row_position
 from workload.inputs import EOS, START, TOKEN, TURNS, joined, read, read_wide, turns
@@ -166,3 +167,55 @@ def encode_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = tokens.encode(rendered, ["conv_id"], {"ids": "text"}, _vocab(spark, sf_dir))
     cut = tokens.truncate(F.col("ids"), MAX_TOKENS)
     return encoded.select("conv_id", joined(cut).alias("input_ids"))
+
+
+BEST_FIT = f"""items as (
+      select row_number() over (order by size desc, doc_id) as i, doc_id, size from sized),
+    placed(i, doc_id, size, block, start, room) as (
+      select 0::bigint, null::bigint, null::bigint, null::bigint, null::bigint, []::bigint[]
+      union all
+      select i, doc_id, size, best - 1, {MAX_TOKENS} - coalesce(room[best], {MAX_TOKENS}),
+             list_transform(case when best > len(room) then room || [{MAX_TOKENS}::bigint] else room end,
+                            lambda r, k: case when k = best then r - size else r end)
+      from (
+        select n.i, n.doc_id, n.size, p.room,
+               coalesce(list_position(p.room, list_min(list_filter(p.room, lambda r: r >= n.size))),
+                        len(p.room) + 1)::bigint as best
+        from placed p join items n on n.i = p.i + 1))"""
+
+
+@case(
+    f"""with recursive sized as (
+      select doc_id, least(len(regexp_extract_all(text, '{TOKEN}')), {MAX_TOKENS - 1}) + 1 as size from documents),
+    {BEST_FIT}
+    select doc_id, size, block, start from placed where i > 0"""
+)
+def pack_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block that holds each document whole, and where it begins there."""
+    placed = with_row_position(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "row_position", "doc_id", token_count(F.col("text")).alias("n_tokens")
+    )
+    plan = packing.whole_plan(stage(placed, "token-counts"), "row_position", "n_tokens", MAX_TOKENS)
+    return plan.select("doc_id", "size", "block", "start")
+
+
+@case(
+    f"""with recursive {VOCAB}, {ENCODED}, sized as (
+      select doc_id, ids[1:{MAX_TOKENS - 1}] as ids, least(len(ids), {MAX_TOKENS - 1}) + 1 as size from all_ids),
+    {BEST_FIT},
+    flat as (
+      select block, start, size, array_to_string(list_append(ids, 2), '|') as text
+      from placed join sized using (doc_id, size))
+    select block, sum(size)::bigint as n, string_agg(text, '|' order by start) as ids
+    from flat group by block"""
+)
+def whole_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded, ended and packed without cutting any at a block's end."""
+    positions = with_row_position(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    vocab = _vocab(spark, sf_dir)
+    positions = positions.repartition(spark.sparkContext.defaultParallelism)
+    encoded = stage(tokens.encode(positions, ["row_position"], {"ids": "text"}, vocab), "encoded")
+    blocks = packing.pack_whole(encoded, "row_position", "ids", MAX_TOKENS)
+    return blocks.select(
+        "block", F.size("input_ids").cast("bigint").alias("n"), joined(F.col("input_ids")).alias("ids")
+    )
