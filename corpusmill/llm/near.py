@@ -9,18 +9,19 @@ also banded by a signature with all weights at one, which agrees by the Jaccard
 that meet in a band are then compared exactly, on their shingle sets.
 
 Equal texts are one node from the start. Every node is first compared with the smallest nodes of its
-band buckets, those that share most bands with it. In buckets whose nodes are still in several components afterwards, finer
-signatures are compared across components, block by block; what may be similar by them is compared
-exactly, each node's most similar partners first, until every candidate is joined or compared.
+band buckets, those that share most bands with it. In a bucket whose nodes are still in several
+components afterwards, all nodes outside its largest component are compared with every node of
+another component, exactly and where their shingle sets meet, so that only what joins two components
+comes out, and one pass is enough.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +35,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4  # a pair at 0.8 is missed by all bands of weights of one with probability 3e-5
 REGISTERS = BANDS * ROWS
 CENTRES = 3  # of its buckets that a node is compared with before anything else, by shared bands
-FINE = 256  # registers of the signatures that are compared as wholes
-#: Fine signatures agree in a share of registers that is the Jaccard on average; pairs so many
-#: standard deviations below the similarity don't need an exact comparison.
-LEAST_AGREEMENT = SIMILARITY - 4.5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / FINE)
-BLOCK = 512  # nodes of a bucket that are compared with as many others in one group
-PARTNERS = 16  # candidates that a node gets in a first pass over a group; each further pass brings
-# four times as many
-TRIES = 4  # of a node's candidates are compared first
+PART = 512  # nodes of a bucket that a task holds while others stream past, about,
+PART_SHINGLES = 1 << 21  # and of their shingles
+STRIPE = 4096  # nodes that stream past them, about
+STEP = 128  # of these at a time
+MATCHES = 1 << 22  # of shingles that are counted at a time
 TEXTS = 256  # compared with one centre in a group
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -180,82 +178,104 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def _fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = list(batch["text"])
         for start, end in groups(texts):
-            signature, _ = signatures(texts[start:end], registers=FINE, weighted=False)
-            keys, _, _ = _keys(texts[start:end])
+            owner, shingle, _ = shingles(texts[start:end], WORDS)
+            cuts = np.searchsorted(owner, np.arange(end - start + 1))
             yield pd.DataFrame(
                 {
                     "node": batch["node"].iloc[start:end].to_numpy(),
-                    "signature": [x.tobytes() for x in signature.astype(np.uint16)],
-                    "keys": [x.tobytes() for x in keys],
+                    "size": np.diff(cuts),
+                    "shingles": [shingle[i:j].tobytes() for i, j in zip(cuts, cuts[1:])],
                 }
             )
 
 
-def _partners(skip: int, most: int):
-    """Rows sorted by group (key, low, high) to the pairs that may be similar (a, b, agreement,
-    more): for each node of the low block ``most`` from place ``skip`` on. Places are by the
-    components that the first pass found, so they stay as they are; what ``now`` is in one component
-    is left out. A pair that meets in several bands is looked at in the first of them only."""
-
-    def of_group(rows: pd.DataFrame) -> list[tuple]:
-        node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
-        component, now = rows["component"].to_numpy(), rows["now"].to_numpy()
-        if (now == now[0]).all():
-            return []
-        signature = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), -1)
-        keys = np.frombuffer(b"".join(rows["keys"]), np.int64).reshape(len(rows), -1)
-        # of a repeated id with several texts only some may be in the bucket
-        here = keys == rows["key"].iloc[0]
-        band = int(here.any(axis=0).argmax())
-        held = here[:, band]
-        node, side, component, now = node[held], side[held], component[held], now[held]
-        signature, keys = signature[held], keys[held]
-        left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+class Held:
+    """Shingle sets by shingle, with the component of each."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(batches)
+        self.node, self.component, sets = rows["node"].to_numpy(), rows["component"].to_numpy(), _arrays(rows["shingles"])
+        self.size = np.array([len(x) for x in sets])
+        value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(value, kind="stable")
+        self.owner = owner[order]
+        self.value, self.start = np.unique(value[order], return_index=True)
+        self.end = np.append(self.start[1:], len(order))
+
+    def shared(self, sets: list[np.ndarray]) -> np.ndarray:
+        """How many shingles each of ``sets`` (rows) shares with each set that is held (columns)."""
+        width = len(self.size)
+        counts = np.zeros(len(sets) * width, np.int64)
+        value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(self.value, value), len(self.value) - 1)
+        known = self.value[at] == value
+        at, row = at[known], row[known]
+        n = self.end[at] - self.start[at]
+        reached = np.cumsum(n)
+        first = 0
+        while first < len(at):
+            done = reached[first - 1] if first else 0
+            last = max(int(np.searchsorted(reached, done + MATCHES, side="right")), first + 1)
+            part = n[first:last]
+            inside = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+            owner = self.owner[np.repeat(self.start[at[first:last]], part) + inside]
+            counts += np.bincount(np.repeat(row[first:last], part) * width + owner, minlength=len(counts))
+            first = last
+        return counts.reshape(len(sets), width)
+
+
+def _arrays(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group (key, part, stripe), what is held first: the pairs of components that
+    similar texts join (a, b). What is joined already within the group is left out."""
+    group, given, held, root = None, [], None, {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    def joined(rows: pa.RecordBatch) -> list[tuple[int, int]]:
+        sets, node, component = _arrays(rows["shingles"]), rows["node"].to_numpy(), rows["component"].to_numpy()
+        main = rows["main"].to_numpy(zero_copy_only=False)
+        both = held.shared(sets)
+        size = np.array([len(x) for x in sets])
+        near = both / np.maximum(1, size[:, None] + held.size[None, :] - both) >= SIMILARITY
+        near &= component[:, None] != held.component[None, :]
+        near &= main[:, None] | (node[:, None] > held.node[None, :])  # two that are both held meet once
         pairs = []
-        for i in left:
-            other = right[component[right] != component[i]]
-            other = other[(keys[other] == keys[i]).argmax(axis=1) == band]
-            agree = (signature[other] == signature[i]).mean(axis=1)
-            able = np.flatnonzero(agree >= LEAST_AGREEMENT)
-            order = able[np.lexsort((node[other[able]], -agree[able]))]
-            open_ = now[other[order]] != now[i]
-            more = bool(open_[skip + most :].any())
-            for p in order[skip : skip + most][open_[skip : skip + most]]:
-                pairs.append((*sorted((node[i], node[other[p]])), agree[p], more))
-            if more and not open_[skip : skip + most].any():
-                pairs.append((node[i], node[i], 0.0, True))
+        for i, k in zip(*np.nonzero(near)):
+            a, b = sorted((top(int(component[i])), top(int(held.component[k]))))
+            if a != b:
+                root[b] = a
+                pairs.append((a, b))
         return pairs
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        names = ["key", "low", "high"]
-
-        def found(rows: pd.DataFrame) -> pd.DataFrame:
-            ids = rows[names].to_numpy()
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            pairs = []
-            for start, end in zip([0, *cuts], [*cuts, len(rows)]):
-                pairs += of_group(rows.iloc[start:end])
-            out = pd.DataFrame(pairs, columns=["a", "b", "agreement", "more"])
-            return out.astype({"a": "int64", "b": "int64", "agreement": "float64", "more": "bool"})
-
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
+    for batch in batches:
+        pairs = []
+        names = np.stack([batch[c].to_numpy() for c in ("key", "part", "stripe", "kind")], axis=1)
+        edges = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+        for begin, end in zip([0, *edges], [*edges, len(names)]):
+            if begin == end:
                 continue
-            open_ = (rows[names] == rows[names].iloc[-1]).all(axis=1).to_numpy()
-            first = len(rows) - int(open_[::-1].argmin()) if not open_.all() else 0
-            held = rows.iloc[first:]
-            if first:
-                yield found(rows.iloc[:first])
-        if held is not None and len(held):
-            yield found(held)
-
-    return find
+            rows, now = batch.slice(begin, end - begin), tuple(names[begin, :3])
+            if now != group:
+                group, given, held, root = now, [], None, {}
+            if names[begin, 3] == 0:
+                given.append(rows)
+            elif given:
+                held = held or Held(given)
+                for at in range(0, rows.num_rows, STEP):
+                    pairs += joined(rows.slice(at, STEP))
+        a, b = zip(*pairs) if pairs else ((), ())
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _in_components(rows: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
@@ -264,49 +284,49 @@ def _in_components(rows: DataFrame, found: DataFrame, node: str, name: str) -> D
 
 
 def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, blocks, node, component) of the buckets that hold several components."""
+    """(key, main, node, component) of the buckets that hold several components; ``main`` is the
+    component with most nodes of the bucket."""
     named = _in_components(members, found, "node", "component")
+    parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     several = (
-        named.groupBy("key")
-        .agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
-        )
-        .where("low <> high")
-        .select("key", "blocks")
+        parts.groupBy("key")
+        .agg(F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1")
+        .select("key", "top.main")
     )
     return named.join(several, "key")
 
 
-def _across(
-    unsettled: DataFrame, found: DataFrame, fine: DataFrame, skip: int, most: int
-) -> DataFrame:
-    """Candidate pairs of different components that share a bucket: (a, b, agreement, more).
+def _across(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of components (a, b) that similar texts of a shared bucket join.
 
-    A bucket is cut into blocks by hash; each pair of blocks is one group of bounded size.
+    A bucket's nodes outside its main component are dealt into parts of bounded size, all its nodes
+    into stripes, and every part meets every stripe; the main component never meets itself.
     """
-    cut = (
-        _in_components(unsettled, found, "node", "now")
-        .withColumn("side", F.pmod(F.hash("node"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("side", "other"))
-        .withColumn("high", F.greatest("side", "other"))
-        .join(fine, "node")
-        .select("key", "low", "high", "side", "node", "component", "now", "signature", "keys")
-        .repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high")
+    minor = F.col("component") != F.col("main")
+    sized = unsettled.join(sets.groupBy("node").agg(F.sum("size").alias("size")), "node")
+    counts = sized.groupBy("key").agg(
+        F.ceil(F.greatest(F.count_if(minor) / PART, F.sum(F.when(minor, F.col("size"))) / PART_SHINGLES))
+        .cast("int")
+        .alias("parts"),
+        F.ceil(F.count(F.lit(1)) / STRIPE).cast("int").alias("stripes"),
     )
-    pairs = cut.mapInPandas(_partners(skip, most), "a long, b long, agreement double, more boolean")
-    return pairs.groupBy("a", "b").agg(F.max("agreement").alias("agreement"), F.max("more").alias("more"))
-
-
-def _placed(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the better of the two places that they have among their nodes' partners."""
-    sides = F.explode(F.array(F.col("a"), F.col("b"))).alias("node")
-    order = Window.partitionBy("node").orderBy(F.desc("agreement"), "a", "b")
-    each = pairs.where("a <> b").select("a", "b", "agreement", sides).withColumn("place", F.row_number().over(order))
-    return each.groupBy("a", "b").agg(F.min("place").alias("place"))
+    dealt = unsettled.join(counts, "key").select("*", F.hash("node").alias("mark"))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    held = dealt.where(minor).select("*", F.lit(0).alias("kind"), F.pmod("mark", "parts").alias("part"), every("stripes").alias("stripe"))
+    past = dealt.select("*", F.lit(1).alias("kind"), every("parts").alias("part"), F.pmod("mark", "stripes").alias("stripe"))
+    columns = ["key", "part", "stripe", "kind", "node", "component", (~minor).alias("main")]
+    met = (
+        held.select(*columns)
+        .unionByName(past.select(*columns))
+        .join(sets.select("node", "shingles"), "node")
+        .repartition("key", "part", "stripe")
+        .sortWithinPartitions("key", "part", "stripe", "kind")
+    )
+    return met.mapInArrow(_meet, "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,7 +363,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         .select("node", "text"),
         "texts",
     )
-    # a node's likeliest centres come first; the fine signatures decide on the others
+    # a node's likeliest centres come first
     bands = shared.where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     likeliest = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
     pairs = bands.where("n > 1").withColumn("place", likeliest).where(F.col("place") <= CENTRES).select("a", "b")
@@ -354,26 +374,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     unsettled = stage(_unsettled(members, found), "unsettled")
     left = unsettled.select("node").distinct()
     texts = stage(texts.join(left, "node", "left_semi"), "texts")
-    fine = stage(texts.mapInPandas(_fine, "node long, signature binary, keys binary"), "fine")
-    skip, partners = 0, PARTNERS
-    while True:
-        across = stage(_across(unsettled, found, fine, skip, partners), "across")
-        row = across.agg(F.max("more").alias("more")).first()
-        if row["more"] is None:
-            break
-        rounds = [across]
-        if skip == 0:  # this pass joins most of what belongs together: the best partners go first
-            placed = stage(_placed(across), "placed")
-            rounds = [placed.where(F.col("place") <= TRIES), placed.where(F.col("place") > TRIES)]
-        for pairs in rounds:
-            tries = _in_components(_in_components(pairs, found, "a", "left"), found, "b", "right")
-            new = stage(verified(tries.where("left <> right").select("a", "b"), texts), "links")
-            if new.take(1):
-                known = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-                found = stage(components(known.unionByName(new)), "components")
-        if not row["more"]:
-            break
-        skip, partners = skip + partners, 4 * partners
+    sets = stage(texts.mapInPandas(_sets, "node long, size long, shingles binary"), "sets")
+    new = stage(_across(unsettled, sets), "links")
+    if new.take(1):
+        known = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        found = stage(components(known.unionByName(new)), "components")
     classes = own.join(found, "node", "left").select(
         F.col("id").alias(key), "digest", F.coalesce("component", "node").alias("class_id")
     )

@@ -328,18 +328,23 @@ def test_near_classes_of_a_repeated_id_with_several_texts(spark):
     assert got == {(100 * i + k, 100 * i) for i in range(8) for k in range(4)}
 
 
-def test_texts_of_a_repeated_id_outside_a_bucket():
-    texts = [" ".join(words_of(50_000 + i, 100, 10**6)) for i in range(2)]
-    texts.append(texts[1] + " more")
-    keys, _, _ = near._keys(texts)
-    signature, _ = near.signatures(texts, registers=near.FINE, weighted=False)
-    shared = keys[1][(keys[1] == keys[2]) & (keys[1] != 0)][0]
-    rows = pd.DataFrame({
-        "key": shared, "low": 0, "high": 0, "side": 0, "node": [5, 5, 7], "component": [5, 5, 7], "now": [5, 5, 7],
-        "signature": [x.tobytes() for x in signature.astype(np.uint16)], "keys": [x.tobytes() for x in keys],
-    })
-    found = pd.concat(near._partners(0, 16)(iter([rows])))
-    assert {(r.a, r.b) for r in found.itertuples()} == {(5, 7)}
+@pytest.mark.parametrize("centres", [0, 3])
+def test_near_classes_of_a_group_about_the_similarity(spark, monkeypatch, centres):
+    """Copies of which some pairs are similar and some are just not, in parts and stripes."""
+    for name, value in {"CENTRES": centres, "PART": 5, "STRIPE": 7, "STEP": 3, "MATCHES": 50}.items():
+        monkeypatch.setattr(near, name, value)
+    rows, draw = [], random.Random(7)
+    for g in range(3):
+        base = words_of(60_000 + g, 120, 10**6)
+        for i in range(25):
+            text = list(base)
+            for at in draw.sample(range(120), draw.randrange(6)):
+                text[at] = f"new{draw.randrange(10**6)}"
+            rows.append((1000 * g + i, " ".join(text), "en", "a"))
+    want = classes_of(rows)
+    assert 3 < len(set(want.values())) < 75
+    got = {r["doc_id"]: r["class_id"] for r in near.with_class(documents(spark, rows)).collect()}
+    assert got == want
 
 
 def test_one_of_each(spark):
