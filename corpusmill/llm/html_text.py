@@ -51,7 +51,7 @@ CLOSES = {  # an opening tag that ends open elements of these names, up to a con
 SCOPES = frozenset("html body ul ol dl table select article section div td th main".split())
 
 #: Of a block in an article only these may be a template; the others are its text.
-CONTAINERS = frozenset("aside center details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
+CONTAINERS = frozenset("aside dialog div fieldset footer form header menu nav section".split())
 FRAME = frozenset("html body article main caption tbody thead tfoot".split())
 
 #: Names that mark what isn't the page's own text.
@@ -67,6 +67,18 @@ MARKS = frozenset(
     "subscribe subscription signup login share sharing social related recommended comment comments "
     "commentlist disqus reply replies respond header topbar toolbar skip".split()
 )
+#: Words that may stand beside such a name in one class: with any other word (no-sidebar, related-work)
+#: the class is a name of its own.
+BESIDE = frozenset(
+    "site page post entry article global main top bottom left right upper lower primary secondary first last "
+    "box bar button buttons link links list lists item items icon icons container wrapper wrap inner outer "
+    "block blocks section sections area panel unit units slot slots holder group row column col text body "
+    "title label info form message area region zone js bs us this".split()
+)
+#: Names of a page's frame: an element of such a class that holds all articles and main elements is the frame itself.
+FRAMES = frozenset(
+    "nav navbar navigation menu menubar sidebar aside widget banner header masthead topbar toolbar popup modal overlay skip".split()
+)
 CONTENT = frozenset("article content entry main post story text title headline".split())
 
 _TOKEN = re.compile(
@@ -156,12 +168,44 @@ def boilerplate(node: Node) -> bool:
         r"display\s*:\s*none|visibility\s*:\s*hidden", node.attribute("style").lower()
     ):
         return True
-    marks = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", node.attribute("class", "id")).lower()))
-    if marks & MARKS and not (marks & CONTENT and marks & MARKS <= {"header", "post", "text"}):
+    if node.tag in BLOCKS and _marked(node):  # a word of a line is never dropped for its class
         return True
     return node.tag == "header" and not _within(node, "article")
 
 
+def _marked(node: Node) -> bool:
+    """Does a class or the id name boilerplate as a whole?"""
+    for name in node.attribute("class", "id").split():
+        words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w}
+        marks = words & MARKS
+        if not marks or not words - marks <= BESIDE:
+            continue
+        if words & CONTENT and marks <= {"header", "post", "text"}:
+            continue
+        if marks <= FRAMES and _frames(node):
+            continue
+        return True
+    return False
+
+
+def _frames(node: Node) -> bool:
+    """Does the element hold all articles and main elements that the page has?"""
+    root = node
+    while root.parent is not None:
+        root = root.parent
+    held = _count(node, ("article", "main"))
+    return bool(held) and held == _count(root, ("article", "main"))
+
+
+def _count(node: Node, tags: tuple[str, ...]) -> int:
+    n, stack = 0, [node]
+    while stack:
+        now = stack.pop()
+        n += now.tag in tags
+        stack += [c for c in now.children if not isinstance(c, str)]
+    return n
+
+
 def _within(node: Node, tag: str) -> bool:
     while node is not None and node.tag != tag:
         node = node.parent
@@ -180,13 +224,17 @@ def _elements(node: Node, name: str) -> Iterator[Node]:
             stack += [c for c in reversed(now.children) if not isinstance(c, str)]
 
 
+def _length(nodes: list[Node]) -> int:
+    return sum(len(b) for b in blocks(nodes, set()))
+
+
 def main_parts(root: Node) -> list[Node]:
-    """The articles, or the main elements, or the whole page."""
-    for name in ("article", "main"):
-        found = list(_elements(root, name))
-        if found:
-            return found
-    return [root]
+    """The articles or the main elements, whichever hold more text, or the whole page. Articles that
+    hold at least half of what the main elements do are taken before these."""
+    articles, mains = list(_elements(root, "article")), list(_elements(root, "main"))
+    if articles and mains:
+        return articles if 2 * _length(articles) >= _length(mains) else mains
+    return articles or mains or [root]
 
 
 def subtree_hashes(root: Node, parts: list[Node]) -> list[tuple[Node, int]]:

@@ -55,6 +55,44 @@ def test_extraction_of_odd_pages(page, text):
     assert got == text if text is not None else "deep" in got
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="site-content no-sidebar"><article><p>Real text.</p></article></div>', "Real text."),
+        ('<div id="page" class="has-sidebar"><p>Real text.</p></div>', "Real text."),
+        ('<body class="home sidebar"><p>Real text.</p></body>', "Real text."),
+        ('<div class="sidebar-layout"><main><p>Real text.</p></main></div>', "Real text."),
+        ('<div class="sidebar"><main><p>Real text.</p></main></div>', "Real text."),
+        ('<article><p>a</p><section class="related-work"><p>b</p></section></article>', "a\n\nb"),
+        ('<article><p>a</p><div class="related"><p>b</p></div><p>c</p></article>', "a\n\nc"),
+        ('<article><p>a</p><div class="related-posts sponsor-note"><p>b</p></div></article>', "a\n\nb"),
+        ('<p>He signs the <span class="notice">notice</span> here</p>', "He signs the notice here"),
+        ('<p>Press <b id="menu">Menu</b> <span hidden>now</span></p>', "Press Menu"),
+        ("<article><p>teaser</p></article><main><p>the long story of it all</p></main>", "the long story of it all"),
+        ("<main><article><p>the long story</p></article><p>by me</p></main>", "the long story"),
+        ('<article><p>a story</p></article><div class="sidebar"><article><p>teaser</p></article></div>', "a story"),
+        ('<div class="comments"><article><p>reader</p></article></div><p>y</p>', "y"),
+        ('<div class="siteFooter">f</div><div class="ad-728">k</div><div class="adBox">s</div><p>z</p>', "z"),
+        ('<div class="ads left"><p>x</p></div><div class="loads"><p>y</p></div>', "y"),
+        ('<div class="share_buttons">s</div><div class="shareholders"><p>z</p></div>', "z"),
+        ('<div class="article-header"><h1>Head</h1></div><div class="page-header">p</div><p>z</p>', "Head\n\nz"),
+        ('<div class="comment-list"><p>c</p></div><div class="commentary"><p>z</p></div>', "z"),
+        ('<div class="newsletter signup">n</div><div class="newsletter-archive"><p>z</p></div>', "z"),
+    ],
+)
+def test_classes_name_boilerplate_as_wholes(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_lists_and_tables_of_an_article_are_no_templates(spark):
+    rows = []
+    for i in range(30):
+        body = f"<p>own {i}</p><ul><li>Preheat the oven</li></ul><table><tr><td>cup</td></tr></table><aside>x</aside>"
+        rows.append((i, f"http://a.example/{i}", f"<article>{body}</article><ul><li>start</li></ul>"))
+    texts = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert texts[3] == "own 3\n\nPreheat the oven\n\ncup"
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_templates_of_a_host_are_deleted(spark, most):
     rows = []
