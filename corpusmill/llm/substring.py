@@ -136,36 +136,39 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _recurring_runs(sequences: list[np.ndarray]) -> list[tuple[int, int, np.ndarray]]:
-    """(sequence, start, words) of the runs of at least a window in which every word occurs again.
+    """(sequence, start, words) of the stretches of at least a window in which every run of ``RUN``
+    words occurs again.
 
-    A window that repeats lies within such a run, so nothing else needs an index. Runs that go may
-    take the last other place of a word with them, hence a few rounds.
+    A window that repeats lies within such a stretch, so nothing else needs an index. Stretches that
+    go may take the last other place of a run with them, hence a few rounds.
     """
-    runs = [(i, 0, s) for i, s in enumerate(sequences) if len(s) >= WINDOW]
+    kept = [(i, 0, s) for i, s in enumerate(sequences) if len(s) >= WINDOW]
     for _ in range(4):
-        if not runs:
+        if not kept:
             break
-        words = np.concatenate([w for _, _, w in runs])
-        _, back, count = np.unique(words, return_inverse=True, return_counts=True)
-        again = count[back] > 1
-        if again.all():
-            break
-        lengths = np.array([len(w) for _, _, w in runs])
+        lengths = np.array([len(w) for _, _, w in kept])
         ends = np.cumsum(lengths)
-        piece = np.repeat(np.arange(len(runs)), lengths)
+        words = np.concatenate([w for _, _, w in kept])
+        value = runs(words, RUN)
+        inside = whole_runs(np.append(0, ends), RUN, len(words))
+        _, back, count = np.unique(value, return_inverse=True, return_counts=True)
+        again = inside & ((count - np.bincount(back, ~inside, len(count)))[back] > 1)
+        if (again == inside).all():
+            break
+        piece = np.repeat(np.arange(len(kept)), lengths)[: len(again)]
         begins = again.copy()
         begins[1:] &= ~again[:-1] | (piece[1:] != piece[:-1])
         start = np.flatnonzero(begins)
+        # a stretch ends with the last run before one that doesn't recur or lies across two pieces
+        lone = np.append(np.flatnonzero(~again), len(again))
+        stop = lone[np.searchsorted(lone, start)] + RUN - 1
         own = piece[start]
-        # a run ends before the next word that doesn't recur, or with its piece
-        lone = np.append(np.flatnonzero(~again), len(words))
-        stop = np.minimum(lone[np.searchsorted(lone, start)], ends[own])
         long = stop - start >= WINDOW
-        runs = [
-            (runs[p][0], runs[p][1] + a - (ends[p] - lengths[p]), words[a:z])
+        kept = [
+            (kept[p][0], kept[p][1] + a - (ends[p] - lengths[p]), words[a:z])
             for p, a, z in zip(own[long].tolist(), start[long].tolist(), stop[long].tolist())
         ]
-    return runs
+    return kept
 
 
 def _match(rows: pd.DataFrame) -> pd.DataFrame:
@@ -174,12 +177,12 @@ def _match(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.drop_duplicates(["key", "content"]).sort_values(["owner", "key", "content"])
     owners = rows["owner"].to_numpy("int64")
     places: dict[int, list[np.ndarray]] = {}
-    runs = _recurring_runs([np.frombuffer(w, np.uint64) for w in rows["words"]])
-    if runs:
-        _, rank = np.unique(owners[[i for i, _, _ in runs]], return_inverse=True)
-        index = Index([w for _, _, w in runs], rank.astype(np.int32), WINDOW + LONGEST)
+    kept = _recurring_runs([np.frombuffer(w, np.uint64) for w in rows["words"]])
+    if kept:
+        _, rank = np.unique(owners[[i for i, _, _ in kept]], return_inverse=True)
+        index = Index([w for _, _, w in kept], rank.astype(np.int32), WINDOW + LONGEST)
         repeated = index.repeated(WINDOW, rank)
-        for (i, offset, _), start, length in zip(runs, index.starts, index.lengths):
+        for (i, offset, _), start, length in zip(kept, index.starts, index.lengths):
             own = np.flatnonzero(repeated[start : start + length])
             if len(own):
                 places.setdefault(i, []).append(own + offset)
@@ -219,15 +222,15 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
         values = np.sort(np.fromiter((r[0] for r in chosen), np.int64, keys).view(np.uint64))
         found = _segments_of(docs, values, "segments")
         contents = stage(_contents(found), "contents")
-    size = contents.agg(F.sum(F.col("windows") + WINDOW - 1).alias("n")).first()["n"] or 0
+    # the windows of a minimizer with one content are in no other content: their owner keeps them
+    mixed_up = contents.where("many > 1")
+    size = mixed_up.agg(F.sum(F.col("windows") + WINDOW - 1).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // SHARD_WORDS))
 
     # of the owner's segments with a content, one is fetched
-    owned = contents.join(found.withColumnRenamed("doc", "owner").drop("windows"), ["key", "content", "owner"])
-    first = owned.groupBy("key", "content", "owner", "windows").agg(F.min("start").alias("start"))
-    first = first.join(
-        owned.select("key", "content", "owner", "start", "mark"), ["key", "content", "owner", "start"]
-    )
+    owned = mixed_up.join(found.withColumnRenamed("doc", "owner").drop("windows"), ["key", "content", "owner"])
+    first = owned.groupBy("key", "content", "owner", "windows").agg(F.min(F.struct("start", "mark")).alias("at"))
+    first = first.select("key", "content", "owner", "windows", "at.start", "at.mark")
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
     wanted = (
         first.select("owner", "mark", F.struct("start", "windows", "key", "content", shard).alias("w"))
