@@ -451,7 +451,7 @@ def _stretches_sql(size: int) -> str:
 def _greedy_sql(size: int) -> str:
     """One chunk of every document after the other, each up to the piece that doesn't fit."""
     return f"""{_cut_sql(size)},
-    numbered as (
+    numbered as materialized (
       select doc_id, row_number() over (partition by doc_id order by place) as i, piece, start,
              start + length(piece) as stop from placed),
     merged as (

@@ -169,7 +169,7 @@ def encode_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("conv_id", joined(cut).alias("input_ids"))
 
 
-BEST_FIT = f"""items as (
+BEST_FIT = f"""items as materialized (
       select row_number() over (order by size desc, doc_id) as i, doc_id, size from sized),
     placed(i, doc_id, size, block, start, room) as (
       select 0::bigint, null::bigint, null::bigint, null::bigint, null::bigint, []::bigint[]
