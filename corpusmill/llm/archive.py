@@ -3,8 +3,9 @@
 Pages are written as WARC records, one gzip member each, to one file for each partition. Of records
 with equal payloads one is a response and the others refer to it. The captures are sorted by their
 reversed-host URL key into compressed index blocks; every index file ends in a sparse directory of
-the first key of each block. A lookup searches the file's directory, then reads one block by range,
-then the records by range; reading everything walks the blocks.
+the first key of each block. A lookup sorts its keys, finds the files by their first keys and the
+blocks by a binary search of the files' directories, then reads each block by range, once for all of
+its keys, and the records by range. Without keys, a walk over the blocks reads everything.
 
 Only files that the staged manifests name count, so a lost or repeated attempt leaves at most a file
 that nobody reads.
@@ -33,6 +34,7 @@ from corpusmill.session import stage, staging_path
 
 LEVEL = 1  # of gzip
 CAPTURES = 512  # in an index block
+PLACES = 4096  # blocks found that a task holds
 OPEN_FILES = 64  # that a reading task keeps open
 DATE = "1970-01-01T00:00:00Z"  # of every record, so that reruns write the same bytes
 #: Fixed values of the formats.
@@ -206,6 +208,7 @@ class Archive:
     def __init__(self, folder: str):
         self.store, self.root = fs.FileSystem.from_uri(folder)
         self.files: dict = {}
+        self.directories: dict = {}
 
     def file(self, path: str):
         if path not in self.files:
@@ -230,16 +233,14 @@ class Archive:
             raise ValueError(f"{path} isn't an index file")
         return json.loads(zlib.decompress(self.read(path, at, length)))
 
-    def captures(self, path: str, key: str) -> Iterator[list]:
-        """The captures of a key in an index file: by the directory, then in the blocks it may be in."""
-        directory = self.directory(path)
-        firsts = [first for first, _, _ in directory]
-        at = max(0, bisect.bisect_left(firsts, key) - 1)
-        while at < len(directory) and firsts[at] <= key:
-            block = self.block(path, *directory[at][1:])
-            low = bisect.bisect_left(block, key, key=lambda c: c[0])
-            high = bisect.bisect_right(block, key, key=lambda c: c[0])
-            yield from block[low:high]
+    def places(self, path: str, key: str) -> Iterator[tuple[str, int, int]]:
+        """The blocks of an index file that may hold a key, by a binary search of its directory."""
+        if path not in self.directories:
+            self.directories = {path: self.directory(path)}  # keys come in order, so one is enough
+        directory = self.directories[path]
+        at = max(0, bisect.bisect_left(directory, key, key=lambda d: d[0]) - 1)
+        while at < len(directory) and directory[at][0] <= key:
+            yield path, *directory[at][1:]
             at += 1
 
 
@@ -278,53 +279,82 @@ def read_archive(blocks: DataFrame, folder: str, index: str) -> DataFrame:
     return spread.mapInPandas(_read_blocks(folder, index), SCHEMA)
 
 
+def _find_blocks(index: str, files: list[tuple[str, str]]):
+    """Keys in order to the blocks that may hold them; ``files`` has (first key, path), in order."""
+    lows = [low for low, _ in files]
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(
+            [(*place, json.dumps(keys)) for *place, keys in rows], columns=["path", "offset", "length", "keys"]
+        )
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archive, rows = Archive(index), []
+        for batch in batches:
+            for key in batch["key"]:
+                first, last = bisect.bisect_left(lows, key) - 1, bisect.bisect_right(lows, key)
+                for _, path in files[max(0, first) : last]:
+                    for place in archive.places(path, key):
+                        if rows and rows[-1][:3] == place and len(rows[-1][3]) < CAPTURES:
+                            rows[-1][3].append(key)
+                            continue
+                        if len(rows) == PLACES:
+                            yield framed(rows)
+                            rows = []
+                        rows.append((*place, [key]))
+        if rows:
+            yield framed(rows)
+
+    return find
+
+
 def _read_keys(folder: str, index: str):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         records, blocks = Archive(folder), Archive(index)
         for batch in batches:
-            rows = [
-                (key, *_described(records, capture))
-                for key, path in zip(batch["key"], batch["path"])
-                for capture in blocks.captures(path, key)
-            ]
-            found = _framed([r[1:] for r in rows])
-            found.insert(0, "key", [r[0] for r in rows])
-            yield found
+            for path, offset, length, keys in zip(*(batch[c] for c in batch)):
+                block = blocks.block(path, int(offset), int(length))
+                rows = []
+                for key in json.loads(keys):
+                    low = bisect.bisect_left(block, key, key=lambda c: c[0])
+                    high = bisect.bisect_right(block, key, key=lambda c: c[0])
+                    rows += [(key, *_described(records, capture)) for capture in block[low:high]]
+                if rows:
+                    found = _framed([r[1:] for r in rows])
+                    found.insert(0, "key", [r[0] for r in rows])
+                    yield found
 
     return read
 
 
 def lookup(urls: DataFrame, blocks: DataFrame, folder: str, index: str) -> DataFrame:
-    """The records of each distinct URL of ``urls`` (url); a URL without a capture gives no row.
+    """The records of each distinct URL of ``urls`` (url): key, then the columns of ``read_archive``.
+    A URL without a capture gives no row; URLs with the same key count once.
 
-    The index files' key ranges, a row for each file, decide which files may hold a key.
+    The first keys of the index files, a row for each file, travel with the job. Tasks with a range
+    of keys find blocks in the directories; the blocks are then dealt out, so the captures of a key
+    that fills many blocks are read by many tasks.
     """
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     files = blocks.groupBy("path").agg(F.min("first_key").alias("low"), F.min("part").alias("part"))
     ordered = files.orderBy("part").collect()  # one row for each partition of the index
-    lows = [r["low"] for r in ordered]
     keys = urls.select(url_key(F.col("url")).alias("key")).distinct()
-    uppers = [*lows[1:], None]
-    able = F.array(
-        *[
-            F.when(
-                (F.col("key") >= F.lit(low)) & (F.lit(True) if up is None else F.col("key") <= F.lit(up)),
-                F.lit(r["path"]),
-            )
-            for low, up, r in zip(lows, uppers, ordered)
-        ]
+    sorted_keys = keys.repartitionByRange(parts, "key").sortWithinPartitions("key")
+    found = sorted_keys.mapInPandas(
+        _find_blocks(index, [(r["low"], r["path"]) for r in ordered]),
+        "path string, offset long, length long, keys string",
     )
-    if not ordered:
-        able = F.array().cast("array<string>")
-    held = keys.select("key", F.explode(F.filter(able, lambda p: p.isNotNull())).alias("path"))
-    return held.mapInPandas(_read_keys(folder, index), f"key string, {SCHEMA}")
+    spread = found.repartition(parts, "path", "offset")
+    return spread.mapInPandas(_read_keys(folder, index), f"key string, {SCHEMA}")
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to an archive in the shared folder, index it, and read every record back."""
+    """Write ``pages`` to an archive in the shared folder, index it, and look up every URL again:
+    the records of all of them, without the key."""
     folder = staging_path(pages.sparkSession, "archive")
     captures = write_archive(pages, folder)
     blocks = write_index(captures, folder)
-    return read_archive(blocks, folder, folder)
+    return lookup(captures, blocks, folder, folder).drop("key")
 
 
 def op7_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,23 @@ def test_archive_round_trip(spark):
     assert archive.archived(pages.limit(0)).count() == 0
 
 
+def test_lookup_finds_keys_that_fill_blocks_and_files(spark, monkeypatch):
+    monkeypatch.setattr(archive, "CAPTURES", 4)
+    monkeypatch.setattr(archive, "PLACES", 2)
+    hot = [(i, "http://hot.example/same", f"{i % 5}") for i in range(60)]
+    rows = hot + [(100 + i, f"http://{'abhxz'[i % 5]}.example/{i // 10}", "x") for i in range(60)]
+    folder = staging_path(spark, "hot-key")
+    captures = archive.write_archive(spark.createDataFrame(rows, PAGES), folder)
+    blocks = archive.write_index(captures, folder)
+    whole = sorted(map(tuple, archive.read_archive(blocks, folder, folder).collect()))
+    assert [r[0] for r in whole] == [r[0] for r in rows]
+    assert sorted(map(tuple, archive.lookup(captures, blocks, folder, folder).drop("key").collect())) == whole
+    asked = [("http://hot.example/same",), ("http://hot.example/sam",), ("http://a.example/0",), (None,)]
+    got = archive.lookup(spark.createDataFrame(asked, "url string"), blocks, folder, folder).collect()
+    wanted = {i for i, u, _ in rows if (u,) in asked}
+    assert {r["page_id"] for r in got} == wanted and len(got) == len(wanted)
+
+
 def test_captures_are_found_by_url(spark):
     rows = [(i, f"http://h{i % 7}.example/{i // 3}", f"page {i}") for i in range(3000)]
     folder = staging_path(spark, "lookup")
