@@ -6,11 +6,11 @@ emitted floor(rate) times, plus one seeded Bernoulli copy with the fraction as i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.hashing import hex_prefix, seeded_md5
-from corpusmill.llm.common import packed, ranked, table, word_count
+from corpusmill.llm.common import packed, ranked, table, unused, word_count
 from corpusmill.operators.skew import lookup_join
 from corpusmill.session import stage
 
@@ -62,26 +62,32 @@ def source_targets(
 
 def with_copies(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """``docs`` plus ``size``, ``source_size``, ``target`` and ``copies``, the number of times that the
-    mix takes the document; columns of these names are replaced.
+    mix takes the document; columns of these names are replaced, others stay whatever their names.
 
     ``docs`` has doc_id, text, source. A null text has 0 words; a document without words has
-    whatever copies its source's rate gives. Rows with the same doc_id share their draw.
+    whatever copies its source's rate gives. Rows with the same doc_id share their draw; a row
+    without one is drawn by its text.
     """
-    sized = docs.withColumn("size", word_count(F.col("text")))
+    sized = docs.drop("source_size", "target", "copies").withColumn("size", word_count(F.col("text")))
     targets = source_targets(sized.select("source", "size"), **shares)
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    of, heat = unused(sized, "_source"), unused(sized, "n")
     looked = lookup_join(
-        sized.withColumn("_source", key),
-        targets.withColumn("_source", key).drop("source"),
-        ["_source"],
-        "n",
-    ).drop("_source")
+        sized.withColumn(of, key),
+        targets.withColumn(of, key).drop("source").withColumnRenamed("n", heat),
+        [of],
+        heat,
+    ).drop(of)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    drawn = hex_prefix(seeded_md5(seed, F.col("doc_id")), DIGITS).cast("double") / float(1 << 4 * DIGITS)
+    drawn = hex_prefix(seeded_md5(seed, _drawn_by()), DIGITS).cast("double") / float(1 << 4 * DIGITS)
     extra = (drawn < rate - F.floor(rate)).cast("bigint")
     return looked.withColumn("copies", F.floor(rate) + extra)
 
 
+def _drawn_by() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
+
+
 def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it, same columns."""
     given, row = packed(docs, "doc_id", "text", "source")
@@ -103,7 +109,7 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 with sized as (
-  select doc_id, source,
+  select doc_id, text, source,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size
   from documents),
 sources as (
@@ -128,7 +134,7 @@ targets as (select source, source_size, least(cap, level * weight) as target fro
 rates as (
   select doc_id, size, t.source_size, target,
          case when t.source_size > 0 then target / t.source_size else 0 end as rate,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double as drawn
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'text:' || coalesce(text, ''))), 1, 13))::bigint / 4503599627370496.0::double as drawn
   from sized s join targets t on s.source is not distinct from t.source)
 select doc_id, size, source_size, target,
        (size * (floor(rate) + (drawn < rate - floor(rate))::int))::bigint as taken
