@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import table, unused
 
 UNKNOWN = "und"
 #: The automata are fitted on a bounded sample of the labelled rows: so many documents for each
@@ -268,11 +268,12 @@ def identify(docs: DataFrame) -> DataFrame:
     held_out, usable = learned_rows(F.col("doc_id"))
     model = fit(sample(docs.where(usable)))
     predict = predictor(docs.sparkSession, model)
+    found = unused(docs, "found")
     return (
         docs.withColumn("held_out", held_out)
-        .withColumn("_found", predict(F.col("text")))
-        .withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")})
-        .drop("_found")
+        .withColumn(found, predict(F.col("text")))
+        .withColumns({"lang_pred": F.col(f"{found}.lang_pred"), "score": F.col(f"{found}.score")})
+        .drop(found)
     )
 
 
