@@ -5,6 +5,11 @@ a token with a digit counts as a variable field. In a leaf, a token keeps its pl
 if enough documents have it there, and is a variable field otherwise. A template that enough
 documents share is boilerplate, and its lines are dropped from all of them.
 
+A line has up to two templates. The close one keeps every constant token and is made where nearly
+all tokens are constant. The wide one keeps only the tokens that half of the leaf has in that place, so
+several fields of a template may vary; it is made where such a token follows the leading ones and
+half of the line is settled, fields with a digit included. A line with neither stands for itself.
+
 Only Spark's own functions are used.
 """
 
@@ -19,7 +24,10 @@ from corpusmill.session import stage
 
 LEADING = 3  # tokens that the tree follows
 DOCUMENTS = 10  # that make a token constant and a template recurring
-CONSTANT = 0.8  # share of a template's tokens that must be constant; else the line stands for itself
+CONSTANT = 0.8  # share of a line's tokens that must be constant for a close template
+FIRM = 0.5  # share of a leaf's lines that must have a token in its place for a wide template
+SETTLED = 0.5  # share of a line's tokens that must be leading, firm, or a field with a digit
+WORDS = 4  # leading or firm tokens without a digit, at least, of a wide template
 FIELD = "<*>"
 
 
@@ -74,37 +82,56 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("support"))
         .where(F.col("support") >= DOCUMENTS)
     )
+    sizes = stage(variants.groupBy("leaf").agg(F.sum("n").alias("heat")), "leaf-sizes")
+    sizes = sizes.withColumn("of", F.col("heat"))
+    constant = lookup_join(stage(constant, "constants"), sizes, ["leaf"], "heat", "inner")
+    constant = constant.withColumn("firm", F.col("support") >= F.col("of") * F.lit(FIRM)).drop("of")
     known = lookup_join(
-        later.drop("n"), stage(constant, "constants"), ["leaf", "place", "token"], "support", "inner"
+        later.drop("n"), stage(constant, "firm-constants"), ["leaf", "place", "token"], "support", "inner"
     )
     fixed = known.groupBy("leaf", "line").agg(
-        F.sort_array(F.collect_list(F.struct("place", "token"))).alias("fixed")
+        F.sort_array(F.collect_list(F.struct("place", "token", "firm"))).alias("fixed")
+    )
+    templates = variants.join(fixed, ["leaf", "line"], "left").select(
+        "leaf", "line", F.explode(_templates()).alias("template")
     )
-    templates = variants.join(fixed, ["leaf", "line"], "left").select("leaf", "line", _template().alias("template"))
     templates = stage(templates, "templates")
 
-    of_line = lookup_join(held, templates.withColumn("heat", F.lit(1)), ["leaf", "line"], "heat", "inner")
-    documents = of_line.select("leaf", "template", "doc").distinct()
+    several = templates.groupBy("leaf", "line").agg(F.collect_list("template").alias("made"))
+    several = stage(several.withColumn("heat", F.lit(1)), "templates-of-lines")
+    of_line = lookup_join(held, several, ["leaf", "line"], "heat", "inner")
+    documents = of_line.select("leaf", F.explode("made").alias("template"), "doc").distinct()
     recurring = (
         documents.groupBy("leaf", "template")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= DOCUMENTS)
     )
-    dropped = templates.join(recurring, ["leaf", "template"]).select("leaf", "line", "n")
+    dropped = (
+        templates.join(recurring, ["leaf", "template"]).groupBy("leaf", "line").agg(F.max("n").alias("n"))
+    )
     found = lookup_join(held, stage(dropped, "dropped"), ["leaf", "line"], "n", "inner")
     return stage(found.select("doc", "mark", "pos"), "recurring")
 
 
-def _template() -> Column:
-    """The line's leading tokens and constants, with fields between; the line itself if too few of
-    its tokens are constant."""
+def _templates() -> Column:
+    """The line's close and wide templates: its leading tokens and those that stay, with their places.
+    The line itself if it has neither."""
     tokens = F.split("line", " ")
     lead = F.slice(tokens, 1, LEADING)
-    fixed = F.coalesce(F.col("fixed"), F.array().cast("array<struct<place:int,token:string>>"))
-    constants = F.size(F.filter(lead, lambda t: t != FIELD)) + F.size(fixed)
-    places = F.transform(fixed, lambda f: F.concat_ws(":", f["place"].cast("string"), f["token"]))
-    made = F.concat_ws(" ", F.lit(FIELD), F.array_join(lead, " "), F.array_join(places, " "))
-    return F.when(constants >= F.size(tokens) * CONSTANT, made).otherwise(F.col("line"))
+    fixed = F.coalesce(F.col("fixed"), F.array().cast("array<struct<place:int,token:string,firm:boolean>>"))
+    firm = F.filter(fixed, lambda f: f["firm"])
+    n_lead = F.size(F.filter(lead, lambda t: t != FIELD))
+    n_fields = F.size(F.filter(tokens, lambda t: t == FIELD))
+
+    def made(kind: str, stays: Column) -> Column:
+        places = F.transform(stays, lambda f: F.concat_ws(":", f["place"].cast("string"), f["token"]))
+        return F.concat_ws(" ", F.lit(FIELD), F.lit(kind), F.array_join(lead, " "), F.array_join(places, " "))
+
+    close = n_lead + F.size(fixed) >= F.size(tokens) * CONSTANT
+    words = n_lead + F.size(firm)
+    wide = (F.size(firm) > 0) & (words >= WORDS) & (words + n_fields >= F.size(tokens) * SETTLED)
+    both = F.array_compact(F.array(F.when(close, made("close", fixed)), F.when(wide, made("wide", firm))))
+    return F.when(F.size(both) > 0, both).otherwise(F.array(F.col("line")))
 
 
 def without_recurring(docs: DataFrame) -> DataFrame:
@@ -158,25 +185,37 @@ held as (select * from leafed semi join alive using (leaf)),
 variants as (select leaf, masked, count(distinct doc_id) as n from held group by all),
 places as (
   select leaf, masked, n, unnest(masked) as token, generate_subscripts(masked, 1) as place from variants),
+totals as (select leaf, sum(n) as total from variants group by leaf),
 constants as (
-  select leaf, place, token from places where place > 3 and token <> '<*>'
-  group by all having sum(n) >= 10),
+  select p.leaf, place, token, sum(n) >= 0.5 * any_value(total) as firm
+  from places p join totals t on p.leaf = t.leaf
+  where place > 3 and token <> '<*>' group by all having sum(n) >= 10),
 fixed as (
-  select p.leaf, p.masked, list(p.place || ':' || p.token order by p.place) as fixed
+  select p.leaf, p.masked, list(p.place || ':' || p.token order by p.place) as fixed,
+         coalesce(list(p.place || ':' || p.token order by p.place) filter (firm), []) as firm
   from places p join constants c on p.leaf = c.leaf and p.place = c.place and p.token = c.token
   group by p.leaf, p.masked),
-templates as (
-  select v.leaf, v.masked,
-         case when len(list_filter(v.masked[1:3], lambda t: t <> '<*>')) + len(coalesce(f.fixed, []))
-                   >= 0.8 * len(v.masked)
-              then ['template'] || v.masked[1:3] || coalesce(f.fixed, []) else v.masked end as template
+counted as (
+  select v.leaf, v.masked, coalesce(f.fixed, []) as fixed, coalesce(f.firm, []) as firm, len(v.masked) as size,
+         len(list_filter(v.masked[1:3], lambda t: t <> '<*>')) as lead,
+         len(list_filter(v.masked, lambda t: t = '<*>')) as fields
   from variants v left join fixed f on v.leaf = f.leaf and v.masked = f.masked),
+judged as (
+  select *, lead + len(fixed) >= 0.8 * size as close,
+         len(firm) > 0 and lead + len(firm) >= 4 and lead + len(firm) + fields >= 0.5 * size as wide
+  from counted),
+templates as (
+  select leaf, masked, ['close'] || masked[1:3] || fixed as template from judged where close
+  union all
+  select leaf, masked, ['wide'] || masked[1:3] || firm from judged where wide
+  union all
+  select leaf, masked, ['line'] || masked from judged where not close and not wide),
 placed as (
   select h.doc_id, h.pos, h.leaf, t.template from held h
   join templates t on h.leaf = t.leaf and h.masked = t.masked),
 recurring as (
   select leaf, template from placed group by all having count(distinct doc_id) >= 10),
-gone as (select doc_id, pos from placed semi join recurring using (leaf, template)),
+gone as (select distinct doc_id, pos from placed semi join recurring using (leaf, template)),
 kept as (
   select l.doc_id, count(*) as n_lines, count(g.pos) as n_dropped,
          coalesce(string_agg(l.line, chr(10) order by l.pos) filter (g.pos is null), '') as text

@@ -80,6 +80,57 @@ def test_recurring_templates_are_dropped_and_other_lines_stay(spark):
     assert (got[51]["n_lines"], got[51]["text"]) == (0, None) and got[52]["n_lines"] == 1
 
 
+FIRST = "Anna Bert Cleo Dora Emil Finn Greta Hugo Ida Jan Kai Lea".split()
+
+
+def generalised(texts):
+    """Plain reading of the tree: (document, place of line) of the lines that go."""
+    leaves = defaultdict(list)
+    for doc, text in enumerate(texts):
+        for pos, line in enumerate(text.split("\n")):
+            masked = tuple("<*>" if any(c.isdigit() for c in t) else t for t in line.split())
+            leaves[len(masked), masked[:3]].append((doc, pos, masked))
+    gone = set()
+    for (size, head), members in leaves.items():
+        if not size or len({d for d, _, _ in members}) < 10:
+            continue
+        pairs = {(d, m) for d, _, m in members}
+        support = Counter((p, t) for _, m in pairs for p, t in enumerate(m) if p >= 3 and t != "<*>")
+        lead, holders, made = sum(t != "<*>" for t in head), defaultdict(set), {}
+        for d, pos, m in members:
+            fixed = [(p, t) for p, t in enumerate(m) if support[p, t] >= 10]
+            firm = [x for x in fixed if 2 * support[x] >= len(pairs)]
+            keys = [("close", *fixed)] if lead + len(fixed) >= 0.8 * size else []
+            if firm and lead + len(firm) >= 4 and 2 * (lead + len(firm) + m.count("<*>")) >= size:
+                keys.append(("wide", *firm))
+            made[d, pos] = keys or [m]
+            for key in made[d, pos]:
+                holders[key].add(d)
+        gone |= {at for at, keys in made.items() if any(len(holders[k]) >= 10 for k in keys)}
+    return gone
+
+
+def test_templates_with_several_fields_against_a_plain_reading(spark):
+    draw = random.Random(11)
+    makers = [
+        lambda i: f"Logged in as {FIRST[i % 12]} {FIRST[(i * 5) % 12]}x from {FIRST[(i * 7) % 12]}town",
+        lambda i: f"Last updated 2024-0{i % 9}-11 by {FIRST[i % 12]} {FIRST[(i * 7) % 12]} at 1{i % 9}:00",
+        lambda i: f"a line of {draw.choice(FIRST)} {draw.choice(FIRST)} {draw.choice(FIRST)} own",
+        lambda i: f"one of the {draw.choice(FIRST)} {draw.choice(FIRST)} {draw.choice(FIRST)} {draw.choice(FIRST)} stays",
+        lambda i: " ".join(draw.choice("the a of to in".split()) for _ in range(draw.randint(1, 9))),
+    ]
+    for count in (9, 10, 60):
+        texts = ["\n".join(make(i) for make in makers) for i in range(count)]
+        rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+        got = {r["doc_id"]: r for r in lines.without_recurring(documents(spark, rows)).collect()}
+        gone = generalised(texts)
+        for i, text in enumerate(texts):
+            kept = [line for pos, line in enumerate(text.split("\n")) if (i, pos) not in gone]
+            assert got[i]["text"] == "\n".join(kept)
+        logins = sum((i, 0) in gone and (i, 1) in gone for i in range(count))
+        assert logins == (0 if count == 9 else count)
+
+
 def test_line_templates_of_odd_rows_and_of_nothing(spark):
     got = lines.without_recurring(documents(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r["n_dropped"] == 0 for r in got)
@@ -124,6 +175,34 @@ def test_mixed_copies(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
+def test_rows_without_an_id_are_drawn_by_their_text(spark):
+    rows = [(None, f"word {i} " * 5, "en", "abc"[i % 3]) for i in range(600)] + [(None, None, "en", "a")] * 3
+    got = mixing.with_copies(documents(spark, rows).select("doc_id", "text", "source")).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+    assert len(got) == len(rows)
+    assert all(abs(taken[s] - target[s]) < 0.2 * target[s] for s in target)
+
+
+def test_columns_of_the_same_names_stay(spark):
+    frame = documents(spark, [(i, f"some words {i}", "en", "a") for i in range(9)]).select("doc_id", "text", "lang", "source")
+    more = frame.withColumns({c: F.lit("mine") for c in ("_source", "n", "_found", "found", "size", "target")})
+    mixed = mixing.with_copies(more)
+    assert mixed.where("_source = 'mine' and n = 'mine' and found = 'mine' and size = 3").count() == 9
+    assert mixing.mix(more).columns == more.columns
+    known = language.identify(more)
+    assert known.where("_found = 'mine' and found = 'mine' and lang_pred = 'en'").count() == 9
+
+
+def test_held_out_documents_of_the_tables_are_recognised(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    told = language.identify(docs.select("doc_id", "text", "lang")).where("held_out and lang is not null and lang_pred <> 'und'")
+    right, of = told.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert of > 10 and right >= 0.97 * of
+
+
 # --- passages ------------------------------------------------------------------------------------
 
 
