@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.text import adjacent_pairs, tokens
 from corpusmill.operators.langid import SCALE, log_share
-from corpusmill.operators.skew import MAX_BROADCAST_BYTES, lookup_join, null_safe
+from corpusmill.operators.skew import MAX_BROADCAST_BYTES, lookup_join
 from corpusmill.session import stage
 
 ITEM = ["item", "dataset", "target"]
@@ -168,14 +168,14 @@ def _segments(prompt: Column, options: Column) -> Column:
 def argmax_option(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The best option per item; of equal scores the lowest index wins.
 
-    Two aggregates of numbers: the best score, then the lowest option that has it. An item without
-    options, or without scores, has no prediction and counts as wrong.
+    One aggregate gathers an item's options, a few pairs of numbers, and the best is found among
+    them, so the scores are computed once. An item without options, or without scores, has no
+    prediction and counts as wrong.
     """
     keys = ITEM if keys is None else keys
-    best = scores.groupBy(*keys).agg(F.max("score").alias("_best"))
-    top = null_safe(scores, best, keys)
-    place = F.when(F.col("score") == F.col("_best"), F.col("option_idx"))
-    chosen = top.groupBy(*keys).agg(F.min(place).alias("pred"))
+    option = F.struct("score", (-F.col("option_idx")).alias("turned"))
+    scored = F.filter(F.collect_list(option), lambda o: o["score"].isNotNull())
+    chosen = scores.groupBy(*keys).agg((-F.array_max(scored)["turned"]).alias("pred"))
     correct = F.coalesce(F.col("pred") == F.col("target"), F.lit(False))
     return chosen.withColumn("is_correct", correct)
 

@@ -319,13 +319,17 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select 4, 'mapped', n4 from f"""
 )
 def filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every step from all conversations to the mapped ones, from one scan of the messages."""
+    """Every step from all conversations to the mapped ones; the language is judged only of those
+    that the steps before it leave."""
     model = langid.train(read_wide(spark, sf_dir, "documents"))
-    labels = langid.detect(turns(spark, sf_dir), ["conv_id", "source", "turn"], "content", model)
-    chats = labels.groupBy("conv_id", "source").agg(
-        F.count(F.lit(1)).alias("n_messages"),
-        F.bool_and(F.col("lang").eqNullSafe(F.lit("en"))).alias("english"),
-    )
+    messages = turns(spark, sf_dir)
+    chats = conversations.lengths(messages, ["conv_id", "source"])
+    before = [reached for _, reached in funnel_stages(EXCLUDED, SOURCE_MAP)[:2]]
+    left = chats.where(before[0] & before[1]).select("conv_id")
+    judged = null_safe(messages, left, ["conv_id"], "left_semi")
+    foreign = langid.foreign_conversations(judged, ["conv_id"], "turn", "content", model, "en")
+    chats = null_safe(chats, foreign.withColumn("foreign", F.lit(True)), ["conv_id"], "left")
+    chats = chats.withColumn("english", F.col("foreign").isNull())
     return profile.funnel(chats, funnel_stages(EXCLUDED, SOURCE_MAP, F.col("english")))
 
 
