@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -231,6 +232,52 @@ def test_index_stops_on_proof():
     assert list(ids) == [498, 497, 496, 495, 494] and list(scores) == [7 * 10 * i for i in ids]
 
 
+def test_a_zero_component_has_no_posting():
+    matrix = np.array([[0, 5, 0], [3, 0, 0], [0, 0, 0], [-7, 2, 0]])
+    index = topk.Index(np.arange(4), matrix)
+    held = [(c, v) for postings, _, _ in index.segments for c, vectors, _ in postings for v in vectors]
+    assert sorted(held) == [(0, 1), (0, 3), (1, 0), (1, 3)]
+    most = [m for _, m, _ in index.segments]
+    assert most == sorted(most, reverse=True) and most[-1] == 0
+
+
+@pytest.mark.parametrize("floor", [-np.inf, 4, 5, 6])
+def test_a_floor_keeps_what_reaches_it(floor):
+    matrix = np.array([[5], [4], [5], [1], [-3]])
+    (scores, ids), = topk.Index(np.arange(5), matrix).best(np.array([[1]]), np.array([9]), 3, np.array([floor]))
+    want = [(s, i) for s, i in [(5, 0), (5, 2), (4, 1)] if s >= floor]
+    assert list(zip(scores.tolist(), ids.tolist()))[: len(want)] == want
+
+
+def test_a_shard_of_several_blocks_and_cells(monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "TILE", 4)
+    draw = np.random.default_rng(3)
+    batches, want = [], []
+    for cell in (0, 2, 5):
+        held = draw.integers(-4, 5, (300, 6))
+        held[draw.integers(0, 300, 40)] = held[0]  # ties in every block
+        ids = draw.permutation(300)
+        asked = [0, 7, 11, 13, 290]
+        rows = [(cell, 0, int(i), v.tolist()) for i, v in zip(ids, held)]
+        rows += [(cell, 1, q, (held[ids == q][0].tolist() + [9, 9])[: 8 if q % 2 else 4]) for q in asked]
+        for kind, _, q, v in [(r[1], r[0], r[2], r[3]) for r in rows]:
+            if kind:
+                query = np.array((v + [0] * 6)[:6])
+                scores = held @ query
+                order = [k for k in np.lexsort((ids, -scores)) if ids[k] != q][:5]
+                want += [(q, int(ids[k]), int(scores[k])) for k in order]
+        columns = [pa.array([r[j] for r in rows]) for j in range(3)]
+        columns.append(pa.array([r[3] for r in rows], pa.list_(pa.int64())))
+        batch = pa.RecordBatch.from_arrays(columns, ["cell", "kind", "id", "impacts"])
+        batches += [batch.slice(0, 150), batch.slice(150)]
+    lone = pa.RecordBatch.from_arrays(
+        [pa.array([7]), pa.array([1]), pa.array([3]), pa.array([[1]], pa.list_(pa.int64()))], batch.schema.names
+    )  # a query without candidates
+    got = [row for out in topk._search(5)(iter([*batches, lone])) for row in zip(*[c.to_pylist() for c in out])]
+    assert sorted(got) == sorted(want)
+
+
 # --- registered queries --------------------------------------------------------------------------
 
 
