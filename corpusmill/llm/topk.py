@@ -227,7 +227,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
         )
     )
     cell = (F.col("group") * shards + F.col("shard")).alias("cell")
-    met = both.select(cell, "kind", "id", "impacts").repartition(min(groups * shards, 4 * parts), "cell")
+    met = both.select(cell, "kind", "id", "impacts").repartitionById(min(groups * shards, 4 * parts), "cell")
     found = met.sortWithinPartitions("cell", "kind").mapInArrow(
         _search(k), "query_id long, vec_id long, score long"
     )
