@@ -2,7 +2,9 @@
 
 A suffix automaton of labelled text stands for each language. A text is parsed from left to right
 into the longest pieces that the automaton contains; the language that needs the fewest pieces for
-each character, scaled by the size of its training text, wins.
+each character, scaled by the size of its training text, wins. A longer text that needs about as many
+pieces as the language's own letters in random order is not recognised: nothing in its order speaks
+for that language.
 
 Texts are parsed in pieces of ``LANE`` characters, all pieces of a batch in step, so a very long
 text needs no more memory and no longer task than many short ones.
@@ -22,12 +24,16 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import table, unused
 
 UNKNOWN = "und"
+SEED = 1
 #: The automata are fitted on a bounded sample of the labelled rows: so many documents for each
 #: language, in hash order, and so many characters of each from a seeded place on.
 SAMPLE_DOCS = 150
 SAMPLE_CHARS = 200
 ALPHABET = 60  # most frequent letters of the sample; all others share one symbol
 MODEL_BYTES = 128 << 20  # of all automata; with many languages, each learns from fewer characters
+ASSURED = 128  # letters and blanks; fewer say too little to reject a text
+LEARNED = 1024  # of a language's sample; one learned from fewer rejects nothing
+RANDOM = 0.85  # of the bits of random order; a text that takes so many is not recognised
 LANE = 512
 LANES = 2048
 
@@ -45,6 +51,7 @@ class Model:
     bits: np.ndarray  # log2 of the training characters
     symbols: dict[str, int]
     width: int
+    chance: np.ndarray  # bits that a symbol takes where the training text is in random order
 
 
 class _Symbols:
@@ -123,10 +130,10 @@ def fit(samples: dict[str, list[str]], alphabet: int = ALPHABET) -> Model:
     width = FIRST + len(symbols) + 1
     each = MODEL_BYTES // max(1, 2 * width * 4 * len(samples))
     to_symbols = _Symbols(symbols)
-    languages, roots, tables, bits, states = [], [], [], [], 0
+    languages, roots, tables, bits, learned, states = [], [], [], [], [], 0
     for language in sorted(samples):
-        pieces = [to_symbols(t) for t in samples[language]]
-        text = np.concatenate([x for p in pieces for x in (p, [BLANK])] or [[]])[:each].astype(np.int64)
+        parts = [to_symbols(t) for t in samples[language]]
+        text = np.concatenate([x for p in parts for x in (p, [BLANK])] or [[]])[:each].astype(np.int64)
         if not (text != BLANK).any():
             continue
         moves = _automaton(text)
@@ -134,15 +141,22 @@ def fit(samples: dict[str, list[str]], alphabet: int = ALPHABET) -> Model:
         roots.append(states * width << 2)
         tables.append(_table(moves, width, states))
         bits.append(max(1.0, np.log2(len(text))))
+        learned.append(text)
         states += len(moves)
-    return Model(
+    model = Model(
         languages,
         np.array(roots, np.int32),
         np.concatenate(tables) if tables else np.zeros(0, np.int32),
         np.array(bits),
         symbols,
         width,
+        np.zeros(len(languages)),
     )
+    shuffled = [np.random.default_rng(SEED).permutation(text) for text in learned]
+    sizes = np.array([len(text) for text in learned], np.int64)
+    chance = np.diagonal(pieces(model, shuffled)) * model.bits / sizes
+    model.chance = np.where(sizes < LEARNED, np.inf, chance)
+    return model
 
 
 def pieces(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -174,8 +188,10 @@ def pieces(model: Model, texts: list[np.ndarray]) -> np.ndarray:
 
 
 def judge(model: Model, texts: pd.Series, to_symbols: _Symbols) -> pd.DataFrame:
-    """Language and score of each text, parsed in groups of about ``LANES`` lanes."""
+    """Language and score of each text and whether it is recognised as of that language, parsed in
+    groups of about ``LANES`` lanes."""
     label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    recognised = np.zeros(len(texts), bool)
     group, lanes = [], 0
 
     def flush():
@@ -187,7 +203,8 @@ def judge(model: Model, texts: pd.Series, to_symbols: _Symbols) -> pd.DataFrame:
             least = rate.min(axis=1)
             rate[np.arange(len(group)), best] = np.inf
             second = rate.min(axis=1)
-            for (i, _), b, x, y in zip(group, best, least, second):
+            for (i, symbols), b, x, y in zip(group, best, least, second):
+                recognised[i] = len(symbols) < ASSURED or x < RANDOM * model.chance[b]
                 label[i] = model.languages[b]
                 score[i] = 1.0 if np.isinf(y) else 1.0 - x / y
         group, lanes = [], 0
@@ -200,7 +217,7 @@ def judge(model: Model, texts: pd.Series, to_symbols: _Symbols) -> pd.DataFrame:
             if lanes >= LANES:
                 flush()
     flush()
-    return pd.DataFrame({"lang_pred": label, "score": score})
+    return pd.DataFrame({"lang_pred": label, "score": score, "recognised": recognised})
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict:
@@ -244,10 +261,10 @@ def learned_rows(key: Column) -> tuple[Column, Column]:
 
 
 def predictor(spark: SparkSession, model: Model):
-    """A column function from text to (lang_pred, score)."""
+    """A column function from text to (lang_pred, score, recognised)."""
     shared = spark.sparkContext.broadcast(vars(model))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, recognised boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Model(**shared.value)
         to_symbols = _Symbols(model.symbols)
@@ -258,12 +275,16 @@ def predictor(spark: SparkSession, model: Model):
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` plus ``held_out``, ``lang_pred`` and ``score``, which replace columns of these names.
+    """``docs`` plus ``held_out``, ``lang_pred``, ``score`` and ``recognised``, which replace columns of
+    these names.
 
     Learns from the rows of ``docs`` with a language whose doc_id isn't held out. ``lang_pred`` is
     ``und`` with score 0 for a null text, a text without a letter, and where nothing was learned.
     The score is one minus the ratio of the best to the second-best rate; ties go to the language
-    that sorts first. Repeated rows get equal answers.
+    that sorts first. Repeated rows get equal answers. ``recognised`` is false where ``lang_pred`` is
+    ``und``, and for a text of at least ``ASSURED`` letters and blanks that needs ``RANDOM`` times the
+    pieces of random order or more, if its language was learned from at least ``LEARNED``: random letters, or a
+    script that no language was learned in.
     """
     held_out, usable = learned_rows(F.col("doc_id"))
     model = fit(sample(docs.where(usable)))
@@ -272,7 +293,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return (
         docs.withColumn("held_out", held_out)
         .withColumn(found, predict(F.col("text")))
-        .withColumns({"lang_pred": F.col(f"{found}.lang_pred"), "score": F.col(f"{found}.score")})
+        .withColumns({c: F.col(f"{found}.{c}") for c in ("lang_pred", "score", "recognised")})
         .drop(found)
     )
 

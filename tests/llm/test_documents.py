@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -492,6 +493,51 @@ def test_languages_are_recognised(spark):
     assert language.identify(documents(spark, []).select("doc_id", "text", "lang")).count() == 0
 
 
+def test_texts_in_random_order_are_not_recognised(spark, sf_dir):
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    draw = random.Random(4)
+    noise = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)) for _ in range(5)]
+    long = [r["text"] for r in given if r["text"] and len(r["text"]) > 1000][:5]
+    noise += ["".join(draw.sample(t, len(t))) for t in long] + ["\u044f\u0437\u044b\u043a \u0438 " * 60, noise[0] * 300]
+    short = ["zqxj kwv", "\u044f\u0437\u044b\u043a", "x"]
+    empty = [None, "", "12 34 - 56"]
+    first = 10**9
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in given]
+    rows += [(first + i, t, None) for i, t in enumerate(noise + short + empty)]
+    got = {
+        r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    }
+    letters = re.compile(r"[^\W\d_]")
+    wrong = [r["doc_id"] for r in given if got[r["doc_id"]]["recognised"] != bool(letters.search(r["text"] or ""))]
+    assert not wrong  # of the given documents, those with a letter stay
+    n = len(noise)
+    assert [i for i in range(n) if got[first + i]["recognised"]] == []
+    assert all(got[first + i]["lang_pred"] != "und" for i in range(n))
+    assert all(got[first + n + i]["recognised"] for i in range(len(short)))
+    assert not any(got[first + n + len(short) + i]["recognised"] for i in range(len(empty)))
+
+
+def test_a_language_of_few_letters_rejects_nothing():
+    model = language.fit({"x": ["abcabd" * 3], "y": ["dcba" * 5]})
+    told = language.judge(model, pd.Series(["qqzz" * 200, None, "7"]), language._Symbols(model.symbols))
+    assert told["recognised"].tolist() == [True, False, False]
+    nothing = language.judge(language.fit({}), pd.Series(["text", None]), language._Symbols({}))
+    assert nothing["recognised"].tolist() == [False, False] and set(nothing["lang_pred"]) == {"und"}
+
+
+def test_the_language_stage_rejects_what_is_not_recognised(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    noise = docs.limit(3).withColumns(
+        {"doc_id": F.col("doc_id") + 10**9, "text": F.lit("qzxv jkwq vxzj " * 40), "lang": F.lit(None).cast("string")}
+    )
+    kept = corpus_pipeline.language(spark, docs.unionByName(noise), sf_dir)
+    assert kept.columns == docs.columns
+    want = docs.where(F.col("text").rlike("\\p{L}")).select("doc_id").collect()
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in want)
+
+
 # --- the pipeline --------------------------------------------------------------------------------
 
 
