@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.common import packed, table
-from corpusmill.llm.language import UNKNOWN, identify
+from corpusmill.llm.language import identify
 from corpusmill.llm.leaks import without_leaks
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.near import one_of_each
@@ -18,9 +18,10 @@ from corpusmill.session import stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null texts, texts without a letter) go."""
+    """Documents in no learned language go: null texts, texts without a letter, and longer texts that the
+    closest language parses no better than its own letters in random order."""
     given, row = packed(docs, "doc_id", "text", "lang")
-    return identify(given).where(f"lang_pred <> '{UNKNOWN}'").select(f"{row}.*")
+    return identify(given).where("recognised").select(f"{row}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
