@@ -39,7 +39,7 @@ PART = 512  # nodes of a bucket that a task holds while others stream past, abou
 PART_SHINGLES = 1 << 21  # and of their shingles
 STRIPE = 4096  # nodes that stream past them, about
 STEP = 128  # of these at a time
-MATCHES = 1 << 22  # of shingles that are counted at a time
+MATCHES = 1 << 20  # of shingles that are counted at a time
 TEXTS = 256  # compared with one centre in a group
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
