@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators.ordering import position_in_group
-from corpusmill.operators.tokens import EOS, PAD
+from corpusmill.operators.ordering import SHARD_ROWS, position_in_group
+from corpusmill.operators.tokens import EOS, ID_ROWS, PAD
 
 
 @dataclass
@@ -78,18 +78,21 @@ def _plan_table(spark: SparkSession, shares: list[Share]) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
-def whole_plan(df: DataFrame, position: str, n_tokens: str, length: int) -> DataFrame:
+def whole_plan(
+    df: DataFrame, position: str, n_tokens: str, length: int, shard_rows: int = SHARD_ROWS
+) -> DataFrame:
     """Adds ``size``, ``block`` and ``start``: the row's tokens with its end marker, the block that holds
     them all, and the place in the block where they begin.
 
     ``position`` must be dense. A row of more than ``length - 1`` tokens is taken as cut to that; a null
-    count is none. Columns of the three names are replaced.
+    count is none. Columns of the three names are replaced. One task orders ``shard_rows`` rows of a size
+    with all their columns.
     """
     tokens = F.coalesce(F.col(n_tokens), F.lit(0)).cast("bigint")
     sized = df.withColumn("size", F.least(tokens, F.lit(length - 1)) + 1)
     histogram = {r["size"]: r["n"] for r in sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     shares, _ = best_fit(histogram, length)
-    placed = position_in_group(sized, position, "size", "_place").withColumnRenamed("size", "_size")
+    placed = position_in_group(sized, position, "size", "_place", shard_rows).withColumnRenamed("size", "_size")
     found = placed.join(F.broadcast(_plan_table(df.sparkSession, shares)), "_size")
     share = F.element_at(F.filter("_shares", lambda s: s["begin"] <= F.col("_place")), -1)
     found = found.withColumn("_share", share)
@@ -109,9 +112,10 @@ def pack_whole(df: DataFrame, position: str, ids: str, length: int, padded: bool
     A row too long for a block keeps its first ``length - 1`` ids and its end marker. With ``padded``
     all blocks have ``length`` ids. A null list of ids is an empty one.
     """
-    given = df.select(position, F.coalesce(ids, F.array().cast("array<bigint>")).alias("_ids"))
-    plan = whole_plan(given.withColumn("_n", F.size("_ids")), position, "_n", length)
-    ended = F.concat(F.slice("_ids", 1, length - 1), F.array(F.lit(EOS).cast("bigint")))
+    cut = F.slice(F.coalesce(ids, F.array().cast("array<bigint>")), 1, length - 1)
+    given = df.select(position, cut.alias("_ids")).withColumn("_n", F.size("_ids"))
+    plan = whole_plan(given, position, "_n", length, 4 * ID_ROWS)
+    ended = F.concat("_ids", F.array(F.lit(EOS).cast("bigint")))
     gathered = plan.groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("start", ended.alias("ids")))).alias("_rows")
     )

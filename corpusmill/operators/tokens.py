@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+from operator import add
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.text import token_count, tokens
-from corpusmill.operators.ordering import position_by_range, running_total
+from corpusmill.operators.ordering import SHARD_ROWS, position_by_range, running_total
 from corpusmill.operators.skew import MAX_BROADCAST_BYTES, lookup_join
+from corpusmill.session import stage
 
 PAD, UNKNOWN, EOS = 0, 1, 2
 FIRST_ID = 3
+BLOCK_BYTES = 4 << 20  # text that meets its share of the vocabulary at a time
+ID_ROWS = 1 << 12  # rows of a shard that carry their ids along
 
 
 def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
@@ -35,36 +46,72 @@ def encode(
     texts: dict[str, str],
     vocab: DataFrame,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Token ids of one or more text columns: ``texts`` maps output column to input column.
 
-    ``keys`` identify a row. All texts share one lookup; a row's ids are gathered where its tokens
-    lie, before the shuffle. Tokens outside the vocabulary become ``UNKNOWN``.
+    ``keys`` identify a row; the tokens of rows that share them are merged by place. Tokens outside
+    the vocabulary become ``UNKNOWN``.
+
+    The rows are dealt by their keys to blocks of about ``block_bytes``, whose number follows from the
+    amount of text. Only the distinct tokens of each block are looked up, by ``lookup_join``; a block
+    and its share of the vocabulary then meet in one task, which puts ids in the place of tokens. The
+    texts move once. ``df`` is read for their size and for its keys as well: stage what is costly.
     """
-    fields = F.array(
-        *[
-            F.struct(F.lit(i).alias("field"), tokens(F.col(c)).alias("tokens"))
-            for i, c in enumerate(texts.values())
-        ]
-    )
-    rows = df.select(*keys, *dict.fromkeys(texts.values()))
-    long = rows.select(*keys, F.inline(fields)).select(
-        *keys, "field", F.posexplode_outer("tokens").alias("pos", "token")
-    )
-    found = lookup_join(long, vocab, ["token"], "n", "left", max_broadcast_bytes)
-    token_id = F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).cast("bigint")
-    placed = F.struct(F.col("pos"), token_id.alias("id"))
-    gathered = found.groupBy(*keys).agg(
-        *[
-            F.collect_list(F.when((F.col("field") == i) & F.col("pos").isNotNull(), placed)).alias(
-                name
-            )
-            for i, name in enumerate(texts)
-        ]
-    )
-    return gathered.select(
-        *keys, *[F.transform(F.sort_array(n), lambda t: t["id"]).alias(n) for n in texts]
-    )
+    size = reduce(add, [F.coalesce(F.octet_length(c), F.lit(0)) for c in texts.values()]).cast("bigint")
+    blocks = -(-(df.agg(F.sum(size).alias("n")).first()["n"] or 1) // block_bytes)
+    block = F.pmod(F.xxhash64(*keys), F.lit(blocks))
+    fields = [f"_text{i}" for i in range(len(texts))]
+    dealt = df.select(*keys, *[F.col(c).alias(f) for f, c in zip(fields, texts.values())])
+    dealt = dealt.repartition(*_parts(df.sparkSession, blocks), block).withColumn("_block", block)
+    joined = [F.array_join(tokens(F.col(f)), " ").alias(f) for f in fields]
+    rows = dealt.select("_block", *keys, *joined)
+
+    words = F.explode(F.flatten(F.array(*[tokens(F.col(f)) for f in fields]))).alias("token")
+    distinct = dealt.select("_block", words).distinct()
+    # A token occurs once in a block, so none is hot enough for salts.
+    found = lookup_join(distinct, vocab, ["token"], "n", "inner", max_broadcast_bytes, salts=1)
+    known = found.select(F.col("_block").alias("_of"), "token", F.col("token_id").cast("bigint").alias("token_id"))
+    kinds = [T.StructField(k, rows.schema[k].dataType) for k in keys]
+    schema = T.StructType([*kinds, *[T.StructField(n, T.ArrayType(T.LongType())) for n in texts]])
+    met = rows.groupBy("_block").cogroup(known.groupBy("_of"))
+    encoded = met.applyInArrow(_placer(keys, list(texts)), schema)
+    if df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        return encoded
+    placed = [
+        F.flatten(F.collect_list(F.transform(n, lambda x, i: F.struct(i.alias("pos"), x.alias("id"))))).alias(n)
+        for n in texts
+    ]
+    merged = encoded.groupBy(*keys).agg(*placed)
+    return merged.select(*keys, *[F.transform(F.sort_array(n), lambda t: t["id"]).alias(n) for n in texts])
+
+
+def _parts(spark: SparkSession, blocks: int) -> list[int]:
+    """A partition for each block, once there are more than cores: adaptive execution would make some
+    tasks for each core of them, which grow with the input. Fewer than ``spark.sql.shuffle.partitions``
+    would be dealt again."""
+    if blocks <= spark.sparkContext.defaultParallelism:
+        return []
+    return [max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))]
+
+
+def _placer(keys: list[str], names: list[str]) -> Callable:
+    """Puts the ids of ``known`` in the place of the tokens of a block's rows."""
+    unknown = UNKNOWN
+
+    def place(rows: pa.Table, known: pa.Table) -> pa.Table:
+        ids = known["token_id"].combine_chunks()
+        columns = [rows[k] for k in keys]
+        for i in range(len(names)):
+            text = rows[f"_text{i}"].combine_chunks()
+            split = pc.split_pattern(pc.if_else(pc.equal(text, ""), None, text), " ")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(), dtype=np.int64)
+            at = pc.index_in(split.flatten(), value_set=known["token"].combine_chunks().cast(text.type))
+            values = pc.fill_null(ids.take(at), unknown)
+            columns.append(pa.LargeListArray.from_arrays(np.append(0, ends), values).cast(pa.list_(pa.int64())))
+        return pa.table(columns, names=[*keys, *names])
+
+    return place
 
 
 def truncate(ids: Column, length: int, side: str = "right") -> Column:
@@ -100,7 +147,8 @@ def encode_pairs(
     answer: str = "output",
 ) -> DataFrame:
     """Instruction and response texts -> padded ``input_ids``, its mask, and padded ``labels``."""
-    ids = encode(df, keys, {"_in": question, "_out": answer}, vocab)
+    given = stage(df.select(*keys, question, answer), "pairs-to-encode")
+    ids = encode(given, keys, {"_in": question, "_out": answer}, vocab)
     cut_in, cut_out = truncate(F.col("_in"), length), truncate(F.col("_out"), length)
     return ids.select(
         *keys,
@@ -125,13 +173,16 @@ def truncation_audit(df: DataFrame, text: str, source: str, length: int) -> Data
     )
 
 
-def pack_plan(df: DataFrame, position: str, n_tokens: str, length: int) -> DataFrame:
+def pack_plan(
+    df: DataFrame, position: str, n_tokens: str, length: int, shard_rows: int = SHARD_ROWS
+) -> DataFrame:
     """Where each row lands when all rows, one end marker after each, fill blocks of ``length``.
 
-    Adds ``start`` (tokens before the row), ``first_block``, ``last_block`` and ``crosses``.
+    Adds ``start`` (tokens before the row), ``first_block``, ``last_block`` and ``crosses``. One task
+    orders ``shard_rows`` rows with all their columns.
     """
     sized = df.withColumn("_size", F.col(n_tokens) + 1)
-    placed = running_total(sized, position, "_size", "start")
+    placed = running_total(sized, position, "_size", "start", shard_rows)
     last = F.floor((F.col("start") + F.col("_size") - 1) / F.lit(length))
     return (
         placed.withColumn("first_block", F.floor(F.col("start") / F.lit(length)))
@@ -147,7 +198,7 @@ def pack(df: DataFrame, position: str, ids: str, length: int) -> DataFrame:
     A row is cut into its share of each block; a block gathers at most ``length`` ids.
     """
     sized = df.select(position, F.col(ids).alias("_ids")).withColumn("_n", F.size("_ids"))
-    plan = pack_plan(sized, position, "_n", length)
+    plan = pack_plan(sized, position, "_n", length, ID_ROWS)
     ended = F.concat(F.col("_ids"), F.array(F.lit(EOS).cast("bigint")))
     cut = plan.withColumn("_ids", ended).withColumn(
         "block", F.explode(F.sequence("first_block", "last_block"))

@@ -655,3 +655,49 @@ def test_a_callers_model_scores_candidates(spark):
     from corpusmill.plans.evaluation import evaluate_with
 
     assert rows(evaluate_with(items, make)) == [("accuracy", 1.0), ("accuracy_d", 1.0)]
+
+
+# --- growth --------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("block_bytes", [1, 40, 1 << 20])
+def test_encoding_looks_up_each_token_of_a_block_once(spark, monkeypatch, limit, block_bytes):
+    seen, join = [], tokens.lookup_join
+    monkeypatch.setattr(tokens, "lookup_join", lambda facts, *a, **b: seen.append(facts.count()) or join(facts, *a, **b))
+    vocab = stage(tokens.build_vocab(spark.createDataFrame([("x x x y y z",)], "text string")), "v")
+    data = [(k, "x y . " * 50, None if k % 3 else "z new") for k in range(12)] + [(None, "z", "")]
+    df = spark.createDataFrame(data, "k long, a string, b string")
+    got = tokens.encode(df, ["k"], {"ia": "a", "ib": "b"}, vocab, limit, block_bytes)
+    have = {r["k"]: (r["ia"], r["ib"]) for r in got.collect()}
+    assert have == {
+        None: ([5], []),
+        **{k: ([3, 4, 1] * 50, [] if k % 3 else [5, 1]) for k in range(12)},
+    }
+    assert seen[0] <= 13 * 5  # 1,809 tokens
+
+
+def test_encoding_merges_rows_that_share_their_keys(spark):
+    vocab = stage(tokens.build_vocab(spark.createDataFrame([("x x x y y z",)], "text string")), "v")
+    df = spark.createDataFrame([(1, "z x"), (1, "x y y"), (None, "y"), (None, None)], "k long, a string")
+    got = {r["k"]: r["ids"] for r in tokens.encode(df, ["k"], {"ids": "a"}, vocab).collect()}
+    assert got == {1: [3, 5, 3, 4, 4], None: [4]}
+
+
+def test_packing_orders_few_rows_with_their_ids_at_a_time(spark, monkeypatch):
+    """Rows, most of them in a million-row shard before, come in shards that a task can hold."""
+    from corpusmill.operators import packing
+
+    taken = []
+    for module, name, at in ((tokens, "running_total", 4), (packing, "position_in_group", 4)):
+        plain = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, f=plain, at=at: taken.append(a[at]) or f(*a))
+    data = [(i, [i] * (i % 7)) for i in range(50)]
+    df = spark.createDataFrame(data, "p long, ids array<bigint>").repartition(3)
+    monkeypatch.setattr(tokens, "ID_ROWS", 8)
+    monkeypatch.setattr(packing, "ID_ROWS", 8)
+    cut = sorted((r["block"], r["input_ids"]) for r in tokens.pack(df, "p", "ids", 16).collect())
+    assert [x for _, b in cut for x in b] == [x for _, ids in data for x in [*ids, tokens.EOS]]
+    whole = [x for r in packing.pack_whole(df, "p", "ids", 16).collect() for x in r["input_ids"]]
+    assert sorted(whole) == sorted(x for _, ids in data for x in [*ids, tokens.EOS])
+    assert taken == [8, 32]

@@ -22,8 +22,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def read_wide(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """``read`` for work that is heavy per row: the small test files hold one row group each, which
-    one core would read alone, so their rows are dealt out. Inputs of many files need no such step."""
-    return read(spark, sf_dir, table).repartition(spark.sparkContext.defaultParallelism)
+    one core would read alone, so their rows are dealt out."""
+    return read(spark, sf_dir, table).repartition(shares(spark, sf_dir, table))
+
+
+def shares(spark: SparkSession, sf_dir: str, table: str) -> int:
+    """Into how many parts to deal out a table's rows: a core each, and more as the table grows, so
+    that what one task holds doesn't grow with it."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, 4 * read(spark, sf_dir, table).rdd.getNumPartitions())
 
 
 def joined(array: Column) -> Column:

@@ -37,7 +37,7 @@ def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = _vocab(spark, sf_dir)
-    return tokens.encode(read_wide(spark, sf_dir, "documents"), ["doc_id"], {"ids": "text"}, vocab)
+    return tokens.encode(read(spark, sf_dir, "documents"), ["doc_id"], {"ids": "text"}, vocab)
 
 
 @case(f"with {VOCAB} select token, n, token_id from vocab")
@@ -136,7 +136,6 @@ def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded, ended and packed into blocks of the maximum length."""
     positions = with_row_position(read(spark, sf_dir, "documents").select("doc_id", "text"))
     vocab = _vocab(spark, sf_dir)
-    positions = positions.repartition(spark.sparkContext.defaultParallelism)
     encoded = tokens.encode(positions, ["row_position"], {"ids": "text"}, vocab)
     blocks = tokens.pack(stage(encoded, "encoded"), "row_position", "ids", MAX_TOKENS)
     return blocks.select(
@@ -164,6 +163,7 @@ def encode_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = conversations.assemble(turns(spark, sf_dir), ["conv_id"]).select(
         "conv_id", chat.role_template(F.col("messages"), START, EOS).alias("text")
     )
+    rendered = stage(rendered, "rendered")
     encoded = tokens.encode(rendered, ["conv_id"], {"ids": "text"}, _vocab(spark, sf_dir))
     cut = tokens.truncate(F.col("ids"), MAX_TOKENS)
     return encoded.select("conv_id", joined(cut).alias("input_ids"))
@@ -213,7 +213,6 @@ def whole_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded, ended and packed without cutting any at a block's end."""
     positions = with_row_position(read(spark, sf_dir, "documents").select("doc_id", "text"))
     vocab = _vocab(spark, sf_dir)
-    positions = positions.repartition(spark.sparkContext.defaultParallelism)
     encoded = stage(tokens.encode(positions, ["row_position"], {"ids": "text"}, vocab), "encoded")
     blocks = packing.pack_whole(encoded, "row_position", "ids", MAX_TOKENS)
     return blocks.select(
