@@ -24,12 +24,14 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN)).cast("bigint")
 
 
-def adjacent_pairs(items: Column) -> Column:
-    """``[a, b, c]`` -> ``[(a, b), (b, c)]`` as structs ``prev, cur``, in linear time."""
+def adjacent_pairs(items: Column, ended: bool = False) -> Column:
+    """``[a, b, c]`` -> ``[(a, b), (b, c)]`` as structs ``prev, cur``, in linear time.
+
+    With ``ended`` the last item follows as ``(c, null)``.
+    """
     n = F.greatest(F.size(items) - 1, F.lit(0))
-    zipped = F.arrays_zip(
-        F.slice(items, F.lit(1), n).alias("prev"), F.slice(items, F.lit(2), n).alias("cur")
-    )
+    first = items if ended else F.slice(items, F.lit(1), n)
+    zipped = F.arrays_zip(first.alias("prev"), F.slice(items, F.lit(2), n).alias("cur"))
     return zipped.cast("array<struct<prev:string,cur:string>>")
 
 

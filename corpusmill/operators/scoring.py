@@ -58,41 +58,43 @@ def score_with_model(
 
 @dataclass(frozen=True)
 class BigramModel:
-    """Staged prices of adjacent tokens, add-one smoothed: (prev, cur, n, n_prev, logp).
+    """Counts of adjacent tokens, staged, which price pairs with add-one smoothing.
 
-    A row without ``cur`` prices the pairs of that ``prev`` that were never seen.
+    ``pairs`` has (prev, cur, n), where a row without ``cur`` counts the texts that end in ``prev``;
+    ``contexts`` has (prev, n_prev) for every token, null for one that never stands before another.
     """
 
-    prices: DataFrame
+    pairs: DataFrame
+    contexts: DataFrame
     vocabulary: int
 
     def unseen(self) -> Column:
         """Price of a pair whose first token was never seen before another."""
         return log_share(F.lit(1), F.lit(max(self.vocabulary, 1)))
 
+    def price(self, n: Column, n_prev: Column) -> Column:
+        return log_share(n + 1, n_prev + self.vocabulary)
+
+    def seen(self) -> DataFrame:
+        """(prev, cur, n) for all pairs seen."""
+        return self.pairs.where("cur is not null")
+
     def table(self) -> DataFrame:
         """(prev, cur, n, n_prev, logp) for all pairs seen."""
-        return self.prices.where("cur is not null")
+        whole = self.contexts.where("n_prev is not null").hint("shuffle_hash")
+        logp = self.price(F.col("n"), F.col("n_prev")).alias("logp")
+        return self.seen().join(whole, "prev").select("prev", "cur", "n", "n_prev", logp)
 
 
 def train_bigrams(df: DataFrame, text: str = "text") -> BigramModel:
+    """Counts the pairs once. Each text of two tokens or more adds its last token with no other behind
+    it, so that every token is the first of some row and the vocabulary follows from the contexts."""
     split = df.select(tokens(F.col(text)).alias("t"))
-    found = split.select(F.inline(adjacent_pairs(F.col("t"))))
+    found = split.select(F.inline(F.when(F.size("t") > 1, adjacent_pairs(F.col("t"), ended=True))))
     pairs = stage(found.groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    size = pairs.select(F.explode(F.array("prev", "cur")).alias("w")).distinct().count()
-    contexts = pairs.groupBy("prev").agg(F.sum("n").alias("n_prev"))
-    whole = F.col("n_prev") + size
-    seen = pairs.join(contexts, "prev").select(
-        "prev", "cur", "n", "n_prev", log_share(F.col("n") + 1, whole).alias("logp")
-    )
-    rest = contexts.select(
-        "prev",
-        F.lit(None).cast("string").alias("cur"),
-        F.lit(0).cast("bigint").alias("n"),
-        "n_prev",
-        log_share(F.lit(1), whole).alias("logp"),
-    )
-    return BigramModel(stage(seen.unionByName(rest), "prices"), size)
+    before = F.sum(F.when(F.col("cur").isNotNull(), F.col("n")))
+    contexts = stage(pairs.groupBy("prev").agg(before.alias("n_prev")), "contexts")
+    return BigramModel(pairs, contexts, contexts.count())
 
 
 def score_options(
@@ -120,11 +122,14 @@ def score_options(
     long = long.select(*keys, "option_idx", "n_tokens", "pair.prev", "pair.cur")
 
     needed = long.where("prev is not null").groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("heat"))
-    unseen = model.prices.where("cur is null").select("prev", F.col("logp").alias("_rest"))
+    needed = stage(needed, "needed-pairs")
+    seen = model.seen().join(needed.select("prev", "cur"), ["prev", "cur"])
+    whole = model.contexts.where("n_prev is not null")
+    logp = model.price(F.coalesce("n", F.lit(0)), F.col("n_prev"))
     priced = (
-        needed.join(model.table().select("prev", "cur", "logp"), ["prev", "cur"], "left")
-        .join(unseen, "prev", "left")
-        .select("prev", "cur", "heat", F.coalesce("logp", "_rest", model.unseen()).alias("logp"))
+        needed.join(seen, ["prev", "cur"], "left")
+        .join(whole, "prev", "left")
+        .select("prev", "cur", "heat", F.coalesce(logp, model.unseen()).alias("logp"))
     )
     summed = (
         lookup_join(long, stage(priced, "priced-pairs"), ["prev", "cur"], "heat", "left", max_broadcast_bytes)

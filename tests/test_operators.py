@@ -701,3 +701,29 @@ def test_packing_orders_few_rows_with_their_ids_at_a_time(spark, monkeypatch):
     whole = [x for r in packing.pack_whole(df, "p", "ids", 16).collect() for x in r["input_ids"]]
     assert sorted(whole) == sorted(x for _, ids in data for x in [*ids, tokens.EOS])
     assert taken == [8, 32]
+
+
+def test_the_bigram_model_counts_words_without_a_pass_over_all_pairs(spark, monkeypatch):
+    staged, plain = [], scoring.stage
+    monkeypatch.setattr(scoring, "stage", lambda df, label: staged.append(label) or plain(df, label))
+    texts = ["a b a b c", "c", "d", "e f", "f", None, ""]
+    model = scoring.train_bigrams(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert staged == ["pairs", "contexts"]  # no table of prices for pairs that nobody asks for
+    assert model.vocabulary == 5  # "c" and "f" only end texts, "d" is never in a pair
+    got = {(r["prev"], r["cur"]): (r["n"], r["n_prev"]) for r in model.table().collect()}
+    assert got == {("a", "b"): (2, 2), ("b", "a"): (1, 2), ("b", "c"): (1, 2), ("e", "f"): (1, 1)}
+
+
+def test_heavy_rows_are_dealt_out_by_the_size_of_their_table(spark, tmp_path):
+    from workload.inputs import read_wide, shares
+    from workload.questions import book_items
+
+    cores = spark.sparkContext.defaultParallelism
+    assert book_items(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= cores
+    spark.range(4000).repartition(40).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", 128 << 20)  # a split for each file
+    try:
+        assert shares(spark, str(tmp_path), "documents") == 160
+        assert read_wide(spark, str(tmp_path), "documents").rdd.getNumPartitions() == 160
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")

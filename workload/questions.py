@@ -11,7 +11,7 @@ from corpusmill.operators import adapters, mixture
 from corpusmill.operators.scoring import option_candidates as candidates
 from corpusmill.plans.questions import prompt_batches, prompts
 from workload import inputs
-from workload.inputs import ARC_KEY, MATH_CHOICES, PARTS, joined, origin
+from workload.inputs import ARC_KEY, MATH_CHOICES, PARTS, joined, origin, shares
 from workload.registry import case
 
 ALLOWED = "lower(p_type) in ('economy', 'small')"
@@ -295,9 +295,12 @@ def option_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items to evaluate: prompts whose dataset is the brand, the more of them the larger the data."""
+    """Items to evaluate: prompts whose dataset is the brand, the more of them the larger the data.
+
+    The rows of a question are few bytes, so that one split of the file holds many, and each of them
+    becomes a row for every pair of tokens: they are dealt out."""
     built = prompts(_adapted(spark, sf_dir, "mcqa_openbook"), "id", "context")
-    return built.select(
+    return built.repartition(shares(spark, sf_dir, "part")).select(
         F.col("id").alias("item"),
         F.col("context").alias("dataset"),
         F.col("correct_idx").alias("target"),
