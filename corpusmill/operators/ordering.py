@@ -219,13 +219,15 @@ def position_in_group(
 
     ``position`` must be dense over the table. Rows are numbered within their group's part of a shard,
     ``shard_rows`` at most, and the counts of earlier shards are added, so one group may hold the
-    whole table. A null group is a group.
+    whole table. A null group is a group: a group's part of a shard is one struct, which is never null, so
+    that numbering and adding need the same exchange.
     """
-    tagged = df.withColumn("_shard", F.floor(F.col(position) / F.lit(shard_rows)))
-    counts = tagged.groupBy(group, "_shard").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(group).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, "_shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(group, "_shard").orderBy(position)) - 1
-    placed = null_safe(tagged.withColumn("_inside", inside), offsets, [group, "_shard"])
+    part = F.struct(F.col(group).alias("group"), F.floor(F.col(position) / F.lit(shard_rows)).alias("shard"))
+    tagged = df.withColumn("_part", part)
+    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_part.group").orderBy("_part.shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(position)) - 1
+    placed = tagged.withColumn("_inside", inside).join(offsets, "_part")
     place = (F.col("_before") + F.col("_inside")).cast("bigint")
-    return placed.withColumn(name, place).drop("_shard", "_before", "_inside")
+    return placed.withColumn(name, place).drop("_part", "_before", "_inside")

@@ -727,3 +727,21 @@ def test_heavy_rows_are_dealt_out_by_the_size_of_their_table(spark, tmp_path):
         assert read_wide(spark, str(tmp_path), "documents").rdd.getNumPartitions() == 160
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_positions_in_groups_need_one_exchange_of_the_rows(spark, plan_of):
+    data = [(i, None if i % 5 == 0 else i % 3, "x" * i) for i in range(60)]
+    df = spark.createDataFrame(data, "p long, g int, wide string").repartition(3)
+    got = ordering.position_in_group(df, "p", "g", "place", 7)
+    seen, want = Counter(), {}
+    for p, g, _ in data:
+        want[p] = seen[g]
+        seen[g] += 1
+    assert {r["p"]: r["place"] for r in got.collect()} == want
+    assert got.columns == ["p", "g", "wide", "place"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lines = plan_of(ordering.position_in_group(df, "p", "g", "place", 7)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("Exchange hashpartitioning" in x for x in lines) <= 4  # of the rows, and of their counts

@@ -32,7 +32,11 @@ ENCODED = """long as (
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(tokens.build_vocab(read_wide(spark, sf_dir, "documents")), "vocab")
+    """Counting tokens moves few bytes: texts in as many files as cores are counted where they lie."""
+    documents = read(spark, sf_dir, "documents")
+    if len(documents.inputFiles()) < spark.sparkContext.defaultParallelism:
+        documents = read_wide(spark, sf_dir, "documents")
+    return stage(tokens.build_vocab(documents), "vocab")
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
